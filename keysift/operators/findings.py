@@ -7,7 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from keysift.rules.catalog import RISKS
 
 KEY = ("file_path", "line_number", "finding_type", "matched_string")
-SEVERITY_ORDER = (F.col("severity").desc(), F.col("seen").asc())
+
+
+def severity_order() -> tuple[Column, Column]:
+    """Gravest first, then scan order."""
+    return F.col("severity").desc(), F.col("seen").asc()
 
 
 def dedup_findings(findings: DataFrame) -> DataFrame:
@@ -20,11 +24,11 @@ def dedup_findings(findings: DataFrame) -> DataFrame:
 
 
 def sort_severity(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(*SEVERITY_ORDER)
+    return findings.orderBy(*severity_order())
 
 
 def top_findings(findings: DataFrame, n: int = 10) -> DataFrame:
-    return findings.orderBy(*SEVERITY_ORDER).limit(n)
+    return findings.orderBy(*severity_order()).limit(n)
 
 
 def _count_of(risk: str) -> Column:

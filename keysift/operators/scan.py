@@ -34,8 +34,14 @@ FINDING_COLUMNS = (
     "finding_type", "risk_level", "description", "file_path", "line_number", "matched_string", "recommendation",
     "context", "commit_hash", "author", "date", "entropy", "rule_id",
 )
-_STRINGS = F.array().cast("array<string>")
-_TEXT = F.lit(None).cast("string")
+
+
+def _no_lines() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _context(before: Column, line: Column, number: Column, after: Column) -> Column:
@@ -94,7 +100,7 @@ def scan_files(
     more row per file, with a null ``rule_id`` and the file's ``n_lines``, so that one pass yields findings and counts.
     """
     files = files.select(
-        "path", "name", F.coalesce(split_lines(F.col("text")), _STRINGS).alias("lines"),
+        "path", "name", F.coalesce(split_lines(F.col("text")), _no_lines()).alias("lines"),
         file_name_rule(F.col("name")).alias("audit"),
     )
     lines = files.select("path", "name", "lines", "audit", F.posexplode_outer("lines").alias("at", "line"))
@@ -108,7 +114,7 @@ def scan_files(
         keep=("path", "name", "audit", "line_number"),
         late={
             "context": F.when(
-                is_audit, _context(_STRINGS, F.concat(F.lit("File: "), "name"), F.lit(1), _STRINGS)
+                is_audit, _context(_no_lines(), F.concat(F.lit("File: "), "name"), F.lit(1), _no_lines())
             ).otherwise(line_context(F.col("lines"), F.col("line_number"), config.context_lines)),
             "n_lines": F.when(F.col("slot") == FILE_SLOT, F.size("lines").cast("bigint")),
         },
@@ -132,7 +138,7 @@ def scan_files(
             F.col("rule_recommendation"), ENTROPY_RECOMMENDATION, F.lit(FILE_AUDIT_RECOMMENDATION)
         ).alias("recommendation"),
         F.when(F.col("slot") != FILE_SLOT, F.col("context")).alias("context"),
-        _TEXT.alias("commit_hash"), _TEXT.alias("author"), _TEXT.alias("date"),
+        _no_text().alias("commit_hash"), _no_text().alias("author"), _no_text().alias("date"),
         F.bround("entropy", 2).alias("entropy"),
         _by_slot(F.col("rule"), ENTROPY_ID, F.lit(FILE_AUDIT_ID)).alias("rule_id"),
         severity_score(risk).alias("severity"),
@@ -162,7 +168,7 @@ def _scan_added(
         F.lit(1).alias("line_number"),
         redact(F.col("matched")).alias("matched_string"),
         _by_slot(recommendation, HISTORY_ENTROPY_RECOMMENDATION).alias("recommendation"),
-        _context(_STRINGS, F.col("line"), F.lit(1), _STRINGS).alias("context"),
+        _context(_no_lines(), F.col("line"), F.lit(1), _no_lines()).alias("context"),
         F.col("commit").alias("commit_hash"), author.alias("author"), date.alias("date"),
         F.bround("entropy", 2).alias("entropy"),
         _by_slot(F.concat(F.lit(f"{prefix}-"), "rule"), HISTORY_ENTROPY_ID).alias("rule_id"),
@@ -197,7 +203,7 @@ def scan_stashes(
     return _scan_added(
         added, rules, config, origin=2, entropy=False, label="Git Stash", prefix="STASH",
         where=F.concat(F.lit(" (Found in "), "commit", F.lit(")")),
-        recommendation=F.lit(STASH_RECOMMENDATION), author=_TEXT, date=_TEXT, name=None,
+        recommendation=F.lit(STASH_RECOMMENDATION), author=_no_text(), date=_no_text(), name=None,
     )
 
 

@@ -173,8 +173,8 @@ LINE_ENDS_SQL = (
     "WHEN 2 THEN substr(text, 1, length(text) - 1) ELSE text END"
 )
 # Bytes before, of and after the text.  The malformed ones decode to one, three, one and two U+FFFD.
-_HEADS = {1: "X'00'", 4: "unhex(repeat('01', 5000))", 5: "X'FF'", 6: "unhex(repeat('1F', 200))"}
-_TAILS = {2: "X'00'", 5: "X'FFC080'", 6: "X'E28241'", 7: "X'F09F41C3'"}
+BYTE_HEADS = {1: "X'00'", 4: "unhex(repeat('01', 5000))", 5: "X'FF'", 6: "unhex(repeat('1F', 200))"}
+BYTE_TAILS = {2: "X'00'", 5: "X'FFC080'", 6: "X'E28241'", 7: "X'F09F41C3'"}
 
 
 def _bytes_case(options: dict[int, str]) -> str:
@@ -182,7 +182,7 @@ def _bytes_case(options: dict[int, str]) -> str:
 
 
 BYTES_SQL = (
-    _bytes_case(_HEADS), "CASE WHEN doc_id % 9 = 8 THEN X'' ELSE encode(text, 'UTF-8') END", _bytes_case(_TAILS)
+    _bytes_case(BYTE_HEADS), "CASE WHEN doc_id % 9 = 8 THEN X'' ELSE encode(text, 'UTF-8') END", _bytes_case(BYTE_TAILS)
 )
 
 

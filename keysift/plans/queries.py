@@ -179,7 +179,7 @@ def split_lines_(spark, sf_dir):
 
 @query
 def src_patch_log(spark, sf_dir):
-    return _added(spark, sf_dir).select("repo", "log_row", "commit", "author", "date", "file", "part", "at", "line")
+    return _added(spark, sf_dir).select("repo", "log_row", "commit", "author", "date", "file", "part", F.col("at").alias("place"), "line")
 
 
 @query

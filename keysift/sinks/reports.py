@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keysift.functions.text import format_duration, html_escape
-from keysift.operators.findings import SEVERITY_ORDER, sort_severity, top_findings
+from keysift.operators.findings import severity_order, sort_severity, top_findings
 from keysift.operators.scan import FINDING_COLUMNS
 from keysift.plans.audit import Audit
 from keysift.plans.settle import settle
@@ -225,7 +225,7 @@ def console_rows(findings: DataFrame, stats: DataFrame, scanned: str) -> DataFra
         *(_say(f"   {r:<9}: {{}}", f"{r.lower()}_count") for r in ("Critical", "High", "Medium", "Low", "Info")),
         "=" * 70,
     )
-    top = top_findings(findings, TOP).withColumn("idx", F.row_number().over(Window.orderBy(*SEVERITY_ORDER)))
+    top = top_findings(findings, TOP).withColumn("idx", F.row_number().over(Window.orderBy(*severity_order())))
     entry = _lines(
         _say("{}. [{}] {}", F.format_string("%2d", "idx"), F.rpad("risk_level", 8, " "), "finding_type"),
         _say("    File: {}:{}", "file_path", "line_number"),
