@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from keysift.config import AuditConfig
 from keysift.operators.detect import file_name_rule
 from keysift.operators.lines import decode_text, is_binary
+from keysift.sources.walk import read_unlisted, unlisted
 
 
 def file_name(path: Column) -> Column:
@@ -73,26 +74,40 @@ def _qualify(spark: SparkSession, root: str) -> tuple[str, bool, bool]:
     return path.toString(), exists, exists and not fs.getFileStatus(path).isDirectory()
 
 
+def listed_files(spark: SparkSession, root: str, config: AuditConfig) -> DataFrame:
+    """The files to be scanned among those Spark lists.
+
+    The rules on paths are tested on file metadata, so Spark drops the other files when it plans the scan and
+    never opens them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = F.lit(root)
+    # The metadata path is URL-encoded.
+    listed = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    files = files.filter(is_target(_below(listed, base), config))
+    files = files.select(_below(F.col("path"), base).alias("path"), "length", "content")
+    return files.filter(~unlisted(F.col("path"), F.col("length")))
+
+
 def list_files(spark: SparkSession, root: str, config: AuditConfig = AuditConfig()) -> DataFrame:
     """``(path, name, length, content)`` of the files under ``root`` that are to be scanned.
 
     ``path`` is relative to the root.  A root that is one file is taken as it is, a missing one has no files.
-    The rules on paths are tested on file metadata, so Spark drops the other files when it plans the scan and
-    never opens them.
     """
-    qualified, exists, single = _qualify(spark, root)
+    root, exists, single = _qualify(spark, root)
     if not exists:
         return spark.createDataFrame([], "path STRING, name STRING, length BIGINT, content BINARY")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", not single).load(root)
-    base = F.lit(qualified)
-    if not single:
-        # The metadata path is URL-encoded.
-        listed = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-        files = files.filter(is_target(_below(listed, base), config))
-    path = F.col("path") if single else _below(F.col("path"), base)
-    return files.select(
-        (file_name(path) if single else path).alias("path"), file_name(F.col("path")).alias("name"), "length", "content"
-    )
+    if single:
+        files = spark.read.format("binaryFile").load(root).withColumn("path", file_name(F.col("path")))
+    else:
+        files = listed_files(spark, root, config).unionByName(
+            read_unlisted(
+                spark, root,
+                descend=lambda path: in_open_dirs(F.concat(path, F.lit("/")), config),
+                wanted=lambda path: is_target(path, config),
+            )
+        )
+    return files.select("path", file_name(F.col("path")).alias("name"), "length", "content")
 
 
 def _below(path: Column, base: Column) -> Column:
