@@ -105,6 +105,17 @@ def _anchored(rule: Rule) -> str:
     return " AND ".join(tests) or "line IS NOT NULL"
 
 
+def _with_gates(lines: DataFrame) -> DataFrame:
+    gates = {f"_has {gate}": F.expr(test) for gate, test in _gates().items()}
+    return lines.withColumns({"_lowered": F.expr("lower(line)"), "_odd": F.expr(_ODD), **gates})
+
+
+def values(lines: DataFrame, rule: Rule, keep: Sequence[str]) -> DataFrame:
+    """The ``keep`` columns and ``value``, the first group of each match of one rule in ``lines(line, ...)``."""
+    groups = F.expr(f"explode(regexp_extract_all(line, {_sql(to_java(rule.pattern))}, 1))")
+    return _with_gates(lines).filter(F.expr(_anchored(rule))).select(*keep, groups.alias("value"))
+
+
 def applies_to(rule: Rule, name: str) -> str:
     """SQL test whether a rule restricted to some files covers a file of this name."""
     tests = (f"{name} = {_sql(glob)} OR endswith({name}, {_sql(glob.lstrip('*'))})" for glob in rule.files)
@@ -156,13 +167,7 @@ def detect(
     if not tests:  # nothing to look for
         tests, found = {NO_SLOT - 1: "false"}, {NO_SLOT - 1: "array('')"}
 
-    lines = lines.withColumns(
-        {
-            "_lowered": F.expr("lower(line)"),
-            "_odd": F.expr(_ODD),
-            **{f"_has {gate}": F.expr(test) for gate, test in _gates().items()},
-        }
-    )
+    lines = _with_gates(lines)
     # The generators take expressions, not columns: for a plain column Spark would infer a size() filter and
     # evaluate the whole column once more for it.
     slots = ", ".join(f"CASE WHEN {test} THEN {n} ELSE {NO_SLOT} END" for n, test in tests.items())

@@ -9,7 +9,6 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keysift.config import AuditConfig, config_from_json, override
-from keysift.functions.regex import to_java
 from keysift.functions.text import (
     ENTROPY_SLACK,
     format_duration,
@@ -19,7 +18,7 @@ from keysift.functions.text import (
     shannon_entropy,
 )
 from keysift.operators.context import join_context
-from keysift.operators.detect import applies_to, detect, entropy_candidates, is_false_positive
+from keysift.operators.detect import applies_to, detect, entropy_candidates, is_false_positive, values
 from keysift.operators.findings import (
     audit_gate,
     dedup_findings,
@@ -39,7 +38,7 @@ from keysift.operators.scan import (
 )
 from keysift.plans import corpus as inputs
 from keysift.plans.audit import all_findings, run_audit, stats_row
-from keysift.rules.catalog import BUILTIN_RULES, ENTROPY_ID, FILE_AUDIT_ID, KEYWORD_RULE_ID, SECRET_WORDS, Rule, name_assignment
+from keysift.rules.catalog import BUILTIN_RULES, ENTROPY_ID, FILE_AUDIT_ID, KEYWORD_RULE_ID, Rule
 from keysift.rules.resolve import active_rules, custom_rule, enabled, rules_table
 from keysift.sinks import reports
 from keysift.sources.files import in_open_dirs, is_included, is_kept, is_target, list_files, path_suffix, rel_path
@@ -281,9 +280,8 @@ def rule_validate(spark, sf_dir):
 
 @query
 def rule_name_assignment(spark, sf_dir):
-    lines = explode_lines(_corpus(spark, sf_dir))
-    value = F.explode(F.regexp_extract_all("line", F.lit(to_java(name_assignment(SECRET_WORDS))), F.lit(1)))
-    return lines.select("path", "line_number", value.alias("value"))
+    names = next(rule for rule in BUILTIN_RULES if rule.id == "SWIFT-001")
+    return values(explode_lines(_corpus(spark, sf_dir)), names, ("path", "line_number"))
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:

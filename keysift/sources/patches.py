@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Every line end of Python's str.splitlines.
-LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])"
+# Line ends of Python's str.splitlines, other than the newline.
+_OTHER_ENDS = r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                             0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _LOG_HEADER = r'(?=--- "?a/|\+\+\+ "?b/)'
@@ -37,8 +37,16 @@ def read_stash_log(spark: SparkSession, path: str) -> DataFrame:
     return _read_records(spark, path, "STASH:")
 
 
+def _plain_ends(text: Column) -> Column:
+    """The text with newlines as its only line ends; few records hold any other, so test before replacing."""
+    other = text.rlike(r"[\r\x0b\x0c\x1c\x1d\x1e\x85]") | (
+        (F.octet_length(text) > F.length(text)) & text.rlike(r"[\u2028\u2029]")
+    )
+    return F.when(other, F.regexp_replace(text, _OTHER_ENDS, "\n")).otherwise(text)
+
+
 def _first_line(text: Column) -> Column:
-    return F.get(F.split(text, LINE_END, 2), F.lit(0))
+    return F.substring_index(_plain_ends(F.substring_index(text, "\n", 1)), "\n", 1)
 
 
 def commit_meta(records: DataFrame) -> DataFrame:
@@ -79,7 +87,7 @@ def file_segments(records: DataFrame, *, stash: bool = False) -> DataFrame:
     header = _STASH_HEADER if stash else _LOG_HEADER
     rows = records.select(
         *(c for c in records.columns if c != "record"),
-        F.posexplode(F.split("record", LINE_END + header)).alias("part", "segment"),
+        F.posexplode(F.split(_plain_ends(F.col("record")), "\n" + header)).alias("part", "segment"),
     )
     named = F.when(F.col("part") > 0, _header_path(_first_line(F.col("segment"))))
     return rows.withColumn("file", named.otherwise("Stash Diff" if stash else "Unknown"))
@@ -88,7 +96,7 @@ def file_segments(records: DataFrame, *, stash: bool = False) -> DataFrame:
 def added_lines(segments: DataFrame) -> DataFrame:
     """One row per added line, in ``line`` without its plus sign; ``at`` is its place in the segment."""
     others = [c for c in segments.columns if c != "segment"]
-    rows = segments.select(*others, F.posexplode(F.split("segment", LINE_END)).alias("at", "_line"))
+    rows = segments.select(*others, F.posexplode(F.split("segment", "\n")).alias("at", "_line"))
     rows = rows.filter(F.col("_line").startswith("+") & ~F.col("_line").startswith("+++"))
     return rows.withColumn("line", F.substring("_line", 2, 1 << 30)).drop("_line")
 
