@@ -141,7 +141,8 @@ def detect(
     keep: Sequence[str] = (),
     anchors: bool = True,
 ) -> DataFrame:
-    """One row per match in ``lines(line, ...)``: the ``keep`` columns, ``slot``, ``match_pos``, ``matched``, ``entropy``.
+    """One row per match in ``lines(line, ...)``: the ``keep`` columns, ``slot``, ``match_pos``, ``matched``
+    and, for entropy findings, ``entropy`` in bits per character, rounded.
 
     ``name`` is the column with the file name, which file-restricted rules are tested on; without it every rule
     runs on every line.  ``markers`` are further slots, each an SQL test and, when it holds, an SQL array of matches.  ``late`` columns are computed only for lines with a slot, and may use any column of ``lines``.
@@ -192,4 +193,5 @@ def detect(
         )
     )
     rows = rows.withColumn("entropy", F.when(slot == ENTROPY_SLOT, shannon_entropy(candidate)))
-    return rows.filter(other | (F.col("entropy") >= config.entropy_threshold - ENTROPY_SLACK))
+    rows = rows.filter(other | (F.col("entropy") >= config.entropy_threshold - ENTROPY_SLACK))
+    return rows.withColumn("entropy", F.bround("entropy", 2))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keysift.config import AuditConfig
-from keysift.functions.text import redact, severity_score
+from keysift.functions.text import redact
 from keysift.operators.detect import ENTROPY_SLOT, detect, file_name_rule
 from keysift.operators.lines import split_lines
 from keysift.rules.catalog import (
@@ -22,13 +23,13 @@ from keysift.rules.catalog import (
     HISTORY_ENTROPY_ID,
     HISTORY_ENTROPY_NAME,
     HISTORY_ENTROPY_RECOMMENDATION,
+    SEVERITY,
     STASH_RECOMMENDATION,
     Rule,
 )
-from keysift.rules.resolve import rules_table
 
-FILE_AUDIT_SLOT = ENTROPY_SLOT + 1
-FILE_SLOT = ENTROPY_SLOT + 2  # not a finding: one row per file, which carries its number of lines
+FILE_AUDIT_SLOT = ENTROPY_SLOT + 1  # the first of one slot per file name rule
+FILE_SLOT = ENTROPY_SLOT - 1  # not a finding: one row per file, which carries its number of lines
 
 FINDING_COLUMNS = (
     "finding_type", "risk_level", "description", "file_path", "line_number", "matched_string", "recommendation",
@@ -67,23 +68,23 @@ def _order(origin: int, file: Column, block: Column, row: Column, part: Column,
     )
 
 
-def with_rules(matches: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Attach the attributes of the rule behind each match.  The rule table is a job option, not data."""
-    table = rules_table(matches.sparkSession, rules).select(
-        F.col("ordinal").alias("slot"), F.col("id").alias("rule"), F.col("name").alias("rule_name"),
-        F.col("risk").alias("rule_risk"), F.col("description").alias("rule_description"),
-        F.col("recommendation").alias("rule_recommendation"),
+def with_rules(matches: DataFrame, rules: Sequence[Rule], others: Sequence[Rule] = ()) -> DataFrame:
+    """Attach the attributes of the rule behind each match; ``others`` take the slots from ``ENTROPY_SLOT`` on.
+
+    The rules are options of the job, not data, so the table is small whatever is scanned.
+    """
+    slots = [*enumerate(rules), *enumerate(others, ENTROPY_SLOT)]
+    rows = [(n, r.id, r.name, r.risk, SEVERITY[r.risk], r.description, r.recommendation) for n, r in slots]
+    table = matches.sparkSession.createDataFrame(
+        rows, "slot INT, rule_id STRING, finding_type STRING, risk_level STRING, severity INT, rule_description STRING, "
+        "recommendation STRING",
     )
     return matches.join(F.broadcast(table), "slot", "left")
 
 
-def _by_slot(rule: Column, entropy: str | Column, audit: Column | None = None) -> Column:
-    value = F.when(F.col("slot") == ENTROPY_SLOT, F.lit(entropy) if isinstance(entropy, str) else entropy)
-    return (value if audit is None else value.when(F.col("slot") == FILE_AUDIT_SLOT, audit)).otherwise(rule)
-
-
-def _bits() -> Column:
-    return F.format_string("%.2f bits/char).", F.bround("entropy", 2))
+def _bits(text: Column) -> Column:
+    """The entropy at the end of a description, or nothing for other findings."""
+    return F.concat(text, F.when(F.col("entropy").isNotNull(), F.format_string("%.2f bits/char).", "entropy")).otherwise(""))
 
 
 def scan_files(
@@ -108,74 +109,70 @@ def scan_files(
     markers = {FILE_AUDIT_SLOT: ("line_number = 1 AND audit IS NOT NULL", "array(name)")}
     if per_file:
         markers[FILE_SLOT] = ("line_number = 1", "array('')")
-    is_audit = F.col("slot") == FILE_AUDIT_SLOT
+    slot, is_audit = F.col("slot"), F.col("slot") == FILE_AUDIT_SLOT
     matches = detect(
         lines, rules, config, entropy=config.enable_entropy, name="name", markers=markers, anchors=anchors,
         keep=("path", "name", "audit", "line_number"),
         late={
             "context": F.when(
                 is_audit, _context(_no_lines(), F.concat(F.lit("File: "), "name"), F.lit(1), _no_lines())
-            ).otherwise(line_context(F.col("lines"), F.col("line_number"), config.context_lines)),
-            "n_lines": F.when(F.col("slot") == FILE_SLOT, F.size("lines").cast("bigint")),
+            ).when(slot != FILE_SLOT, line_context(F.col("lines"), F.col("line_number"), config.context_lines)),
+            "n_lines": F.when(slot == FILE_SLOT, F.size("lines").cast("bigint")),
         },
     )
-    audits = F.array(*(F.struct(F.lit(r.name).alias("name"), F.lit(r.risk).alias("risk"),
-                                F.lit(r.description).alias("description")) for r in FILE_NAME_RULES))
-    audit = F.get(audits, F.col("audit"))
-    risk = _by_slot(F.col("rule_risk"), "Medium", audit["risk"])
-    return with_rules(matches, rules).select(
-        _by_slot(F.col("rule_name"), ENTROPY_NAME, audit["name"]).alias("finding_type"),
-        risk.alias("risk_level"),
-        _by_slot(
-            F.col("rule_description"),
-            F.concat(F.lit("Detected high Shannon entropy string ("), _bits()),
-            audit["description"],
-        ).alias("description"),
+    matches = matches.withColumn("seen", _order(0, F.col("path"), F.lit(0), F.lit(0), F.lit(0), F.col("line_number")))
+    matches = matches.withColumn("slot", F.when(is_audit, slot + F.col("audit")).otherwise(slot))
+    names = [Rule(FILE_AUDIT_ID, "", r.risk, r.name, "", r.description, FILE_AUDIT_RECOMMENDATION) for r in FILE_NAME_RULES]
+    entropy = Rule(
+        ENTROPY_ID, "", "Medium", ENTROPY_NAME, "", "Detected high Shannon entropy string (", ENTROPY_RECOMMENDATION
+    )
+    return with_rules(matches, rules, [entropy, *names]).select(
+        "finding_type",
+        "risk_level",
+        _bits(F.col("rule_description")).alias("description"),
         F.col("path").alias("file_path"),
         "line_number",
-        F.when(is_audit, F.col("matched")).otherwise(redact(F.col("matched"))).alias("matched_string"),
-        _by_slot(
-            F.col("rule_recommendation"), ENTROPY_RECOMMENDATION, F.lit(FILE_AUDIT_RECOMMENDATION)
-        ).alias("recommendation"),
-        F.when(F.col("slot") != FILE_SLOT, F.col("context")).alias("context"),
+        F.when(F.col("slot") >= FILE_AUDIT_SLOT, F.col("matched")).otherwise(redact(F.col("matched"))).alias("matched_string"),
+        "recommendation",
+        "context",
         _no_text().alias("commit_hash"), _no_text().alias("author"), _no_text().alias("date"),
-        F.bround("entropy", 2).alias("entropy"),
-        _by_slot(F.col("rule"), ENTROPY_ID, F.lit(FILE_AUDIT_ID)).alias("rule_id"),
-        severity_score(risk).alias("severity"),
-        _order(0, F.col("path"), F.lit(0), F.lit(0), F.lit(0), F.col("line_number")).alias("seen"),
+        "entropy",
+        "rule_id",
+        "severity",
+        "seen",
         *(["n_lines"] if per_file else []),
     )
 
 
 def _scan_added(
-    added: DataFrame, rules: Sequence[Rule], config: AuditConfig, *, origin: int, entropy: bool, label: str,
-    prefix: str, where: Column, recommendation: Column, author: Column, date: Column, name: str | None,
+    added: DataFrame, attributes: Sequence[Rule], rules: Sequence[Rule], config: AuditConfig, *, origin: int, entropy: bool,
+    where: str, name: str | None,
 ) -> DataFrame:
-    columns = ("file", "line", "commit", "log_file", "log_block", "log_row", "part", "at")
-    extra = tuple(c for c in ("author", "date") if c in added.columns)
+    """``attributes`` are the rules as history findings show them; ``where`` comes before the commit."""
+    columns = ("file", "line", "commit", "author", "date", "log_file", "log_block", "log_row", "part", "at")
     if name:
         added = added.withColumn(name, F.element_at(F.split("file", "/"), -1))
-    matches = detect(added, rules, config, entropy=entropy, name=name, keep=columns + extra)
-    risk = _by_slot(F.col("rule_risk"), "Medium")
-    return with_rules(matches, rules).select(
-        _by_slot(F.concat(F.lit(f"{label}: "), "rule_name"), HISTORY_ENTROPY_NAME).alias("finding_type"),
-        risk.alias("risk_level"),
-        _by_slot(
-            F.concat("rule_description", where),
-            F.concat(F.lit("High entropy string in commit "), "commit", F.lit(" ("), _bits()),
-        ).alias("description"),
+    matches = detect(added, rules, config, entropy=entropy, name=name, keep=columns)
+    matches = matches.withColumn(
+        "seen",
+        _order(origin, F.col("log_file"), F.col("log_block"), F.col("log_row"), F.col("part"), F.col("at")),
+    )
+    in_commit = F.when(F.col("entropy").isNull(), F.concat("rule_description", F.lit(f" (Found in {where}"), "commit", F.lit(")")))
+    in_commit = in_commit.otherwise(F.concat("rule_description", F.lit(" in commit "), "commit", F.lit(" (")))
+    return with_rules(matches, attributes[:len(rules)], attributes[len(rules):]).select(
+        "finding_type",
+        "risk_level",
+        _bits(in_commit).alias("description"),
         F.col("file").alias("file_path"),
         F.lit(1).alias("line_number"),
         redact(F.col("matched")).alias("matched_string"),
-        _by_slot(recommendation, HISTORY_ENTROPY_RECOMMENDATION).alias("recommendation"),
+        "recommendation",
         _context(_no_lines(), F.col("line"), F.lit(1), _no_lines()).alias("context"),
-        F.col("commit").alias("commit_hash"), author.alias("author"), date.alias("date"),
-        F.bround("entropy", 2).alias("entropy"),
-        _by_slot(F.concat(F.lit(f"{prefix}-"), "rule"), HISTORY_ENTROPY_ID).alias("rule_id"),
-        severity_score(risk).alias("severity"),
-        _order(
-            origin, F.col("log_file"), F.col("log_block"), F.col("log_row"), F.col("part"), F.col("at")
-        ).alias("seen"),
+        F.col("commit").alias("commit_hash"), "author", "date",
+        "entropy",
+        "rule_id",
+        "severity",
+        "seen",
     )
 
 
@@ -188,11 +185,13 @@ def scan_patches(
     Built-in rules run on every line, whatever the options of the file scan switch off; pass ``rules`` and
     ``file_filters`` to have history judged by the same rules as files.
     """
+    shown = [replace(r, id=f"GIT-{r.id}", name=f"Git History: {r.name}") for r in rules]
+    secret = Rule(
+        HISTORY_ENTROPY_ID, "", "Medium", HISTORY_ENTROPY_NAME, "", "High entropy string", HISTORY_ENTROPY_RECOMMENDATION
+    )
     return _scan_added(
-        added, rules, config, origin=1, entropy=entropy and config.enable_entropy, label="Git History", prefix="GIT",
-        where=F.concat(F.lit(" (Found in Git commit "), "commit", F.lit(")")),
-        recommendation=F.col("rule_recommendation"), author=F.col("author"), date=F.col("date"),
-        name="_name" if file_filters else None,
+        added, [*shown, secret], rules, config, origin=1, entropy=entropy and config.enable_entropy,
+        where="Git commit ", name="_name" if file_filters else None,
     )
 
 
@@ -200,11 +199,11 @@ def scan_stashes(
     added: DataFrame, config: AuditConfig = AuditConfig(), *, rules: Sequence[Rule] = BUILTIN_RULES
 ) -> DataFrame:
     """Findings of the added lines of stashed changes, by rules only."""
-    return _scan_added(
-        added, rules, config, origin=2, entropy=False, label="Git Stash", prefix="STASH",
-        where=F.concat(F.lit(" (Found in "), "commit", F.lit(")")),
-        recommendation=F.lit(STASH_RECOMMENDATION), author=_no_text(), date=_no_text(), name=None,
-    )
+    shown = [
+        replace(r, id=f"STASH-{r.id}", name=f"Git Stash: {r.name}", recommendation=STASH_RECOMMENDATION) for r in rules
+    ]
+    added = added.withColumns({"author": _no_text(), "date": _no_text()})
+    return _scan_added(added, shown, rules, config, origin=2, entropy=False, where="", name=None)
 
 
 def union_findings(parts: Sequence[DataFrame]) -> DataFrame:

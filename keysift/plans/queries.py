@@ -438,8 +438,7 @@ def _raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def join_rule_meta(spark, sf_dir):
     return with_rules(_raw_matches(spark, sf_dir), BUILTIN_RULES).select(
-        "path", "line_number", "matched", F.col("rule").alias("rule_id"), F.col("rule_name").alias("finding_type"),
-        F.col("rule_risk").alias("risk_level"), F.col("rule_recommendation").alias("recommendation"),
+        "path", "line_number", "matched", "rule_id", "finding_type", "risk_level", "recommendation"
     )
 
 
