@@ -506,10 +506,15 @@ ORACLES["search_findings"] = with_(
     f"SELECT {FINDING} FROM audited WHERE risk_level = '{_RISK}' AND "
     f"contains(lower(finding_type || ' ' || file_path || ' ' || description), '{_QUERY.lower()}')"
 )
-_ESCAPED = "text"
-for _char, _entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
-    _ESCAPED = f"replace({_ESCAPED}, '{_char}', '{_entity}')"
-ORACLES["html_escape"] = with_(PAGES) + f"SELECT path, md5({_ESCAPED}) AS digest FROM corpus"
+
+
+def escaped(value: str) -> str:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        value = f"replace({value}, {text(char)}, {text(entity)})"
+    return value
+
+
+ORACLES["html_escape"] = with_(PAGES) + f"SELECT path, md5({escaped('text')}) AS digest FROM corpus"
 
 # ---- History -----------------------------------------------------------------------------------------------
 ORACLES["patch_rule_scan"] = with_(*PATCH_SCAN[:-2]) + f"SELECT {FINDING} FROM ({PATCH_BY_RULES})"
@@ -547,3 +552,150 @@ _COUNTS = "SELECT count(*) AS files_scanned, CAST(sum(len(lines)) AS BIGINT) AS
 ORACLES["scan_counts"] = with_(*_TARGET_CUT) + _COUNTS
 ORACLES["critical_high"] = with_(AUDITED) + "SELECT count(*) FILTER (risk_level IN ('Critical', 'High')) AS critical_high FROM audited"
 ORACLES["audit_gate"] = with_(AUDITED) + "SELECT count(*) FILTER (risk_level = 'Critical') = 0 AS passed FROM audited"
+
+# ---- Sinks -------------------------------------------------------------------------------------------------
+NUMBERED = ("numbered", f"SELECT *, row_number() OVER (ORDER BY severity DESC, {_ORDER}) AS idx FROM audited")
+REPORT = with_(
+    AUDITED, NUMBERED, *_TARGET_CUT, ("counts", _COUNTS), ("found", f"SELECT {_STATS} FROM audited"),
+    ("stats", "SELECT * FROM counts, found"),
+)
+
+
+def say(template: str, *values: str) -> str:
+    pieces = [text(template.split("{}")[0])]
+    for value, rest in zip(values, template.split("{}")[1:]):
+        pieces += [f"CAST({value} AS VARCHAR)", text(rest)]
+    return " || ".join(pieces)
+
+
+def lines_of(*parts: str) -> str:
+    return f"concat_ws(chr(10), {', '.join(parts)})"
+
+
+def _report(*sections: tuple[str, str, str]) -> str:
+    """Sections of ``(source, idx, value)``."""
+    return REPORT + " UNION ALL ".join(
+        f"SELECT {n} AS section, CAST({idx} AS BIGINT) AS idx, {value} AS value FROM {source}"
+        for n, (source, idx, value) in enumerate(sections)
+    )
+
+
+_RISK_LINES = [(risk, f"{risk.lower()}_count") for risk in c.RISKS]
+_COMMAS = "format('{:,}', lines_scanned)"
+_NONE = "No security issues or secrets detected."
+ORACLES["sink_markdown"] = _report(
+    (
+        "stats", "0",
+        lines_of(
+            text("# Security Audit Report"), "''", text("- **Scanned Directory**: `corpus`"), text(f"- **Timestamp**: `{q.TIMESTAMP}`"),
+            "''", text("## Executive Summary"), "''", text("| Metric | Value |"), text("| :--- | :--- |"),
+            say("| **Scanned Files** | `{}` |", "files_scanned"), say("| **Scanned Lines** | `{}` |", _COMMAS),
+            text("| **Elapsed Time** | `1.25s` |"), say("| **Total Findings** | `{}` |", "total_findings"),
+            *(say(f"| **{risk}** | `{{}}` |", count) for risk, count in _RISK_LINES),
+            "''", text("## Findings Summary Table"), "''", text("| Risk | Type | File Path | Line | Secret Preview |"),
+            text("| :--- | :--- | :--- | :---: | :--- |"),
+        ),
+    ),
+    (
+        "numbered", "idx",
+        say("| **{}** | {} | `{}` | `{}` | `{}` |", "risk_level", "finding_type", "file_path", "line_number",
+            "replace(matched_string, '|', '\\|')"),
+    ),
+    ("stats", "0", lines_of("''", text("## Detailed Audit Breakdown & Remediation"), "''")),
+    (
+        "numbered", "idx",
+        lines_of(
+            say("### {}. [{}] {}", "idx", "risk_level", "finding_type"), "''",
+            say("- **File**: `{}` (Line {})", "file_path", "line_number"), say("- **Description**: {}", "description"),
+            say("- **Matched Value**: `{}`", "matched_string"),
+            "CASE WHEN commit_hash <> '' THEN "
+            + say("- **Git Commit**: `{}` by {} ({})", "commit_hash", "coalesce(author, 'None')", "coalesce(date, 'None')") + " END",
+            say("- **Recommendation**: {}", "recommendation"), "''", text("```"), say("Line {}: {}", "line_number", "line"),
+            text("```"), "''",
+        ),
+    ),
+)
+ORACLES["sink_text"] = _report(
+    (
+        "stats", "0",
+        lines_of(
+            text("=" * 70), text("SECRET AUDIT REPORT"), text("=" * 70), text("Target Directory : corpus"),
+            text(f"Scan Timestamp   : {q.TIMESTAMP}"), text("Execution Time   : 1.25 s"), say("Files Scanned   : {}", "files_scanned"),
+            say("Lines Scanned   : {}", "lines_scanned"), text("-" * 70), say("Total Findings   : {}", "total_findings"),
+            *(say(f"{risk:<17}: {{}}", count) for risk, count in _RISK_LINES), text("=" * 70), "''",
+        ),
+    ),
+    (
+        "numbered", "idx",
+        lines_of(
+            say("Finding #{}: [{}] {}", "idx", "risk_level", "finding_type"), say("File: {}:{}", "file_path", "line_number"),
+            say("Description: {}", "description"), say("Matched Secret: {}", "matched_string"),
+            say("Recommendation: {}", "recommendation"), say("Line Content: {}", "line"), text("-" * 50),
+        ),
+    ),
+)
+_HAS_CONTEXT = "rule_id NOT LIKE 'GIT-%' AND rule_id NOT LIKE 'STASH-%' AND rule_id <> 'FILE-AUDIT'"
+ORACLES["sink_html_cards"] = _report(
+    (
+        "stats", "0",
+        lines_of(
+            text("<!DOCTYPE html>"),
+            text('<html lang="en"><head><meta charset="utf-8"><title>Security Audit Report</title></head><body>'),
+            text(f"<p>corpus &middot; {q.TIMESTAMP}</p>"), text("<ul>"), say("<li>Files Scanned: {}</li>", "files_scanned"),
+            say("<li>Lines Scanned: {}</li>", _COMMAS), text("<li>Elapsed Time: 1.25s</li>"),
+            say("<li>Total Secrets: {}</li>", "total_findings"),
+            say("<li>Critical / High: {}</li>", "critical_count + high_count"), text("</ul>"),
+        ),
+    ),
+    (
+        "numbered", "idx",
+        lines_of(
+            say('<section class="card" data-risk="{}">', "risk_level"),
+            say('<h2><span class="badge">{}</span> {}</h2>', "upper(risk_level)", escaped("finding_type")),
+            say('<p class="place">{}:{}</p>', escaped("file_path"), "line_number"),
+            say("<p><strong>Description:</strong> {}</p>", escaped("description")),
+            "CASE WHEN commit_hash <> '' THEN "
+            + say('<p class="commit">Commit: <code>{}</code>{}{}</p>', escaped("commit_hash"),
+                  f"CASE WHEN author <> '' THEN ' | Author: ' || {escaped('author')} ELSE '' END",
+                  f"CASE WHEN date <> '' THEN ' | Date: ' || {escaped('date')} ELSE '' END") + " END",
+            say("<p>Matched Secret Preview: <code>{}</code></p>", escaped("matched_string")),
+            say("<p><strong>Recommendation:</strong> {}</p>", escaped("recommendation")),
+            # Every document has at least the planted line and its cut copy, so a line of a file has neighbours.
+            say("<p>{} (Line {})</p>", f"CASE WHEN {_HAS_CONTEXT} THEN 'Surrounding Code Context' ELSE 'Matched Line' END", "line_number"),
+            say(
+                "<pre><code>{}</code></pre>",
+                lines_of(
+                    f"CASE WHEN {_HAS_CONTEXT} AND line_number > 1 THEN {escaped('lines_before')} END",
+                    say("<mark>{} | {}</mark>", "printf('%4d', line_number)", escaped("line")),
+                    f"CASE WHEN {_HAS_CONTEXT} AND lines_after <> '' THEN {escaped('lines_after')} END",
+                ),
+            ),
+            text("</section>"),
+        ),
+    ),
+    ("stats", "0", text("</body></html>")),
+)
+ORACLES["sink_console"] = _report(
+    (
+        "stats", "0",
+        lines_of(
+            text("=" * 70), text("       SECRET AUDIT RESULTS SUMMARY"), text("=" * 70), text(" Target Directory   : corpus"),
+            text(" Execution Time     : 1.25 s"), say(" Files Scanned     : {}", "format('{:,}', files_scanned)"),
+            say(" Lines Scanned     : {}", _COMMAS), text("-" * 70), say(" Total Secrets      : {}", "total_findings"),
+            say(" Suspicious Lines  : {}", "suspicious_lines"),
+            *(say(f"   {risk:<9}: {{}}", count) for risk, count in _RISK_LINES), text("=" * 70),
+        ),
+    ),
+    (
+        "(SELECT * FROM numbered WHERE idx <= 10)", "idx",
+        lines_of(
+            say("{}. [{}] {}", "printf('%2d', idx)", "rpad(risk_level, 8, ' ')", "finding_type"),
+            say("    File: {}:{}", "file_path", "line_number"), say("    Match: {}", "matched_string"),
+            say("    Recommendation: {}", "recommendation"),
+        ),
+    ),
+    (
+        "(SELECT * FROM stats WHERE total_findings > 10)", "0",
+        say("... and {} additional findings detailed in the reports.", "total_findings - 10"),
+    ),
+)

@@ -38,6 +38,7 @@ from keysift.operators.scan import (
 )
 from keysift.plans import corpus as inputs
 from keysift.plans.audit import all_findings, run_audit, stats_row
+from keysift.plans.settle import settle
 from keysift.rules.catalog import BUILTIN_RULES, ENTROPY_ID, FILE_AUDIT_ID, KEYWORD_RULE_ID, Rule
 from keysift.rules.resolve import active_rules, custom_rule, enabled, rules_table
 from keysift.sinks import reports
@@ -541,7 +542,7 @@ def sink_json(spark, sf_dir):
 
 @query
 def sink_console(spark, sf_dir):
-    findings = _audited(spark, sf_dir)
+    findings = settle(_audited(spark, sf_dir), "findings")
     return reports.console_rows(findings, _stats(spark, sf_dir, findings), "corpus")
 
 
