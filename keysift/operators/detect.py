@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from keysift.config import AuditConfig
 from keysift.functions.regex import to_java
 from keysift.functions.text import ENTROPY_SLACK, distinct_chars, shannon_entropy
-from keysift.rules.anchors import ANCHORS, GATES, RUN_CHARS, RUN_LENGTH, Anchor
+from keysift.rules.anchors import GATES, RUN_CHARS, RUN_LENGTH, anchor
 from keysift.rules.catalog import FILE_NAME_RULES, Rule
 
 # Slots after the rules, which take 0, 1, 2, ...
@@ -95,13 +95,13 @@ def _entropy_candidates_sql(line: str, min_length: int) -> str:
 
 def _anchored(rule: Rule) -> str:
     """Necessary condition of a match, on the gate columns of ``detect``."""
-    anchor = ANCHORS.get(rule.id, Anchor())
-    tests = [f"`_has {gate}`" for gate in anchor.gates]
-    if anchor.groups:
-        held = " AND ".join(_any("_lowered" if anchor.folded else "line", group) for group in anchor.groups)
-        tests.append(f"({held} OR _odd)" if anchor.folded else f"({held})")
-    if anchor.shape:
-        tests.append(f"line RLIKE {_sql(to_java(anchor.shape))}")
+    needs = anchor(rule)
+    tests = [f"`_has {gate}`" for gate in needs.gates]
+    if needs.groups:
+        held = " AND ".join(_any("_lowered" if needs.folded else "line", group) for group in needs.groups)
+        tests.append(f"({held} OR _odd)" if needs.folded else f"({held})")
+    if needs.shape:
+        tests.append(f"line RLIKE {_sql(to_java(needs.shape))}")
     return " AND ".join(tests) or "line IS NOT NULL"
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from string import ascii_letters, digits
 
-from keysift.rules.catalog import ASSIGNMENT, NAME_TAIL
+from keysift.rules.catalog import ASSIGNMENT, NAME_TAIL, Rule
 
 # Gates are tested once per line and shared by the rules.
 GATES: dict[str, tuple[str, ...]] = {
@@ -120,3 +120,10 @@ ANCHORS: dict[str, Anchor] = {
         shape=rf"(?i:key|secret|token|authorization|credentials?|passphrase|password|passwd){NAME_TAIL}{ASSIGNMENT}[\"'`]",
     ),
 }
+
+
+def anchor(rule: Rule) -> Anchor:
+    if rule.keywords:
+        plain = all(word.isascii() for word in rule.keywords)  # others may fold to more than one character
+        return _folded("assign", "quote", has=(tuple(word.lower() for word in rule.keywords),) if plain else ())
+    return ANCHORS.get(rule.id, Anchor())

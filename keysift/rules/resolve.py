@@ -25,7 +25,9 @@ def clean_keywords(keywords: Iterable[str]) -> list[str]:
 
 def keyword_rule(keywords: Iterable[str]) -> Rule | None:
     words = clean_keywords(keywords)
-    return replace(KEYWORD_RULE, pattern=name_assignment("|".join(map(re.escape, words)))) if words else None
+    if not words:
+        return None
+    return replace(KEYWORD_RULE, pattern=name_assignment("|".join(map(re.escape, words))), keywords=tuple(words))
 
 
 def custom_rule(entry: Mapping[str, Any]) -> Rule:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 from typing import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,9 +24,12 @@ def unlisted(path: Column, length: Column) -> Column:
 
 
 def _open(root: str):
+    """The file system of a root as Spark writes it, unencoded, and the root's path there."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", root))
+    if root.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", root)
+    return fs.FileSystem.from_uri(quote(root, safe=":/@"))
 
 
 def _lister(root: str):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from dataclasses import replace
 
 import duckdb
@@ -14,6 +15,7 @@ from keysift.functions.regex import compiles, to_java
 from keysift.operators.scan import scan_files
 from keysift.plans.corpus import KINDS, PLANTED
 from keysift.rules.catalog import BUILTIN_RULES
+from keysift.rules.resolve import keyword_rule
 from tests import brute
 
 NAMES = ("a.swift", "a.xml", "k.p8", "a.properties", "a.xcconfig", "a.env", "Config.swift")
@@ -27,10 +29,10 @@ def planted() -> list[str]:
     return list(duckdb.sql(f"SELECT {row} FROM (SELECT '{x}' AS x, md5('{x}') AS h)").fetchall()[0])
 
 
-def _scan(spark, lines: list[tuple[str, str]], config=AuditConfig(), anchors=True):
+def _scan(spark, lines: list[tuple[str, str]], config=AuditConfig(), anchors=True, rules=BUILTIN_RULES):
     rows = [(f"d{n}/{name}", name, line) for n, (name, line) in enumerate(lines)]
     files = spark.createDataFrame(rows, "path STRING, name STRING, text STRING").repartition(4)
-    found = scan_files(files, BUILTIN_RULES, config, anchors=anchors).select("file_path", "rule_id", "matched_string").collect()
+    found = scan_files(files, rules, config, anchors=anchors).select("file_path", "rule_id", "matched_string").collect()
     by_path: dict[str, list] = {path: [] for path, _, _ in rows}
     for row in found:
         if row["rule_id"] != "FILE-AUDIT":
@@ -70,6 +72,17 @@ def test_anchors_lose_nothing(spark, planted):
     assert _scan(spark, lines) == _scan(spark, lines, anchors=False)
 
 
+def test_keyword_anchors_lose_nothing(spark, planted):
+    lines = [("a.py", line.replace("token", word)) for line in planted for word in ("token", "Kİste", "ſtraße", "KEYWORD.x")]
+    lines += [("a.py", f"{word} = 'abcd-1234'") for word in ("kiste", "KİSTE", "straSSe", "ſtraße", "my_Keyword.X", "KEYWORD.x", "keywordyx")]
+    off = replace(AuditConfig(), enable_entropy=False)
+    for words in (["keyword.x", "kiste"], ["straße", "kiste"]):
+        rule = keyword_rule(words)
+        found = _scan(spark, lines, off, rules=[rule])
+        wanted = [[(rule.id, brute.redact(m.group(0))) for m in re.finditer(rule.pattern, line)] for _, line in lines]
+        assert found == [sorted(w) for w in wanted] and any(found)
+
+
 def test_entropy_options(spark, planted):
     lines = [("a.py", line) for line in planted]
     off = replace(AuditConfig(), enable_entropy=False)

@@ -39,7 +39,7 @@ WALKED = {"empty.py", "x/y/z/.npmrc", "pkg/__init__.py", "_site/deep/.eslintrc.j
 
 
 def test_tree(spark, tmp_path):
-    root = tmp_path / "project"
+    root = tmp_path / "pro ject+%41"
     _tree(root, TREE)
     files = read_files(spark, str(root)).cache()
     assert {r["path"] for r in files.collect()} == TARGETS
