@@ -140,12 +140,14 @@ def detect(
     late: Mapping[str, Column] | None = None,
     keep: Sequence[str] = (),
     anchors: bool = True,
+    distinct: bool = False,
 ) -> DataFrame:
     """One row per match in ``lines(line, ...)``: the ``keep`` columns, ``slot``, ``match_pos``, ``matched``
     and, for entropy findings, ``entropy`` in bits per character, rounded.
 
     ``name`` is the column with the file name, which file-restricted rules are tested on; without it every rule
     runs on every line.  ``markers`` are further slots, each an SQL test and, when it holds, an SQL array of matches.  ``late`` columns are computed only for lines with a slot, and may use any column of ``lines``.
+    ``distinct`` leaves out repeated matches of one rule in one line, which deduplication would drop later.
     """
     markers, late = dict(markers or {}), dict(late or {})
     slot, needed = F.col("slot"), _needed_chars(config.entropy_threshold)
@@ -176,7 +178,7 @@ def detect(
         "slot", F.expr(f"explode(array_remove(_slots, {NO_SLOT}))")
     )
     branches = " ".join(f"WHEN slot = {n} THEN {strings}" for n, strings in found.items())
-    matches = F.expr(f"CASE {branches} END")
+    matches = F.expr(f"array_distinct(CASE {branches} END)" if distinct else f"CASE {branches} END")
     # `late` goes below the generator: nothing above it then carries the columns it is made from.
     rows = hits.select(*keep, *(c.alias(n) for n, c in late.items()), "slot", "line", *([name] if name and name not in keep else []))
     rows = rows.select(*keep, *late, "slot", F.posexplode(matches).alias("match_pos", "matched"))

@@ -94,6 +94,7 @@ def scan_files(
     *,
     per_file: bool = False,
     anchors: bool = True,
+    distinct: bool = False,
 ) -> DataFrame:
     """Findings of ``files(path, name, text)``; ``text`` is null for a binary file, of which only the name is audited.
 
@@ -111,7 +112,7 @@ def scan_files(
         markers[FILE_SLOT] = ("line_number = 1", "array('')")
     slot, is_audit = F.col("slot"), F.col("slot") == FILE_AUDIT_SLOT
     matches = detect(
-        lines, rules, config, entropy=config.enable_entropy, name="name", markers=markers, anchors=anchors,
+        lines, rules, config, entropy=config.enable_entropy, name="name", markers=markers, anchors=anchors, distinct=distinct,
         keep=("path", "name", "audit", "line_number"),
         late={
             "context": F.when(
@@ -146,13 +147,13 @@ def scan_files(
 
 def _scan_added(
     added: DataFrame, attributes: Sequence[Rule], rules: Sequence[Rule], config: AuditConfig, *, origin: int, entropy: bool,
-    where: str, name: str | None,
+    where: str, name: str | None, distinct: bool,
 ) -> DataFrame:
     """``attributes`` are the rules as history findings show them; ``where`` comes before the commit."""
     columns = ("file", "line", "commit", "author", "date", "log_file", "log_block", "log_row", "part", "at")
     if name:
         added = added.withColumn(name, F.element_at(F.split("file", "/"), -1))
-    matches = detect(added, rules, config, entropy=entropy, name=name, keep=columns)
+    matches = detect(added, rules, config, entropy=entropy, name=name, keep=columns, distinct=distinct)
     matches = matches.withColumn(
         "seen",
         _order(origin, F.col("log_file"), F.col("log_block"), F.col("log_row"), F.col("part"), F.col("at")),
@@ -178,7 +179,7 @@ def _scan_added(
 
 def scan_patches(
     added: DataFrame, config: AuditConfig = AuditConfig(), *, rules: Sequence[Rule] = BUILTIN_RULES,
-    entropy: bool = True, file_filters: bool = False,
+    entropy: bool = True, file_filters: bool = False, distinct: bool = False,
 ) -> DataFrame:
     """Findings of the added lines of a patch log.
 
@@ -191,19 +192,19 @@ def scan_patches(
     )
     return _scan_added(
         added, [*shown, secret], rules, config, origin=1, entropy=entropy and config.enable_entropy,
-        where="Git commit ", name="_name" if file_filters else None,
+        where="Git commit ", name="_name" if file_filters else None, distinct=distinct,
     )
 
 
 def scan_stashes(
-    added: DataFrame, config: AuditConfig = AuditConfig(), *, rules: Sequence[Rule] = BUILTIN_RULES
+    added: DataFrame, config: AuditConfig = AuditConfig(), *, rules: Sequence[Rule] = BUILTIN_RULES, distinct: bool = False,
 ) -> DataFrame:
     """Findings of the added lines of stashed changes, by rules only."""
     shown = [
         replace(r, id=f"STASH-{r.id}", name=f"Git Stash: {r.name}", recommendation=STASH_RECOMMENDATION) for r in rules
     ]
     added = added.withColumns({"author": _no_text(), "date": _no_text()})
-    return _scan_added(added, shown, rules, config, origin=2, entropy=False, where="", name=None)
+    return _scan_added(added, shown, rules, config, origin=2, entropy=False, where="", name=None, distinct=distinct)
 
 
 def union_findings(parts: Sequence[DataFrame]) -> DataFrame:

@@ -36,9 +36,9 @@ def all_findings(
     parts = [file_findings]
     if config.enable_history:
         if patches is not None:
-            parts.append(scan_patches(patches, config))
+            parts.append(scan_patches(patches, config, distinct=True))
         if stashes is not None:
-            parts.append(scan_stashes(stashes, config))
+            parts.append(scan_stashes(stashes, config, distinct=True))
     return dedup_findings(union_findings(parts))
 
 
@@ -60,7 +60,7 @@ def run_audit(
     """Audit ``files(path, name, text)`` and, if given, added lines of patches and stashes."""
     started = time.perf_counter()
     rules = active_rules(files.sparkSession, config) if rules is None else rules
-    scan = settle(scan_files(files, rules, config, per_file=True), "scan")
+    scan = settle(scan_files(files, rules, config, per_file=True, distinct=True), "scan")
     found = scan.filter(F.col("rule_id").isNotNull()).drop("n_lines")
     findings = settle(all_findings(found, patches, stashes, config), "findings")
     counts = scan_counts(scan.filter(F.col("rule_id").isNull()))

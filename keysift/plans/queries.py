@@ -102,7 +102,7 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated findings of files that pass the path rules, of patches and of stashes."""
     targets = _corpus(spark, sf_dir).filter(is_target(F.col("path"), CONFIG))
     return all_findings(
-        scan_files(targets, BUILTIN_RULES, CONFIG), _added(spark, sf_dir), _stashed(spark, sf_dir), CONFIG
+        scan_files(targets, BUILTIN_RULES, CONFIG, distinct=True), _added(spark, sf_dir), _stashed(spark, sf_dir), CONFIG
     )
 
 

@@ -25,7 +25,8 @@ def _read_records(spark: SparkSession, path: str, mark: str) -> DataFrame:
         F.col("_metadata.file_path").alias("log_file"),
         F.col("_metadata.file_block_start").alias("log_block"),
         F.monotonically_increasing_id().alias("log_row"),
-        F.regexp_replace("value", f"^{mark}", "").alias("record"),
+        F.when(F.startswith("value", F.lit(mark)), F.substring("value", len(mark) + 1, 1 << 30))
+        .otherwise(F.col("value")).alias("record"),
     )
 
 
