@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keysift.config import AuditConfig
 from keysift.functions.text import redact
+from keysift.operators.context import join_context
 from keysift.operators.detect import ENTROPY_SLOT, detect, file_name_rule
 from keysift.operators.lines import split_lines
 from keysift.rules.catalog import (
@@ -121,12 +122,15 @@ def scan_files(
             "n_lines": F.when(slot == FILE_SLOT, F.size("lines").cast("bigint")),
         },
     )
-    matches = matches.withColumn("seen", _order(0, F.col("path"), F.lit(0), F.lit(0), F.lit(0), F.col("line_number")))
-    matches = matches.withColumn("slot", F.when(is_audit, slot + F.col("audit")).otherwise(slot))
+    return _file_findings(matches.withColumn("slot", F.when(is_audit, slot + F.col("audit")).otherwise(slot)), rules, per_file)
+
+
+def _file_findings(matches: DataFrame, rules: Sequence[Rule], per_file: bool) -> DataFrame:
     names = [Rule(FILE_AUDIT_ID, "", r.risk, r.name, "", r.description, FILE_AUDIT_RECOMMENDATION) for r in FILE_NAME_RULES]
     entropy = Rule(
         ENTROPY_ID, "", "Medium", ENTROPY_NAME, "", "Detected high Shannon entropy string (", ENTROPY_RECOMMENDATION
     )
+    matches = matches.withColumn("seen", _order(0, F.col("path"), F.lit(0), F.lit(0), F.lit(0), F.col("line_number")))
     return with_rules(matches, rules, [entropy, *names]).select(
         "finding_type",
         "risk_level",
@@ -145,6 +149,41 @@ def scan_files(
     )
 
 
+def scan_long(
+    files: DataFrame, lines: DataFrame, rules: Sequence[Rule], config: AuditConfig = AuditConfig(), *, distinct: bool = False
+) -> DataFrame:
+    """Findings and per-file rows, as of ``scan_files``, of ``files(path)`` whose ``lines(path, line_number, line)`` are rows."""
+    named = lines.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    found = detect(
+        named, rules, config, entropy=config.enable_entropy, name="name", keep=("path", "line_number", "line"), distinct=distinct
+    )
+    around = join_context(found, lines, config.context_lines)
+    context = _context(F.col("lines_before"), F.col("line"), F.col("line_number"), F.col("lines_after"))
+    columns = ("path", "line_number", "slot", "match_pos", "matched", "entropy", "context", "n_lines")
+    around = around.withColumns({"context": context, "n_lines": F.lit(None).cast("bigint")}).select(*columns)
+
+    name = F.element_at(F.split("path", "/"), -1)
+    sizes = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
+    whole = files.select("path").join(sizes, "path", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+    whole = whole.withColumns(
+        {
+            "line_number": F.lit(1),
+            "match_pos": F.lit(0),
+            "entropy": F.lit(None).cast("double"),
+            "slot": F.explode(F.array_compact(F.array(F.lit(FILE_SLOT), FILE_AUDIT_SLOT + file_name_rule(name)))),
+        }
+    )
+    is_file = F.col("slot") == FILE_SLOT
+    whole = whole.withColumns(
+        {
+            "matched": F.when(is_file, "").otherwise(name),
+            "context": F.when(~is_file, _context(_no_lines(), F.concat(F.lit("File: "), name), F.lit(1), _no_lines())),
+            "n_lines": F.when(is_file, F.col("n_lines")),
+        }
+    )
+    return _file_findings(around.unionByName(whole.select(*columns)), rules, per_file=True)
+
+
 def _scan_added(
     added: DataFrame, attributes: Sequence[Rule], rules: Sequence[Rule], config: AuditConfig, *, origin: int, entropy: bool,
     where: str, name: str | None, distinct: bool,

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysift.config import AuditConfig
 from keysift.operators.findings import audit_gate, dedup_findings, finding_stats
-from keysift.operators.scan import scan_counts, scan_files, scan_patches, scan_stashes, union_findings
+from keysift.operators.scan import scan_counts, scan_files, scan_long, scan_patches, scan_stashes, union_findings
 from keysift.plans.settle import settle
 from keysift.rules.catalog import Rule
 from keysift.rules.resolve import active_rules
 from keysift.sources.files import read_files
+from keysift.sources.long_files import LONG_BYTES, long_parts
 from keysift.sources.patches import patch_lines, read_patch_log, read_stash_log, stash_lines
 
 
@@ -54,13 +55,17 @@ def run_audit(
     *,
     patches: DataFrame | None = None,
     stashes: DataFrame | None = None,
+    long: tuple[DataFrame, DataFrame] | None = None,
     rules: Sequence[Rule] | None = None,
     scanned: str = "",
 ) -> Audit:
-    """Audit ``files(path, name, text)`` and, if given, added lines of patches and stashes."""
+    """Audit ``files(path, name, text)`` and, if given, long files and added lines of patches and stashes."""
     started = time.perf_counter()
     rules = active_rules(files.sparkSession, config) if rules is None else rules
-    scan = settle(scan_files(files, rules, config, per_file=True, distinct=True), "scan")
+    scan = scan_files(files, rules, config, per_file=True, distinct=True)
+    if long is not None:
+        scan = scan.unionByName(scan_long(*long, rules, config, distinct=True))
+    scan = settle(scan, "scan")
     found = scan.filter(F.col("rule_id").isNotNull()).drop("n_lines")
     findings = settle(all_findings(found, patches, stashes, config), "findings")
     counts = scan_counts(scan.filter(F.col("rule_id").isNull()))
@@ -75,11 +80,13 @@ def audit_tree(
     *,
     patch_log: str | None = None,
     stash_log: str | None = None,
+    long_bytes: int = LONG_BYTES,
 ) -> Audit:
-    """Audit a tree of files together with its exported history."""
+    """Audit a tree of files together with its exported history; long files are scanned in splits."""
     return run_audit(
-        read_files(spark, root, config),
+        read_files(spark, root, config, longest=long_bytes),
         config,
+        long=long_parts(spark, root, config, long_bytes),
         patches=patch_lines(read_patch_log(spark, patch_log)) if patch_log else None,
         stashes=stash_lines(read_stash_log(spark, stash_log)) if stash_log else None,
         scanned=root,

@@ -699,3 +699,10 @@ ORACLES["sink_console"] = _report(
         say("... and {} additional findings detailed in the reports.", "total_findings - 10"),
     ),
 )
+_FILES_ONLY = ("audited", dedup(_nested(file_ctes(target=True), f"SELECT {FINDING}, {_FILE_ORDER} FROM ({file_findings()})")))
+ORACLES["sink_switch"] = with_(_FILES_ONLY, ("n", "SELECT count(*) AS findings FROM audited")) + " UNION ALL ".join(
+    f"SELECT '{kind}' AS report, {section} AS section, CAST({blocks} AS BIGINT) AS blocks FROM n"
+    for kind, section, blocks in (
+        ("markdown", 0, 1), ("markdown", 1, "findings"), ("markdown", 2, 1), ("markdown", 3, "findings"), ("text", 0, 1), ("text", 1, "findings"),
+    )
+)

@@ -65,7 +65,7 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.when(~is_binary(F.col("content")), decode_text(F.col("content")))).drop("content")
 
 
-def _qualify(spark: SparkSession, root: str) -> tuple[str, bool, bool]:
+def qualify(spark: SparkSession, root: str) -> tuple[str, bool, bool]:
     """The root as Spark reports paths under it, whether it exists and whether it is a file."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -74,33 +74,42 @@ def _qualify(spark: SparkSession, root: str) -> tuple[str, bool, bool]:
     return path.toString(), exists, exists and not fs.getFileStatus(path).isDirectory()
 
 
-def listed_files(spark: SparkSession, root: str, config: AuditConfig) -> DataFrame:
-    """The files to be scanned among those Spark lists.
+def targets(files: DataFrame, root: str, config: AuditConfig, *columns: str | Column) -> DataFrame:
+    """``path`` below the root, and the given columns, of the files of a file source that are to be scanned.
 
     The rules on paths are tested on file metadata, so Spark drops the other files when it plans the scan and
     never opens them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root)
     # The metadata path is URL-encoded.
     listed = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    files = files.filter(is_target(_below(listed, base), config))
-    files = files.select(_below(F.col("path"), base).alias("path"), "length", "content")
+    path = _below(listed, F.lit(root))
+    return files.filter(is_target(path, config)).select(path.alias("path"), *columns)
+
+
+def listed_files(spark: SparkSession, root: str, config: AuditConfig, longest: int | None = None) -> DataFrame:
+    """The files to be scanned among those Spark lists."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if longest is not None:
+        files = files.filter(F.col("_metadata.file_size") < longest)
+    files = targets(files, root, config, "length", "content")
     return files.filter(~unlisted(F.col("path"), F.col("length")))
 
 
-def list_files(spark: SparkSession, root: str, config: AuditConfig = AuditConfig()) -> DataFrame:
+def list_files(
+    spark: SparkSession, root: str, config: AuditConfig = AuditConfig(), longest: int | None = None
+) -> DataFrame:
     """``(path, name, length, content)`` of the files under ``root`` that are to be scanned.
 
     ``path`` is relative to the root.  A root that is one file is taken as it is, a missing one has no files.
+    Files of ``longest`` bytes or more are left to ``long_parts``.
     """
-    root, exists, single = _qualify(spark, root)
+    root, exists, single = qualify(spark, root)
     if not exists:
         return spark.createDataFrame([], "path STRING, name STRING, length BIGINT, content BINARY")
     if single:
         files = spark.read.format("binaryFile").load(root).withColumn("path", file_name(F.col("path")))
     else:
-        files = listed_files(spark, root, config).unionByName(
+        files = listed_files(spark, root, config, longest).unionByName(
             read_unlisted(
                 spark, root,
                 descend=lambda path: in_open_dirs(F.concat(path, F.lit("/")), config),
@@ -118,8 +127,10 @@ def _below(path: Column, base: Column) -> Column:
     return rel_path(plain(path), plain(base))
 
 
-def read_files(spark: SparkSession, root: str, config: AuditConfig = AuditConfig()) -> DataFrame:
-    return with_text(list_files(spark, root, config).drop("length"))
+def read_files(
+    spark: SparkSession, root: str, config: AuditConfig = AuditConfig(), longest: int | None = None
+) -> DataFrame:
+    return with_text(list_files(spark, root, config, longest).drop("length"))
 
 
 def from_documents(documents: DataFrame, path: Column, text: Column) -> DataFrame:

@@ -23,7 +23,7 @@ def unlisted(path: Column, length: Column) -> Column:
     return (length == 0) | path.rlike(r"(?:^|/)[_.]") | path.endswith("._COPYING_")
 
 
-def _open(root: str):
+def open_root(root: str):
     """The file system of a root as Spark writes it, unencoded, and the root's path there."""
     from pyarrow import fs
 
@@ -36,7 +36,7 @@ def _lister(root: str):
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        system, base = _open(root)
+        system, base = open_root(root)
         for batch in batches:
             for below in batch["path"]:
                 infos = system.get_file_info(fs.FileSelector(f"{base}/{below}".rstrip("/")))
@@ -53,7 +53,7 @@ def _lister(root: str):
 
 def _reader(root: str):
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = _open(root)
+        system, base = open_root(root)
         for batch in batches:
             for path, length in zip(batch["path"], batch["length"]):
                 with system.open_input_stream(f"{base}/{path}") as stream:

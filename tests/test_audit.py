@@ -115,3 +115,30 @@ def test_output_folder(audit, project, tmp_path):
     assert output_dir(audit, None).endswith(project.name)
     assert output_dir(audit, str(tmp_path)).endswith(tmp_path.name)
     assert output_dir(audit, str(tmp_path / "none")).endswith(Path.cwd().name)
+
+
+def test_long_files_are_scanned_alike(spark, project, tmp_path):
+    """The same tree with every file of 40 bytes or more read as lines, in many splits."""
+    root = tmp_path / "long"
+    root.mkdir()
+    lines = [f'n{n} = "{"x" * (n % 7)}" {GOOGLE if n % 31 == 0 else ""}' for n in range(3000)]
+    (root / "big.py").write_bytes("\r\n".join(lines).encode())
+    (root / "odd.log").write_bytes(b"a\rb\xff\n\n" + f"token = '{DIGITS[:30]}'\n".encode())
+    (root / "data.sqlite").write_bytes(b"\x00" * 100 + GOOGLE.encode())
+    (root / "tiny.env").write_text("SECRET=abcdefgh\n")
+    (root / "_hidden.md").write_text(f"{GOOGLE} and more than forty bytes of text\n" * 3)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {key: spark.conf.get(key) for key in keys}
+    wanted = audit_tree(spark, str(root))
+    for key in keys:
+        spark.conf.set(key, "4096")
+    try:
+        found = audit_tree(spark, str(root), long_bytes=40)
+        rows = found.findings.drop("seen").collect()
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert sorted(map(str, rows)) == sorted(map(str, wanted.findings.drop("seen").collect()))
+    assert {r["file_path"] for r in rows} == {"big.py", "odd.log", "data.sqlite", "tiny.env", "_hidden.md"}
+    for column in ("files_scanned", "lines_scanned", "total_findings"):
+        assert found.stats.first()[column] == wanted.stats.first()[column], column
