@@ -12,10 +12,13 @@ _DIR = "spark.checkpoint.dir"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a local one is made only where none is named, as in tests."""
-    folder = spark.conf.get(_DIR, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(_DIR, None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="keysift-")
-        spark.conf.set(_DIR, folder)
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {_DIR} to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="keysift-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
