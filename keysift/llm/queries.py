@@ -8,7 +8,89 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysift.llm.exact import exact_dedup
 from keysift.llm.lines import line_dedup
+from keysift.llm.packing import pack
 from keysift.llm.shared import table
+from keysift.llm.urls import UrlRule, filter_urls
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed package of public vocabularies keeps a file, on the driver and on executors alike."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+URL_RULES = [
+    UrlRule("allow", "com", "/"),
+    UrlRule("block", "example.com", "/en/"),
+    UrlRule("allow", "www.example.com", "/en/"),
+    UrlRule("block", "net", "/es/"),
+    UrlRule("block", "net", "/fr/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page: its rule's, else that of its aliases, else allow."""
+    judged = filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE rules(rule, host, path, verdict) AS (
+  VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+         ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'),
+         ('net/fr/', 'net', '/fr/', 'block')
+), tags AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+                   '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS named,
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+                   '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) AS moved
+  FROM pages
+), urls(page_id, kind, url) AS (
+  SELECT page_id, 'page', url FROM tags
+  UNION ALL SELECT page_id, 'named', CASE WHEN contains(named, '://') THEN named WHEN named[1:2] = '//' THEN 'http:' || named
+    WHEN named[1] = '/' THEN 'http://' || regexp_extract(url, '://([^/?#]*)', 1) || named ELSE '' END FROM tags
+  UNION ALL SELECT page_id, 'moved', CASE WHEN contains(moved, '://') THEN moved WHEN moved[1:2] = '//' THEN 'http:' || moved
+    WHEN moved[1] = '/' THEN 'http://' || regexp_extract(url, '://([^/?#]*)', 1) || moved ELSE '' END FROM tags
+), parts AS (
+  SELECT page_id, kind, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM urls
+), split AS (
+  SELECT page_id, kind, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_replace(rest, '^[^/?#]*', '') AS tail,
+    list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND p NOT LIKE 'utm\_%' ESCAPE '\') AS kept
+  FROM parts
+), keyed AS (
+  SELECT page_id, kind, host, path, host || tail AS node,
+    host || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical
+  FROM split
+), edges AS (
+  SELECT p.canonical AS a, t.canonical AS b FROM keyed p JOIN keyed t USING (page_id)
+  WHERE p.kind = 'page' AND t.kind <> 'page' AND p.canonical <> '' AND t.canonical <> '' AND p.canonical <> t.canonical
+), linked AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reached(node, root) AS (
+  SELECT a, a FROM linked UNION SELECT l.b, r.root FROM reached r JOIN linked l ON l.a = r.node
+), members AS (
+  SELECT DISTINCT k.node, coalesce(r.component, k.canonical) AS component
+  FROM (SELECT node, canonical FROM keyed WHERE canonical <> '' UNION SELECT canonical, canonical FROM keyed WHERE canonical <> '') k
+  LEFT JOIN (SELECT node, min(root) AS component FROM reached GROUP BY node) r ON r.node = k.canonical
+), placed AS (
+  SELECT node, component, regexp_extract(node, '^[^/?#]*') AS host, regexp_extract(node, '^[^/?#]*([^?#]*)', 1) AS path FROM members
+), said AS (
+  SELECT p.node, p.component, arg_max(r.verdict, length(r.rule)) AS verdict FROM placed p
+  LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY p.node, p.component
+), shared AS (
+  SELECT component, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' END AS verdict
+  FROM said GROUP BY component
+), ruled AS (
+  SELECT k.page_id, k.host, k.path, k.node,
+    arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM keyed k LEFT JOIN rules r ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path)
+  WHERE k.kind = 'page' GROUP BY k.page_id, k.host, k.path, k.node
+)
+SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.verdict, s.verdict, 'allow') AS verdict
+FROM ruled u LEFT JOIN members m ON m.node = u.node LEFT JOIN shared s ON s.component = m.component
+"""
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +137,20 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence and offset of every piece of every document."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_url_filter": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
