@@ -87,7 +87,7 @@ def rule_index(host: Column, path: Column, rules: list[UrlRule]) -> Column:
 
 
 def _named(index: Column, values: list[str]) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), index + 1) if values else F.lit(None).cast("string")
+    return F.get(F.array(*map(F.lit, values)).cast("array<string>"), index)
 
 
 def filter_urls(
