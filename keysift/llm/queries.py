@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from keysift.llm.exact import exact_dedup
 from keysift.llm.lines import line_dedup
 from keysift.llm.packing import pack
+from keysift.llm.pii import FORMATS, pseudonymise
 from keysift.llm.shared import table
 from keysift.llm.urls import UrlRule, filter_urls
 
@@ -142,11 +143,22 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+PII_KEY = "corpus-2024"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms for personal values, and how many of each kind were replaced."""
+    masked = pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    counts = (F.size(F.filter("found", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in FORMATS)
+    return masked.select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"), *counts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_pii": op8_pii,
 }
 
 ORACLES: dict[str, str] = {
