@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from keysift.llm.decontaminate import decontaminate
 from keysift.llm.exact import exact_dedup
 from keysift.llm.lines import line_dedup
 from keysift.llm.packing import pack
@@ -153,16 +154,57 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"), *counts)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold ten words in a row of a benchmark item, how many words that hits, and of which items."""
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP9_SQL = r"""
+WITH split AS (
+  SELECT 'doc' AS kind, doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM documents
+  UNION ALL
+  SELECT 'item', item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT id, least(10, len(words)) AS size, array_to_string(words[i : i + 9], ' ') AS phrase
+  FROM (SELECT id, words, unnest(range(1, greatest(2, len(words) - 8))) AS i FROM split WHERE kind = 'item' AND len(words) > 0)
+), places AS (
+  SELECT d.id, d.i, s.size, array_to_string(d.words[d.i : d.i + s.size - 1], ' ') AS phrase
+  FROM (SELECT id, words, unnest(range(1, len(words) + 1)) AS i FROM split WHERE kind = 'doc') d
+  JOIN (SELECT DISTINCT size FROM windows) s ON d.i + s.size - 1 <= len(d.words)
+), occurrences AS (
+  SELECT p.id, p.i, p.size, w.id AS item FROM places p JOIN windows w ON w.size = p.size AND w.phrase = p.phrase
+), hit AS (
+  SELECT id, count(DISTINCT word) AS n_hit
+  FROM (SELECT id, unnest(range(i, i + size)) AS word FROM occurrences) GROUP BY id
+), named AS (
+  SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS item FROM occurrences) GROUP BY id
+)
+SELECT s.id AS doc_id, len(s.words) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+       sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM split s LEFT JOIN hit h ON h.id = s.id LEFT JOIN named n ON n.id = s.id WHERE s.kind = 'doc'
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pii": op8_pii,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op9_decontamination": OP9_SQL,
 }
