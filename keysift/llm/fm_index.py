@@ -45,9 +45,11 @@ class WaveletRanks:
 
 
 class FmIndex:
-    """Index of ``codes``, whose last is a zero that no phrase holds; every ``sample``-th position is kept."""
+    """Index of ``codes``, numbers below ``symbols``; every ``sample``-th position is kept."""
 
     def __init__(self, codes: np.ndarray, symbols: int, sample: int = 16):
+        # A zero of its own ends the text, so all suffixes differ and stepping back keeps their order.
+        codes, symbols = np.append(codes + 1, 0), symbols + 1
         order = suffix_order(codes)
         self.before = codes[order - 1]  # the symbol that precedes each suffix, the last one for the first
         self.ranks = WaveletRanks(self.before, symbols)
@@ -60,7 +62,7 @@ class FmIndex:
         """Interval of suffixes that start with each row of ``phrases``, found from the last word to the first."""
         low = np.zeros(len(phrases), np.int64)
         high = np.full(len(phrases), len(self.before), np.int64)
-        for column in phrases.T[::-1]:
+        for column in phrases.T[::-1] + 1:
             low = self.first[column] + self.ranks.rank(column, low)
             high = self.first[column] + self.ranks.rank(column, high)
         return low, np.maximum(low, high)
