@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keysift.llm.decontaminate import decontaminate
 from keysift.llm.exact import exact_dedup
@@ -150,8 +150,11 @@ PII_KEY = "corpus-2024"
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal values, and how many of each kind were replaced."""
     masked = pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
-    counts = (F.size(F.filter("found", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in FORMATS)
-    return masked.select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"), *counts)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return masked.select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"), *map(count, FORMATS))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
