@@ -11,6 +11,7 @@ from keysift.llm.exact import exact_dedup
 from keysift.llm.lines import line_dedup
 from keysift.llm.packing import pack
 from keysift.llm.pii import FORMATS, pseudonymise
+from keysift.llm.quality import classify_quality
 from keysift.llm.shared import table
 from keysift.llm.urls import UrlRule, filter_urls
 
@@ -22,6 +23,12 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label model's and the scorer's view of every document."""
+    judged = classify_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return judged.select("doc_id", "posterior", "score", "accepted")
+
+
 URL_RULES = [
     UrlRule("allow", "com", "/"),
     UrlRule("block", "example.com", "/en/"),
@@ -197,6 +204,7 @@ FROM split s LEFT JOIN hit h ON h.id = s.id LEFT JOIN named n ON n.id = s.id WHE
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
