@@ -14,7 +14,7 @@ from keysift.llm.fm_index import FmIndex
 from keysift.llm.shared import settled, slices
 
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -68,7 +68,7 @@ def _found(codes: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray,
     sizes = ends - begins + 1
     shifts = np.cumsum(sizes) - sizes
     where = np.repeat(begins - shifts, sizes) + np.arange(sizes.sum())
-    text = np.append(codes, 0)[where]
+    text = np.append(codes, 0)[where].astype(np.int64)
     index = FmIndex(text, len(windows.vocabulary) + 1)
     starts, stops, held = [], [], []
     for length, phrases, first, many, items in windows.groups:
@@ -104,23 +104,24 @@ def _scan(batches, windows, cleaned: bool):
             real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[real]
             codes = pc.fill_null(pc.index_in(flat, value_set=windows.vocabulary), -1).to_numpy(zero_copy_only=False)[real] + 1
-            n_words = np.bincount(owner, minlength=len(lists))
+            n_words = np.bincount(owner, minlength=len(texts))
             # Every document is followed by one word of no item, so no window crosses its end.
             place = np.arange(len(codes)) + owner
-            ended = np.zeros(len(codes) + len(lists), np.int64)
+            ended = np.zeros(len(codes) + len(lists), np.int32)
             ended[place] = codes
+            del lists, flat, real, owner, codes, place  # the words are not needed any more
             starts, stops, group, held = _found(ended, windows)
             offset = np.cumsum(n_words + 1) - (n_words + 1)
-            change = np.zeros(len(ended) + 1, np.int64)
+            change = np.zeros(len(ended) + 1, np.int32)
             np.add.at(change, starts, 1)
             np.add.at(change, stops, -1)
             hit = np.concatenate([[0], (np.cumsum(change)[:-1] > 0).astype(np.int8), [0]])
             begins, ends = np.flatnonzero(np.diff(hit) == 1), np.flatnonzero(np.diff(hit) == -1)
             of = np.searchsorted(offset, begins, "right") - 1
-            spans: list[list] = [[] for _ in range(len(lists))]
+            spans: list[list] = [[] for _ in range(len(texts))]
             for doc, begin, end in zip(of.tolist(), (begins - offset[of]).tolist(), (ends - offset[of]).tolist()):
                 spans[doc].append((begin, end))
-            names: list[list] = [[] for _ in range(len(lists))]
+            names: list[list] = [[] for _ in range(len(texts))]
             docs = np.searchsorted(offset, starts, "right") - 1
             for number, (window, first, many, items) in enumerate(held):
                 own = docs[group == number]
@@ -180,12 +181,12 @@ def decontaminate(
     item_text_col: str = "text",
     cleaned: bool = False,
 ) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_hit``, ``items`` and ``spans``: where windows of the benchmark stand in the text.
+    """``docs`` without the text but with ``n_words``, ``n_hit``, ``items`` and ``spans``: where windows of items stand.
 
     Words are runs of ASCII letters and digits and of all other characters beyond ASCII, in lower case.  A window
     is ``width`` consecutive words of an item, or the whole of a shorter one.  ``spans`` are the merged stretches
     of words inside any occurrence, ``first`` to before ``last``; ``items`` names the items found, sorted, a null
-    id as ``null``.  ``cleaned`` cuts the spans out of the text.
+    id as ``null``.  ``cleaned`` keeps the text, with the spans cut out.
 
     Each task indexes the documents it reads, in shards of ``SHARD_BYTES``, and searches the windows of a block of
     items, which is broadcast; a benchmark larger than ``BLOCK_BYTES`` is searched block by block.  A null or empty
@@ -195,13 +196,13 @@ def decontaminate(
     """
     spark = docs.sparkSession
     added = ("n_words", "n_hit", "items", "spans")
-    own = [c for c in docs.columns if c not in added]
+    own = [c for c in docs.columns if c not in (*added, text_col)]
     items = benchmark.select(
         F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text")
     ).filter(F.octet_length("text") > 0)
     numbered, blocks = _blocks(items)
     text = F.col(text_col)
-    rows = docs.select(F.struct(*own).alias("row"), text.alias("text"))
+    rows = docs.select(F.struct(*own).alias("row"), text.alias("text"))  # the text travels once
     if blocks > 1:
         rows = settled(rows.withColumn("at", F.monotonically_increasing_id()), "documents")
 
@@ -232,8 +233,8 @@ def decontaminate(
             done = done.mapInArrow(
                 _clean, f"row {rows.schema['row'].dataType.simpleString()}, {_FOUND}, n_hit BIGINT, text STRING"
             )
-    new_text = F.col("text") if cleaned else F.col("row")[text_col]
-    return done.select(*(new_text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own), *added)
+    kept = [c for c in docs.columns if c not in added and (cleaned or c != text_col)]
+    return done.select(*(F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in kept), *added)
 
 
 def merged_spans(spans: Column) -> Column:
