@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keysift.llm.fm_index import FmIndex
-from keysift.llm.shared import settled, slices
+from keysift.llm.shared import Carried, settled, slices
 
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 8 << 20
@@ -196,13 +196,13 @@ def decontaminate(
     """
     spark = docs.sparkSession
     added = ("n_words", "n_hit", "items", "spans")
-    own = [c for c in docs.columns if c not in (*added, text_col)]
+    carried = Carried(docs, (*added, text_col))
     items = benchmark.select(
         F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text")
     ).filter(F.octet_length("text") > 0)
     numbered, blocks = _blocks(items)
     text = F.col(text_col)
-    rows = docs.select(F.struct(*own).alias("row"), text.alias("text"))  # the text travels once
+    rows = docs.select(carried.column, text.alias("text"))  # the text travels once
     if blocks > 1:
         rows = settled(rows.withColumn("at", F.monotonically_increasing_id()), "documents")
 
@@ -233,8 +233,8 @@ def decontaminate(
             done = done.mapInArrow(
                 _clean, f"row {rows.schema['row'].dataType.simpleString()}, {_FOUND}, n_hit BIGINT, text STRING"
             )
-    kept = [c for c in docs.columns if c not in added and (cleaned or c != text_col)]
-    return done.select(*(F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in kept), *added)
+    back = carried.back() | ({text_col: F.col("text").alias(text_col)} if cleaned else {})
+    return done.select(*(back[c] for c in docs.columns if c in back), *added)
 
 
 def merged_spans(spans: Column) -> Column:

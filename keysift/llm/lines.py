@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keysift.llm.shared import join_groups, settled
+from keysift.llm.shared import Carried, join_groups, settled
 
 LG_BUCKETS = 10
 # Six standard errors of a sketch with 2^LG_BUCKETS buckets.
@@ -83,15 +83,16 @@ def line_dedup(
         hits = hits.filter(~(F.col("k_id").eqNullSafe(first["k_id"]) & (F.col("k_text") == first["k_text"]) & (F.col("at") == first["at"])))
     cuts = hits.groupBy("k_id", "k_text").agg(F.collect_set("at").alias("cut"))
     cuts = cuts.select(F.col("k_id").alias("c_id"), F.col("k_text").alias("c_text"), "cut")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_cut")]
-    rows = docs.select(F.struct(*own).alias("row"), *(c.alias(k) for k, c in known.items()))
+    carried = Carried(docs, ("n_lines", "n_cut", text_col))
+    rows = docs.select(carried.column, F.col(text_col).alias("old"), *(c.alias(k) for k, c in known.items()))
     rows = rows.join(cuts, F.col("k_id").eqNullSafe(F.col("c_id")) & (F.col("k_text") == F.col("c_text")), "left")
-    old = F.col("row")[text_col]
+    old = F.col("old")
     split = F.split(F.coalesce(old, F.lit("")), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("cut"))
     new = F.when(F.col("cut").isNull(), old).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
+    back = carried.back() | {text_col: new.alias(text_col)}
     return rows.select(
-        *(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own),
+        *(back[c] for c in docs.columns if c in back),
         F.when(old.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
         F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_cut"),
     )

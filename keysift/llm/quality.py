@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from keysift.llm.hashing import hash_strings
-from keysift.llm.shared import settled, slices
+from keysift.llm.shared import Carried, settled, slices
 
 BUCKETS = 1 << 15
 MOST_TRAINING_ROWS = 10_000
@@ -176,7 +176,7 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds:
             voting[j, j + 1, _JUNK] += 1 + 0.001 * total  # a kind of junk is what its labeller calls so
             for vote in (_JUNK, _GOOD):
                 voting[j, :, vote] += weights[:, table[:, j] == vote].sum(axis=1)
-        shares = weights.sum(axis=1) + 1
+        shares = weights.sum(axis=1) + np.array([2 * labellers] + [1] * labellers)  # most texts are taken to be good
         model = LabelModel(shares / shares.sum(), voting / voting.sum(axis=2, keepdims=True))
         last, belief = belief, model.classes(patterns)
         if np.abs(belief - last).max(initial=0) < 1e-9:
@@ -263,7 +263,7 @@ def classify_quality(
     added ones are replaced.
     """
     added = ("posterior", "score", "accepted")
-    own = [c for c in docs.columns if c not in added]
+    carried = Carried(docs, (*added, text_col))
     text = F.col(text_col)
     patterns = settled(docs.select(text.alias("text")).mapInArrow(_vote, "pattern BIGINT"), "votes")
     tally = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -282,11 +282,11 @@ def classify_quality(
     made = trained.first()
     weights = np.array(made["weights"]) if made else np.zeros(BUCKETS + 2)
     # The text travels once, beside the other columns.
-    rows = docs.select(F.struct(*(c for c in own if c != text_col)).alias("row"), text.alias("text"))
+    rows = docs.select(carried.column, text.alias("text"))
     kept = ("row", "text") if with_text else ("row",)
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", posterior DOUBLE, score DOUBLE"
     scored = rows.mapInArrow(partial(_score, model=model, weights=weights, kept=kept), schema)
+    back = carried.back() | ({text_col: F.col("text").alias(text_col)} if with_text else {})
     return scored.select(
-        *(F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in own if with_text or c != text_col),
-        "posterior", "score", (F.col("score") >= threshold).alias("accepted"),
+        *(back[c] for c in docs.columns if c in back), "posterior", "score", (F.col("score") >= threshold).alias("accepted")
     )

@@ -13,6 +13,7 @@ from keysift.llm.packing import pack
 from keysift.llm.pii import FORMATS, pseudonymise
 from keysift.llm.quality import classify_quality
 from keysift.llm.shared import table
+from keysift.llm.token_trees import apply_edits, token_trees
 from keysift.llm.urls import UrlRule, filter_urls
 
 
@@ -203,6 +204,36 @@ SELECT s.id AS doc_id, len(s.words) AS n_words, coalesce(h.n_hit, 0) AS n_hit, c
 FROM split s LEFT JOIN hit h ON h.id = s.id LEFT JOIN named n ON n.id = s.id WHERE s.kind = 'doc'
 """
 
+def revision(text: Column, source: Column) -> Column:
+    """A revision of a document: its source noted in the middle, its first line cut, its last words in capitals."""
+    text, note = F.coalesce(text, F.lit("")), F.concat(F.lit(" ("), F.coalesce(source, F.lit("")), F.lit(") "))
+    size, first, tail = F.length(text), F.locate("\n", text), F.least(F.length(text), F.lit(20))
+    kept = size + F.length(note) - first - tail
+
+    def edit(start: Column, removed: Column, inserted: Column) -> Column:
+        return F.struct(start.cast("long").alias("start"), removed.cast("long").alias("removed"), inserted.alias("inserted"))
+
+    return F.array(
+        edit(F.floor(size / 2), F.lit(0), note),
+        edit(F.lit(0), first, F.lit("")),
+        edit(kept, tail, F.upper(F.right(text, tail))),
+    )
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after its revision, and how many characters that took to encode anew."""
+    import public_tokenizers
+
+    ranks, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", revision(F.col("text"), F.col("source")).alias("edits"))
+    before = token_trees(docs, ranks, pattern).withColumn("n_tokens_before", F.col("n_tokens"))
+    after = apply_edits(before, ranks, pattern)
+    return after.select(
+        "doc_id", "n_tokens_before", F.col("n_tokens").alias("n_tokens_after"),
+        F.length("text").cast("long").alias("n_chars_after"), F.size("leaves").cast("long").alias("n_leaves"), "n_encoded",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
@@ -211,6 +242,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {

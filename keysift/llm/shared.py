@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keysift.plans.settle import shared_dir
 
@@ -41,6 +41,24 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(fits, keys, "left_anti").join(rest, keys, how))
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+class Carried:
+    """Columns of a table that an operator only passes on, in one struct, so no name of theirs can clash."""
+
+    def __init__(self, docs: DataFrame, without: Collection[str]):
+        self.names = [c for c in docs.columns if c not in without]
+        fields = (quoted(c).alias(f"c{i}") for i, c in enumerate(self.names))
+        self.column = F.struct(F.lit(0).alias("none"), *fields).alias("row")
+
+    def back(self) -> dict[str, Column]:
+        """Each of them by its name, from the struct ``row``."""
+        return {c: F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(self.names)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
