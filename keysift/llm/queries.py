@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from keysift.llm.decontaminate import decontaminate
 from keysift.llm.exact import exact_dedup
 from keysift.llm.lines import line_dedup
+from keysift.llm.near import near_duplicates
 from keysift.llm.packing import pack
 from keysift.llm.pii import FORMATS, pseudonymise
 from keysift.llm.quality import classify_quality
@@ -24,6 +25,36 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the component of near copies, at 85 per cent, that it belongs to."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM split WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (shingle)
+  WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b
+  WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN ways l ON l.a = r.other
+)
+SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id, min(r.other) = r.doc_id AS kept
+FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label model's and the scorer's view of every document."""
     judged = classify_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
@@ -235,6 +266,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
@@ -246,6 +278,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": OP1_SQL,
     "op3_url_filter": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
