@@ -14,6 +14,7 @@ from keysift.llm.packing import pack
 from keysift.llm.pii import FORMATS, pseudonymise
 from keysift.llm.quality import classify_quality
 from keysift.llm.shared import table
+from keysift.llm.suffix_dedup import remove_repeats
 from keysift.llm.token_trees import apply_edits, token_trees
 from keysift.llm.urls import UrlRule, filter_urls
 
@@ -166,6 +167,12 @@ SELECT doc_id, n_lines, n_cut, length(text) AS n_chars_left, sha256(text) AS tex
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document is left without strings of 100 bytes that also start earlier."""
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the row of its text that stays: the one with the largest id."""
     found = exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
@@ -270,6 +277,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pii": op8_pii,
