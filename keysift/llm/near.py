@@ -233,13 +233,14 @@ def _tasks(weight: int) -> int:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text",
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, ``row``, ``n_shingles``, ``component_id`` and ``first``.
 
     Two documents are linked when their shingle sets, of ``width`` words, share at least ``percent`` per cent of
     their union, and a component is what links connect; ``component_id`` is its smallest id and ``first`` tells
-    the one row that stands for it.  ``row`` numbers the rows.
+    the one row that stands for it.  ``row`` numbers the rows, by ``row_col`` if that holds distinct numbers already.
 
     Equal sets are one class from the start, so copies are no pairs.  Classes that share a band of their sketches
     are candidates if the whole sketch allows the similarity; connected candidates are compared on full sets, in
@@ -251,9 +252,10 @@ def near_duplicates(
     gives an empty result; extra columns are not read.
     """
     text = F.col(text_col)
-    source = docs.select(F.col(id_col).alias("key"), text.alias("text"))
+    number = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
+    source = docs.select(F.col(id_col).alias("key"), text.alias("text"), number.alias("row"))
     kind = source.schema["key"].dataType.simpleString()
-    hashed = source.withColumns({"row": F.monotonically_increasing_id(), "text_hash": F.md5(F.coalesce("text", F.lit("")))})
+    hashed = source.withColumn("text_hash", F.md5(F.coalesce("text", F.lit(""))))
     schema = f"row BIGINT, key {kind}, text_hash STRING, n BIGINT, name BINARY, sketch BINARY, bands ARRAY<BIGINT>"
     rows = settled(hashed.mapInArrow(partial(_sketch, width=width), schema), "sketches")
     least = fewest_equal(percent / 100)
