@@ -104,7 +104,8 @@ WITH RECURSIVE rules(rule, host, path, verdict) AS (
   FROM parts
 ), keyed AS (
   SELECT page_id, kind, host, path, host || tail AS node,
-    host || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical
+    CASE WHEN host = '' THEN '' ELSE host || CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END
+      || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical
   FROM split
 ), edges AS (
   SELECT p.canonical AS a, t.canonical AS b FROM keyed p JOIN keyed t USING (page_id)

@@ -49,11 +49,13 @@ def plain_url(url: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """The plain url without fragment, tracking parameters and a slash at the end of the path."""
+    """The plain url without fragment, tracking parameters and slashes at the end of a longer path; empty without host."""
     query = F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.startswith("utm_")), "&")
     path = F.regexp_replace(url_path(url), r"/+$", "")
-    return F.concat(url_host(url), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    path = F.when(path == "", "/").otherwise(path)
+    whole = F.concat(url_host(url), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    return F.when(url_host(url) == "", "").otherwise(whole)
 
 
 def _absolute(target: Column, host: Column) -> Column:
@@ -115,14 +117,17 @@ def filter_urls(
     judged = pages.select(
         F.col(id_col).alias("key"), url_host(url).alias("host"), url_path(url).alias("path"),
         plain_url(F.coalesce(url, F.lit(""))).alias("node"), canonical_url(F.coalesce(url, F.lit(""))).alias("canonical"),
-        F.transform(page_links(url, F.col(html_col)), canonical_url).alias("links"),
+        F.transform(page_links(url, F.col(html_col)),
+                    lambda to: F.struct(plain_url(to).alias("node"), canonical_url(to).alias("canonical"))).alias("links"),
     )
     judged = settled(
         judged.withColumn("index", rule_index(F.coalesce("host", F.lit("")), F.coalesce("path", F.lit("")), rules)), "urls"
     )
-    edges = judged.filter("node != canonical").select(F.col("node").alias("a"), F.col("canonical").alias("b")).unionByName(
-        judged.select(F.col("canonical").alias("a"), F.explode("links").alias("b"))
-    )
+    # Rules are read off urls as they are given, so those stay nodes beside their canonical forms.
+    links = judged.select("canonical", F.explode("links").alias("to"))
+    edges = judged.filter("node != canonical").select(F.col("node").alias("a"), F.col("canonical").alias("b"))
+    edges = edges.unionByName(links.select(F.col("canonical").alias("a"), F.col("to.canonical").alias("b")))
+    edges = edges.unionByName(links.select(F.col("to.node").alias("a"), F.col("to.canonical").alias("b")))
     if redirects is not None:
         for side in ("source", "target"):
             edges = edges.unionByName(redirects.select(plain_url(F.col(side)).alias("a"), canonical_url(F.col(side)).alias("b")))
