@@ -10,32 +10,26 @@ from typing import Any, Iterable
 from keysift.rules.catalog import Rule
 
 # --- Fixed values: what is scanned by default --------------------------------------------------------------
-EXCLUDED_DIRS = frozenset(
-    "DerivedData .build .git Pods Carthage node_modules vendor dist build .venv venv __pycache__ "
-    ".xcodeproj .xcworkspace .swiftpm".split()
-)
-EXCLUDED_FILES = frozenset(
-    ".DS_Store package-lock.json yarn.lock Podfile.lock Cartfile.resolved Package.resolved".split()
-)
-INCLUDED_EXTENSIONS = frozenset(
-    (
-        ".swift .h .m .mm .plist .xcconfig .entitlements "
-        ".kt .kts .java .gradle .properties .pro "
-        ".dart .cs .vue .svelte "
-        ".js .jsx .ts .tsx .mjs .cjs .py .rb .php .go .rs .c .cpp .hpp "
-        ".json .jsonc .yaml .yml .toml .xml .env .ini .cfg .conf .tf .tfvars .sql .txt .md "
-        ".sh .bash .zsh"
-    ).split()
-)
-EXACT_FILENAMES = frozenset(
-    (
-        "Podfile Package.swift Cartfile Fastfile Appfile Matchfile GoogleService-Info.plist ExportOptions.plist "
-        "local.properties gradle.properties keystore.properties signing.properties google-services.json "
-        "agconnect-services.json build.gradle build.gradle.kts settings.gradle settings.gradle.kts "
-        "Gemfile firebase.json docker-compose.yml docker-compose.yaml Dockerfile credentials.json "
-        "service-account.json .npmrc .netrc .pypirc"
-    ).split()
-)
+EXCLUDED_DIRS = frozenset({
+    ".build", ".git", ".swiftpm", ".venv", ".xcodeproj", ".xcworkspace", "Carthage", "DerivedData", "Pods",
+    "__pycache__", "build", "dist", "node_modules", "vendor", "venv",
+})
+EXCLUDED_FILES = frozenset({
+    ".DS_Store", "Cartfile.resolved", "Package.resolved", "Podfile.lock", "package-lock.json", "yarn.lock",
+})
+INCLUDED_EXTENSIONS = frozenset({
+    ".bash", ".c", ".cfg", ".cjs", ".conf", ".cpp", ".cs", ".dart", ".entitlements", ".env", ".go", ".gradle",
+    ".h", ".hpp", ".ini", ".java", ".js", ".json", ".jsonc", ".jsx", ".kt", ".kts", ".m", ".md", ".mjs",
+    ".mm", ".php", ".plist", ".pro", ".properties", ".py", ".rb", ".rs", ".sh", ".sql", ".svelte", ".swift",
+    ".tf", ".tfvars", ".toml", ".ts", ".tsx", ".txt", ".vue", ".xcconfig", ".xml", ".yaml", ".yml", ".zsh",
+})
+EXACT_FILENAMES = frozenset({
+    ".netrc", ".npmrc", ".pypirc", "Appfile", "Cartfile", "Dockerfile", "ExportOptions.plist", "Fastfile",
+    "Gemfile", "GoogleService-Info.plist", "Matchfile", "Package.swift", "Podfile", "agconnect-services.json",
+    "build.gradle", "build.gradle.kts", "credentials.json", "docker-compose.yaml", "docker-compose.yml",
+    "firebase.json", "google-services.json", "gradle.properties", "keystore.properties", "local.properties",
+    "service-account.json", "settings.gradle", "settings.gradle.kts", "signing.properties",
+})
 
 
 @dataclass(frozen=True)

@@ -1,64 +1,163 @@
-"""Bring Python-dialect patterns to Java's, so a rule means the same in Spark as in ``re``."""
+"""Bring Python-dialect patterns to Java's, so a rule means the same in Spark as in ``re``.
+
+A pattern is parsed as Python parses it and written out again for Java.  Java's ``\\b \\s \\d \\w`` are ASCII or
+differently Unicode-aware, its case folding is ASCII unless told, it treats more characters as line ends, has other
+names for groups, and repeats a group by recursion, once per round.
+"""
 
 from __future__ import annotations
 
 import re
+import re._constants as op
+import re._parser as parser
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
-from pyspark.errors import PySparkException
 
 # What Python's str.isalnum / str.isspace accept, as Java character class members.
 _WORD = r"\p{L}\p{N}_"
 _SPACE = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_IN_CLASS = {"w": _WORD, "s": _SPACE, "d": r"\p{Nd}"}
-_BOUNDARY = rf"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
-_OUTSIDE = {
-    "b": _BOUNDARY,
-    "B": rf"(?!{_BOUNDARY})",
-    "Z": r"\z",
-    **{c: f"[{members}]" for c, members in _IN_CLASS.items()},
-    **{c.upper(): f"[^{members}]" for c, members in _IN_CLASS.items()},
+_BOUNDARY = "(?:(?<![{0}])(?=[{0}])|(?<=[{0}])(?![{0}]))"
+_MEMBERS = {"WORD": (_WORD, "A-Za-z0-9_"), "SPACE": (_SPACE, r" \t-\r"), "DIGIT": (r"\p{Nd}", "0-9")}
+_LETTERS = {re.I: "i", re.M: "m", re.S: "s", re.X: "x"}
+_LOOK = {(op.ASSERT, 1): "?=", (op.ASSERT, -1): "?<=", (op.ASSERT_NOT, 1): "?!", (op.ASSERT_NOT, -1): "?<!"}
+_LAZY = {op.MAX_REPEAT: "", op.MIN_REPEAT: "?", op.POSSESSIVE_REPEAT: "+"}
+MOST_ROUNDS = 1000  # of a repeated group; a task's stack holds the recursion of so many
+
+# Repeated groups of built-in rules in an equal form without a group to repeat: here, a run of host labels is a run
+# of their characters that neither starts with a dot nor holds two in a row.
+_FORMS = {
+    r"(?:o\d+\.ingest\.)?(?:[a-z0-9\-]+\.)*sentry\.io/":
+        r"(?![a-z0-9.\-]*\.\.)(?=[a-z0-9\-])(?:[a-z0-9.\-]*\.)?sentry\.io/",
 }
-_TOKEN = re.compile(r"\\.|\[\^?\]?|\]|&&|\(\?P[<=]|.", re.S)
 
 
-def to_java(pattern: str) -> str:
-    r"""Java pattern that finds in a line what Python's ``re`` finds there.
+class Untranslatable(ValueError):
+    """The pattern holds what Java's regular expressions cannot express."""
 
-    Java's ``\b \s \d \w`` are ASCII or differently Unicode-aware, its case folding is ASCII unless told, and it
-    treats more characters as line ends; ``[`` and ``&&`` have a meaning inside its character classes.
-    """
-    out, in_class = [], False
-    for token in _TOKEN.findall(pattern):
-        if token[0] == "\\":
-            out.append((_IN_CLASS if in_class else _OUTSIDE).get(token[1], token))
-        elif token[0] == "[":
-            out.append(token.replace("[", r"\[").replace("]", "") if in_class else token.replace("]", r"\]"))
-            if in_class and token.endswith("]"):
-                out.append("]")
-                in_class = False
+
+def _literal(code: int) -> str:
+    return chr(code) if chr(code).isascii() and chr(code).isalnum() else rf"\x{{{code:x}}}"
+
+
+def _members(category, flags: int) -> tuple[str, bool]:
+    """Class members of a category, and whether it is the complement of them."""
+    name = str(category).removeprefix("CATEGORY_")
+    return _MEMBERS[name.removeprefix("NOT_")][bool(flags & re.A)], name.startswith("NOT_")
+
+
+def _one_of(items: list, flags: int) -> str:
+    members, complements, negated = "", [], False
+    for kind, value in items:
+        if kind is op.NEGATE:
+            negated = True
+        elif kind is op.LITERAL:
+            members += _literal(value)
+        elif kind is op.RANGE:
+            members += f"{_literal(value[0])}-{_literal(value[1])}"
+        else:
+            own, complement = _members(value, flags)
+            if complement:
+                complements.append(own)
             else:
-                in_class = True
-        elif token == "]" and in_class:
-            out.append(token)
-            in_class = False
-        elif token == "&&" and in_class:
-            out.append(r"&\&")
-        elif token == "(?P<" and not in_class:
-            out.append("(?<")
-        elif token == "(?P=" and not in_class:
-            out.append("(?P=")
+                members += own
+    if not complements:
+        return f"[{'^' if negated else ''}{members}]"
+    if negated:
+        return "[" + "&&".join([*(f"[{c}]" for c in complements), *([f"[^{members}]"] if members else [])]) + "]"
+    union = "".join(f"[^{c}]" for c in complements)
+    return union if len(complements) == 1 and not members else f"[{members}{union}]"
+
+
+def _at(place, flags: int) -> str:
+    word = _MEMBERS["WORD"][bool(flags & re.A)]
+    boundary = _BOUNDARY.format(word)
+    several = "(?m:{})" if flags & re.M else "{}"
+    return {
+        op.AT_BEGINNING: several.format("^"), op.AT_END: several.format("$"), op.AT_BEGINNING_STRING: r"\A",
+        op.AT_END_STRING: r"\z", op.AT_BOUNDARY: boundary, op.AT_NON_BOUNDARY: f"(?!{boundary})",
+    }[place]
+
+
+def _repeat(kind, least: int, most, body, flags: int) -> str:
+    inner = _written(body, flags)
+    simple = len(body) == 1 and body[0][0] in (op.LITERAL, op.NOT_LITERAL, op.IN, op.ANY)
+    if not simple:
+        inner = f"(?:{inner})"
+        most = min(most, max(least, MOST_ROUNDS)) if most is op.MAXREPEAT or most > MOST_ROUNDS else most
+    sign = {(0, 1): "?", (0, op.MAXREPEAT): "*", (1, op.MAXREPEAT): "+"}.get((least, most))
+    if sign is None:
+        sign = f"{{{least},}}" if most is op.MAXREPEAT else f"{{{least}}}" if least == most else f"{{{least},{most}}}"
+    return inner + sign + _LAZY[kind]
+
+
+def _group(number, add: int, drop: int, body, flags: int) -> str:
+    inner = _written(body, (flags | add) & ~drop)
+    on, off = ("".join(letter for flag, letter in _LETTERS.items() if flag & x and flag != re.X) for x in (add, drop))
+    if on or off:
+        inner = f"(?{on}{'-' if off else ''}{off}:{inner})"
+    return inner if number is None and (on or off) else f"({inner})" if number is not None else f"(?:{inner})"
+
+
+def _written(tree, flags: int) -> str:
+    out = []
+    for kind, value in tree:
+        if kind is op.LITERAL:
+            out.append(_literal(value))
+        elif kind is op.NOT_LITERAL:
+            out.append(f"[^{_literal(value)}]")
+        elif kind is op.ANY:
+            out.append("(?s:.)" if flags & re.S else ".")
+        elif kind is op.IN:
+            out.append(_one_of(value, flags))
+        elif kind is op.AT:
+            out.append(_at(value, flags))
+        elif kind is op.BRANCH:
+            out.append(f"(?:{'|'.join(_written(branch, flags) for branch in value[1])})")
+        elif kind in _LAZY:
+            out.append(_repeat(kind, *value, flags))
+        elif kind is op.SUBPATTERN:
+            out.append(_group(*value, flags))
+        elif kind is op.ATOMIC_GROUP:
+            out.append(f"(?>{_written(value, flags)})")
+        elif (kind, value[0] if isinstance(value, tuple) else None) in _LOOK:
+            out.append(f"({_LOOK[kind, value[0]]}{_written(value[1], flags)})")
+        elif kind is op.GROUPREF:
+            out.append(rf"(?:\{value})")
+        elif kind is op.FAILURE:
+            out.append("(?!)")
         else:
-            out.append(token)
-    return "(?ud)" + "".join(out)
+            raise Untranslatable(str(kind).lower())
+    return "".join(out)
 
 
-def compiles(spark: SparkSession, pattern: str) -> bool:
-    """Whether both dialects take the pattern; Spark folds the literal test on the driver, without a job."""
+def to_java(pattern: str) -> str:
+    """Java pattern that finds in a line what Python's ``re`` finds there.
+
+    Groups keep their numbers.  A group that is repeated without bound is repeated ``MOST_ROUNDS`` times at most,
+    as more would exhaust the stack of a task; a class of single characters is no group and has no such bound.
+    """
+    for form, equal in _FORMS.items():
+        pattern = pattern.replace(form, equal)
+    tree = parser.parse(pattern)
+    flags = tree.state.flags
+    return "(?ud" + ("i" if flags & re.I else "") + ")" + _written(tree, flags)
+
+
+def problem(spark: SparkSession, pattern: str) -> str | None:
+    """Why a pattern cannot be a rule, or nothing; Spark folds the literal test on the driver, without a job."""
     try:
         re.compile(pattern)
         spark.range(1).select(F.lit("").rlike(to_java(pattern))).collect()
-    except (re.error, PySparkException, AnalysisException):
-        return False
-    return True
+    except re.error as error:
+        return f"not a regular expression: {error}"
+    except Untranslatable as error:
+        return f"not expressible in Spark: {error}"
+    except (PySparkException, AnalysisException) as error:
+        return f"not expressible in Spark: {str(error).splitlines()[0][:200]}"
+    return None
+
+
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    return problem(spark, pattern) is None

@@ -42,15 +42,43 @@ def shannon_entropy(text: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(F.aggregate(distinct_chars(text), F.lit(0.0), add))
 
 
+def _above(value: Column, halves: Column, scale: int) -> Column:
+    """The exact sign of ``value - halves / (2 * scale)``: the value is split in two, so no product is rounded."""
+    wide = value * F.lit(134217729.0)
+    high = wide - (wide - value)
+    return (high * F.lit(2.0 * scale) - halves) + (value - high) * F.lit(2.0 * scale)
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fixed_point(value: Column, digits: int) -> Column:
+    """A number from 0 on with ``digits`` decimals: the exact value of the double, rounded half to even."""
+    scale = 10**digits
+
+    def rounded(parts: Column) -> Column:
+        value, near = parts["value"], parts["near"]
+        odd = near % 2 == 1
+        below, above = _above(value, 2 * near - 1, scale), _above(value, 2 * near + 1, scale)
+        return F.when((below < 0) | ((below == 0) & odd), near - 1).when((above > 0) | ((above == 0) & odd), near + 1).otherwise(near)
+
+    def written(number: Column) -> Column:
+        rest = F.lpad((number % scale).cast("string"), digits, "0")
+        return F.concat(F.floor(number / scale).cast("string"), F.lit("."), rest)
+
+    parts = F.struct(value.alias("value"), F.floor(value * scale + 0.5).alias("near"))
+    return _once(_once(parts, rounded), written)
+
+
 def format_duration(seconds: Column) -> Column:
+    rest = seconds % 60
+    minutes = F.floor((seconds - rest) / 60).cast("string")
     return (
-        F.when(seconds < 1, F.format_string("%.1f ms", F.bround(seconds * 1000, 1)))
-        .when(seconds < 60, F.format_string("%.2f s", F.bround(seconds, 2)))
-        .otherwise(
-            F.format_string(
-                "%dm %.1fs", F.floor(seconds / 60).cast("int"), F.bround(seconds - F.floor(seconds / 60) * 60, 1)
-            )
-        )
+        F.when(seconds < 1, F.concat(fixed_point(seconds * 1000, 1), F.lit(" ms")))
+        .when(seconds < 60, F.concat(fixed_point(seconds, 2), F.lit(" s")))
+        .otherwise(F.concat(minutes, F.lit("m "), fixed_point(rest, 1), F.lit("s")))
     )
 
 

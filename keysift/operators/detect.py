@@ -102,7 +102,8 @@ def _anchored(rule: Rule) -> str:
         tests.append(f"({held} OR _odd)" if needs.folded else f"({held})")
     if needs.shape:
         tests.append(f"line RLIKE {_sql(to_java(needs.shape))}")
-    return " AND ".join(tests) or "line IS NOT NULL"
+    # Without any, the pattern itself: a line is handed on only if it matches.
+    return " AND ".join(tests) or f"line RLIKE {_sql(to_java(rule.pattern))}"
 
 
 def _with_gates(lines: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from keysift.config import AuditConfig
 from keysift.operators.findings import audit_gate, dedup_findings, finding_stats
 from keysift.operators.scan import scan_counts, scan_files, scan_long, scan_patches, scan_stashes, union_findings
-from keysift.plans.settle import settle
+from keysift.plans.settle import forget, settle
 from keysift.rules.catalog import Rule
 from keysift.rules.resolve import active_rules
 from keysift.sources.files import read_files
@@ -25,6 +25,17 @@ class Audit:
     findings: DataFrame  # deduplicated, with `severity` and `seen`
     stats: DataFrame  # one row
     config: AuditConfig
+    tables: list[str] = field(default_factory=list)  # settled, until the audit is closed
+
+    def close(self) -> None:
+        """Delete the audit's tables, which hold unredacted lines; its findings cannot be read afterwards."""
+        forget(self.findings.sparkSession, self.tables)
+
+    def __enter__(self) -> Audit:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def passed(self) -> bool:
         return audit_gate(self.findings).first()["passed"]
@@ -65,12 +76,15 @@ def run_audit(
     scan = scan_files(files, rules, config, per_file=True, distinct=True)
     if long is not None:
         scan = scan.unionByName(scan_long(*long, rules, config, distinct=True))
-    scan = settle(scan, "scan")
+    scanned_tables: list[str] = []
+    tables: list[str] = []
+    scan = settle(scan, "scan", scanned_tables)
     found = scan.filter(F.col("rule_id").isNotNull()).drop("n_lines")
-    findings = settle(all_findings(found, patches, stashes, config), "findings")
+    findings = settle(all_findings(found, patches, stashes, config), "findings", tables)
     counts = scan_counts(scan.filter(F.col("rule_id").isNull()))
-    stats = settle(stats_row(counts, finding_stats(findings), time.perf_counter() - started), "stats")
-    return Audit(scanned, findings, stats, config)
+    stats = settle(stats_row(counts, finding_stats(findings), time.perf_counter() - started), "stats", tables)
+    forget(files.sparkSession, scanned_tables)
+    return Audit(scanned, findings, stats, config, tables)
 
 
 def audit_tree(

@@ -487,13 +487,14 @@ ORACLES["context_brief"] = _RULE_FINDINGS + (
 
 def _duration(s: str) -> str:
     return (
-        f"CASE WHEN {s} < 1 THEN printf('%.1f ms', round_even({s} * 1000, 1)) WHEN {s} < 60 THEN printf('%.2f s', round_even({s}, 2)) "
-        f"ELSE printf('%dm %.1fs', CAST(floor({s} / 60) AS INT), round_even({s} - floor({s} / 60) * 60, 1)) END"
+        f"CASE WHEN {s} < 1 THEN printf('%.1f ms', {s} * 1000) WHEN {s} < 60 THEN printf('%.2f s', {s}) "
+        f"ELSE printf('%dm %.1fs', CAST(floor({s} / 60) AS INT), {s} % 60) END"
     )
 
 
 ORACLES["format_duration"] = (
-    f"SELECT doc_id, {_duration('(n_chars / 64.0::DOUBLE)')} AS long, {_duration('(n_chars / 64.0::DOUBLE / 4096)')} AS short FROM documents"
+    f"SELECT doc_id, {_duration('(n_chars / 64.0::DOUBLE)')} AS long, {_duration('(n_chars / 64.0::DOUBLE / 4096)')} AS short, "
+    f"{_duration('(n_chars / 1000.0::DOUBLE)')} AS thousandths, {_duration('(n_chars / 1000.0::DOUBLE / 100)')} AS decimals FROM documents"
 )
 ORACLES["severity_score"] = _matches() + (
     f"SELECT risk_level, {SEVERITY} AS severity, count(*) AS findings FROM "
@@ -580,57 +581,44 @@ def _report(*sections: tuple[str, str, str]) -> str:
     )
 
 
-_RISK_LINES = [(risk, f"{risk.lower()}_count") for risk in c.RISKS]
-_COMMAS = "format('{:,}', lines_scanned)"
-_NONE = "No security issues or secrets detected."
+_TALLY = "concat_ws(', ', " + ", ".join(say(f"{{}} {risk.lower()}", f"{risk.lower()}_count") for risk in c.RISKS) + ")"
+_VOLUME = say("{} files with {} lines, read in 1.25 s", "format('{:,}', files_scanned)", "format('{:,}', lines_scanned)")
+_PLACE = say("{}:{}", "file_path", "line_number")
+_WHO = "concat_ws(', ', nullif(author, ''), nullif(date, ''))"
+_ORIGIN = f"CASE WHEN commit_hash <> '' THEN CASE WHEN {_WHO} = '' THEN commit_hash ELSE commit_hash || ' (' || {_WHO} || ')' END END"
 ORACLES["sink_markdown"] = _report(
     (
         "stats", "0",
         lines_of(
-            text("# Security Audit Report"), "''", text("- **Scanned Directory**: `corpus`"), text(f"- **Timestamp**: `{q.TIMESTAMP}`"),
-            "''", text("## Executive Summary"), "''", text("| Metric | Value |"), text("| :--- | :--- |"),
-            say("| **Scanned Files** | `{}` |", "files_scanned"), say("| **Scanned Lines** | `{}` |", _COMMAS),
-            text("| **Elapsed Time** | `1.25s` |"), say("| **Total Findings** | `{}` |", "total_findings"),
-            *(say(f"| **{risk}** | `{{}}` |", count) for risk, count in _RISK_LINES),
-            "''", text("## Findings Summary Table"), "''", text("| Risk | Type | File Path | Line | Secret Preview |"),
-            text("| :--- | :--- | :--- | :---: | :--- |"),
+            text("# Leaked credentials in `corpus`"), "''", say("{} findings: {}.", "total_findings", _TALLY), "''",
+            say(f"_{q.TIMESTAMP}; {{}}._", _VOLUME), "''", text("| # | Place | Finding | Risk | Value |"),
+            text("| ---: | --- | --- | --- | --- |"),
         ),
     ),
     (
         "numbered", "idx",
-        say("| **{}** | {} | `{}` | `{}` | `{}` |", "risk_level", "finding_type", "file_path", "line_number",
-            "replace(matched_string, '|', '\\|')"),
+        say("| {} | {} | {} | {} | `{}` |", "idx", f"({_PLACE})", "finding_type", "risk_level", "replace(matched_string, '|', '\\|')"),
     ),
-    ("stats", "0", lines_of("''", text("## Detailed Audit Breakdown & Remediation"), "''")),
+    ("stats", "0", "''"),
     (
         "numbered", "idx",
         lines_of(
-            say("### {}. [{}] {}", "idx", "risk_level", "finding_type"), "''",
-            say("- **File**: `{}` (Line {})", "file_path", "line_number"), say("- **Description**: {}", "description"),
-            say("- **Matched Value**: `{}`", "matched_string"),
-            "CASE WHEN commit_hash <> '' THEN "
-            + say("- **Git Commit**: `{}` by {} ({})", "commit_hash", "coalesce(author, 'None')", "coalesce(date, 'None')") + " END",
-            say("- **Recommendation**: {}", "recommendation"), "''", text("```"), say("Line {}: {}", "line_number", "line"),
-            text("```"), "''",
+            say("## {}. {}", "idx", f"({_PLACE})"), "''", say("{} risk, {}: {}", "risk_level", "finding_type", "description"),
+            "''", text("~~~"), "line", text("~~~"), "''", say("Next: {}", "recommendation"),
+            f"chr(10) || 'Introduced by ' || {_ORIGIN}", "''",
         ),
     ),
 )
 ORACLES["sink_text"] = _report(
     (
         "stats", "0",
-        lines_of(
-            text("=" * 70), text("SECRET AUDIT REPORT"), text("=" * 70), text("Target Directory : corpus"),
-            text(f"Scan Timestamp   : {q.TIMESTAMP}"), text("Execution Time   : 1.25 s"), say("Files Scanned   : {}", "files_scanned"),
-            say("Lines Scanned   : {}", "lines_scanned"), text("-" * 70), say("Total Findings   : {}", "total_findings"),
-            *(say(f"{risk:<17}: {{}}", count) for risk, count in _RISK_LINES), text("=" * 70), "''",
-        ),
+        lines_of(text(f"keysift {q.TIMESTAMP} corpus"), _VOLUME, say("{} findings: {}", "total_findings", _TALLY), "''"),
     ),
     (
         "numbered", "idx",
         lines_of(
-            say("Finding #{}: [{}] {}", "idx", "risk_level", "finding_type"), say("File: {}:{}", "file_path", "line_number"),
-            say("Description: {}", "description"), say("Matched Secret: {}", "matched_string"),
-            say("Recommendation: {}", "recommendation"), say("Line Content: {}", "line"), text("-" * 50),
+            say("{} {} [{}]", "idx", f"({_PLACE})", "lower(risk_level)"), say("  {} = {}", "finding_type", "matched_string"),
+            say("  | {}", "line"), say("  {}", "description"), say("  {}", "recommendation"), "''",
         ),
     ),
 )
@@ -639,64 +627,49 @@ ORACLES["sink_html_cards"] = _report(
     (
         "stats", "0",
         lines_of(
-            text("<!DOCTYPE html>"),
-            text('<html lang="en"><head><meta charset="utf-8"><title>Security Audit Report</title></head><body>'),
-            text(f"<p>corpus &middot; {q.TIMESTAMP}</p>"), text("<ul>"), say("<li>Files Scanned: {}</li>", "files_scanned"),
-            say("<li>Lines Scanned: {}</li>", _COMMAS), text("<li>Elapsed Time: 1.25s</li>"),
-            say("<li>Total Secrets: {}</li>", "total_findings"),
-            say("<li>Critical / High: {}</li>", "critical_count + high_count"), text("</ul>"),
+            text("<!DOCTYPE html>"), text('<html lang="en"><meta charset="utf-8"><title>keysift</title>'),
+            text(f"<header><h1>corpus</h1><time>{q.TIMESTAMP}</time>"), say("<p>{} findings: {}</p>", "total_findings", _TALLY),
+            say("<p>{}</p></header>", f"({_VOLUME})"),
         ),
     ),
     (
         "numbered", "idx",
         lines_of(
-            say('<section class="card" data-risk="{}">', "risk_level"),
-            say('<h2><span class="badge">{}</span> {}</h2>', "upper(risk_level)", escaped("finding_type")),
-            say('<p class="place">{}:{}</p>', escaped("file_path"), "line_number"),
-            say("<p><strong>Description:</strong> {}</p>", escaped("description")),
-            "CASE WHEN commit_hash <> '' THEN "
-            + say('<p class="commit">Commit: <code>{}</code>{}{}</p>', escaped("commit_hash"),
-                  f"CASE WHEN author <> '' THEN ' | Author: ' || {escaped('author')} ELSE '' END",
-                  f"CASE WHEN date <> '' THEN ' | Date: ' || {escaped('date')} ELSE '' END") + " END",
-            say("<p>Matched Secret Preview: <code>{}</code></p>", escaped("matched_string")),
-            say("<p><strong>Recommendation:</strong> {}</p>", escaped("recommendation")),
+            say('<article id="f{}" class="{}">', "idx", "lower(risk_level)"), say("<h2>{}:{}</h2>", escaped("file_path"), "line_number"),
             # Every document has at least the planted line and its cut copy, so a line of a file has neighbours.
-            say("<p>{} (Line {})</p>", f"CASE WHEN {_HAS_CONTEXT} THEN 'Surrounding Code Context' ELSE 'Matched Line' END", "line_number"),
             say(
-                "<pre><code>{}</code></pre>",
+                '<pre class="{}" data-line="{}">{}</pre>', f"CASE WHEN {_HAS_CONTEXT} THEN 'around' ELSE 'alone' END", "line_number",
                 lines_of(
                     f"CASE WHEN {_HAS_CONTEXT} AND line_number > 1 THEN {escaped('lines_before')} END",
-                    say("<mark>{} | {}</mark>", "printf('%4d', line_number)", escaped("line")),
+                    say("<mark>{}</mark>", escaped("line")),
                     f"CASE WHEN {_HAS_CONTEXT} AND lines_after <> '' THEN {escaped('lines_after')} END",
                 ),
             ),
-            text("</section>"),
+            text("<dl>"), say("<dt>kind<dd>{}", escaped("finding_type")), say("<dt>risk<dd>{}", "risk_level"),
+            say("<dt>value<dd>{}", escaped("matched_string")), say("<dt>why<dd>{}", escaped("description")),
+            say("<dt>next<dd>{}", escaped("recommendation")), f"'<dt>commit<dd>' || {escaped(_ORIGIN)}", text("</dl></article>"),
         ),
     ),
-    ("stats", "0", text("</body></html>")),
+    ("stats", "0", text("</html>")),
 )
 ORACLES["sink_console"] = _report(
     (
         "stats", "0",
         lines_of(
-            text("=" * 70), text("       SECRET AUDIT RESULTS SUMMARY"), text("=" * 70), text(" Target Directory   : corpus"),
-            text(" Execution Time     : 1.25 s"), say(" Files Scanned     : {}", "format('{:,}', files_scanned)"),
-            say(" Lines Scanned     : {}", _COMMAS), text("-" * 70), say(" Total Secrets      : {}", "total_findings"),
-            say(" Suspicious Lines  : {}", "suspicious_lines"),
-            *(say(f"   {risk:<9}: {{}}", count) for risk, count in _RISK_LINES), text("=" * 70),
+            text("keysift: corpus"), _VOLUME, say("{} findings on {} lines: {}", "total_findings", "suspicious_lines", _TALLY),
+            say("\nThe gravest {}:", "least(10, total_findings)"),
         ),
     ),
     (
         "(SELECT * FROM numbered WHERE idx <= 10)", "idx",
         lines_of(
-            say("{}. [{}] {}", "printf('%2d', idx)", "rpad(risk_level, 8, ' ')", "finding_type"),
-            say("    File: {}:{}", "file_path", "line_number"), say("    Match: {}", "matched_string"),
-            say("    Recommendation: {}", "recommendation"),
+            say("{} {} {}", "printf('%2d', idx)", "rpad(risk_level, 8, ' ')", f"({_PLACE})"),
+            say("   {}: {}", "finding_type", "matched_string"), say("   {}", "recommendation"),
         ),
     ),
     (
         "(SELECT * FROM stats WHERE total_findings > 10)", "0",
-        say("... and {} additional findings detailed in the reports.", "total_findings - 10"),
+        say("{} more; all of them are in the report files.", "total_findings - 10"),
     ),
 )
 _FILES_ONLY = ("audited", dedup(_nested(file_ctes(target=True), f"SELECT {FINDING}, {_FILE_ORDER} FROM ({file_findings()})")))

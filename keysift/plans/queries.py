@@ -98,6 +98,18 @@ def _stashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stash_lines(inputs.stash_records(spark, sf_dir))
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of files that pass the path rules, of patches and of stashes."""
+    targets = _corpus(spark, sf_dir).filter(is_target(F.col("path"), CONFIG))
+    return union_findings(
+        [
+            scan_files(targets, BUILTIN_RULES, CONFIG, distinct=True),
+            scan_patches(_added(spark, sf_dir), CONFIG, distinct=True),
+            scan_stashes(_stashed(spark, sf_dir), CONFIG, distinct=True),
+        ]
+    )
+
+
 def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated findings of files that pass the path rules, of patches and of stashes."""
     targets = _corpus(spark, sf_dir).filter(is_target(F.col("path"), CONFIG))
@@ -108,7 +120,7 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _corpus(spark, sf_dir).filter(is_target(F.col("path"), CONFIG))
-    return scan_counts(scan_files(targets, [], NO_ENTROPY, per_file=True).filter("rule_id IS NULL"))
+    return scan_counts(targets.select(line_count(F.col("text")).cast("bigint").alias("n_lines")))
 
 
 SLIM = ("finding_type", "risk_level", "description", "file_path", "line_number", "matched_string", "recommendation",
@@ -381,8 +393,11 @@ def context_brief(spark, sf_dir):
 @query
 def format_duration_(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    seconds = F.col("n_chars") / 64.0
-    return documents.select("doc_id", format_duration(seconds).alias("long"), format_duration(seconds / 4096).alias("short"))
+    seconds, thousandths = F.col("n_chars") / 64.0, F.col("n_chars") / 1000.0
+    return documents.select(
+        "doc_id", format_duration(seconds).alias("long"), format_duration(seconds / 4096).alias("short"),
+        format_duration(thousandths).alias("thousandths"), format_duration(thousandths / 100).alias("decimals"),
+    )
 
 
 @query
@@ -429,10 +444,7 @@ def first_commit_per_secret(spark, sf_dir):
 
 # ---- Joins -------------------------------------------------------------------------------------------------
 def _raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _corpus(spark, sf_dir).select(
-        "path", "name", F.expr("posexplode(split(text, '\n'))").alias("at", "line")
-    )
-    lines = lines.select("path", "name", (F.col("at") + 1).alias("line_number"), "line")
+    lines = explode_lines(_corpus(spark, sf_dir)).withColumn("name", F.element_at(F.split("path", "/"), -1))
     return detect(lines, BUILTIN_RULES, NO_ENTROPY, entropy=False, name="name", keep=("path", "line_number"))
 
 
@@ -507,7 +519,8 @@ def critical_high(spark, sf_dir):
 
 @query
 def audit_gate_(spark, sf_dir):
-    return audit_gate(_audited(spark, sf_dir))
+    # One critical finding fails the audit, however often it occurs, so nothing is deduplicated for it.
+    return audit_gate(_found(spark, sf_dir))
 
 
 @query

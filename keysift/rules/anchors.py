@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from string import ascii_letters, digits
 
-from keysift.rules.catalog import ASSIGNMENT, NAME_TAIL, Rule
+from keysift.rules.catalog import ASSIGNMENT, BUILTIN_RULES, NAME_TAIL, Rule
 
 # Gates are tested once per line and shared by the rules.
 GATES: dict[str, tuple[str, ...]] = {
@@ -122,8 +122,12 @@ ANCHORS: dict[str, Anchor] = {
 }
 
 
+# A rule's gates hold for its pattern, whatever id a user's rule may have.
+_BY_PATTERN = {rule.pattern: ANCHORS[rule.id] for rule in BUILTIN_RULES if rule.id in ANCHORS}
+
+
 def anchor(rule: Rule) -> Anchor:
     if rule.keywords:
         plain = all(word.isascii() for word in rule.keywords)  # others may fold to more than one character
         return _folded("assign", "quote", has=(tuple(word.lower() for word in rule.keywords),) if plain else ())
-    return ANCHORS.get(rule.id, Anchor())
+    return _BY_PATTERN.get(rule.pattern, Anchor())

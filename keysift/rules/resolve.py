@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import replace
 from typing import Any, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysift.config import AuditConfig
-from keysift.functions.regex import compiles
+from keysift.functions.regex import compiles, problem
 from keysift.rules.catalog import BUILTIN_RULES, KEYWORD_RULE, RISKS, Rule, name_assignment
 
 RULE_SCHEMA = (
@@ -51,9 +52,17 @@ def next_custom_id(used: Iterable[str]) -> str:
     return f"CUSTOM-{number}"
 
 
+def rule_problems(spark: SparkSession, config: AuditConfig) -> list[tuple[str, str]]:
+    """Id and reason of each of the user's rules that cannot run."""
+    found = ((rule.id, problem(spark, rule.pattern)) for rule in config.custom_rules)
+    return [(rule_id, reason) for rule_id, reason in found if reason]
+
+
 def active_rules(spark: SparkSession, config: AuditConfig) -> list[Rule]:
-    """Rules in scan order.  A user's rule that does not compile is left out instead of failing the job."""
+    """Rules in scan order.  A user's rule that cannot run is left out with a warning instead of failing the job."""
     added = [rule for rule in (keyword_rule(config.keywords), *config.custom_rules) if rule]
+    for rule_id, reason in rule_problems(spark, config):
+        warnings.warn(f"rule {rule_id} is left out: {reason}", stacklevel=2)
     added = [rule for rule in added if compiles(spark, rule.pattern)]
     return [rule for rule in (*BUILTIN_RULES, *added) if rule.id not in config.disabled_rules]
 

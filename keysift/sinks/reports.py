@@ -14,9 +14,10 @@ from keysift.operators.findings import severity_order, sort_severity, top_findin
 from keysift.operators.scan import FINDING_COLUMNS
 from keysift.plans.audit import Audit
 from keysift.plans.settle import settle
+from keysift.rules.catalog import RISKS
 
 _ROW_BITS = 33  # of monotonically_increasing_id, below the partition number
-NO_FINDINGS = "No security issues or secrets detected."
+NO_FINDINGS = "Nothing that looks like a credential was found."
 TOP = 10
 
 
@@ -62,149 +63,125 @@ def _rows(section: int, frame: DataFrame, value: Column, idx: Column | None = No
     return frame.select(F.lit(section).alias("section"), place.cast("bigint").alias("idx"), value.alias("value"))
 
 
+def _tally() -> Column:
+    """How many findings there are of each risk, gravest first."""
+    return F.concat_ws(", ", *(_say(f"{{}} {risk.lower()}", f"{risk.lower()}_count") for risk in RISKS))
+
+
+def _volume() -> Column:
+    return _say("{} files with {} lines, read in {}", _thousands("files_scanned"), _thousands("lines_scanned"),
+                format_duration(F.col("elapsed_time_seconds")))
+
+
+def _place() -> Column:
+    return _say("{}:{}", "file_path", "line_number")
+
+
+def _origin() -> Column:
+    """The commit of a finding of history, null for any other."""
+    who = F.concat_ws(", ", F.nullif("author", F.lit("")), F.nullif("date", F.lit("")))
+    commit = F.col("commit_hash")
+    return F.when(commit != "", F.when(who == "", commit).otherwise(F.concat(commit, F.lit(" ("), who, F.lit(")"))))
+
+
 # ---- Markdown ----------------------------------------------------------------------------------------------
 def markdown_rows(numbered: DataFrame, stats: DataFrame, scanned: str, timestamp: str) -> DataFrame:
+    """A headline, an index of all findings, then each finding under its place."""
+    index = _lines("", "| # | Place | Finding | Risk | Value |", "| ---: | --- | --- | --- | --- |")
     head = _lines(
-        "# Security Audit Report",
-        "",
-        f"- **Scanned Directory**: `{scanned}`",
-        f"- **Timestamp**: `{timestamp}`",
+        f"# Leaked credentials in `{scanned}`",
         "",
-        "## Executive Summary",
+        F.when(F.col("total_findings") == 0, NO_FINDINGS).otherwise(_say("{} findings: {}.", "total_findings", _tally())),
         "",
-        "| Metric | Value |",
-        "| :--- | :--- |",
-        _say("| **Scanned Files** | `{}` |", "files_scanned"),
-        _say("| **Scanned Lines** | `{}` |", _thousands("lines_scanned")),
-        _say("| **Elapsed Time** | `{}s` |", F.format_string("%.2f", "elapsed_time_seconds")),
-        _say("| **Total Findings** | `{}` |", "total_findings"),
-        *(_say(f"| **{r}** | `{{}}` |", f"{r.lower()}_count") for r in ("Critical", "High", "Medium", "Low", "Info")),
-        "",
-        F.when(F.col("total_findings") == 0, f"**{NO_FINDINGS}**").otherwise(
-            _lines(
-                "## Findings Summary Table",
-                "",
-                "| Risk | Type | File Path | Line | Secret Preview |",
-                "| :--- | :--- | :--- | :---: | :--- |",
-            )
-        ),
-    )
-    table = _say(
-        "| **{}** | {} | `{}` | `{}` | `{}` |", "risk_level", "finding_type", "file_path", "line_number",
-        F.replace("matched_string", F.lit("|"), F.lit("\\|")),
+        _say("_{}; {}._", F.lit(timestamp), _volume()),
+        F.when(F.col("total_findings") > 0, index),
     )
+    entry = _say("| {} | {} | {} | {} | `{}` |", "idx", _place(), "finding_type", "risk_level",
+                 F.replace("matched_string", F.lit("|"), F.lit("\\|")))
     detail = _lines(
-        _say("### {}. [{}] {}", "idx", "risk_level", "finding_type"),
+        _say("## {}. {}", "idx", _place()),
         "",
-        _say("- **File**: `{}` (Line {})", "file_path", "line_number"),
-        _say("- **Description**: {}", "description"),
-        _say("- **Matched Value**: `{}`", "matched_string"),
-        F.when(
-            F.col("commit_hash") != "",
-            _say("- **Git Commit**: `{}` by {} ({})", "commit_hash", _or_none("author"), _or_none("date")),
-        ),
-        _say("- **Recommendation**: {}", "recommendation"),
+        _say("{} risk, {}: {}", "risk_level", "finding_type", "description"),
+        "",
+        "~~~",
+        F.col("context.line_content"),
+        "~~~",
         "",
-        "```",
-        _say("Line {}: {}", "line_number", F.col("context.line_content")),
-        "```",
+        _say("Next: {}", "recommendation"),
+        F.when(_origin().isNotNull(), _say("\nIntroduced by {}", _origin())),
         "",
     )
-    between = stats.filter(F.col("total_findings") > 0)
     return (
         _rows(0, stats, head)
-        .unionByName(_rows(1, numbered, table, F.col("idx")))
-        .unionByName(_rows(2, between, _lines("", "## Detailed Audit Breakdown & Remediation", "")))
+        .unionByName(_rows(1, numbered, entry, F.col("idx")))
+        .unionByName(_rows(2, stats.filter(F.col("total_findings") > 0), F.lit("")))
         .unionByName(_rows(3, numbered, detail, F.col("idx")))
     )
 
 
-def _or_none(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit("None"))
-
-
 # ---- Plain text --------------------------------------------------------------------------------------------
 def text_rows(numbered: DataFrame, stats: DataFrame, scanned: str, timestamp: str) -> DataFrame:
+    """Three lines of summary, then a paragraph per finding."""
     head = _lines(
-        "=" * 70,
-        "SECRET AUDIT REPORT",
-        "=" * 70,
-        f"Target Directory : {scanned}",
-        f"Scan Timestamp   : {timestamp}",
-        _say("Execution Time   : {}", format_duration(F.col("elapsed_time_seconds"))),
-        _say("Files Scanned   : {}", "files_scanned"),
-        _say("Lines Scanned   : {}", "lines_scanned"),
-        "-" * 70,
-        _say("Total Findings   : {}", "total_findings"),
-        _say("Critical         : {}", "critical_count"),
-        _say("High             : {}", "high_count"),
-        _say("Medium           : {}", "medium_count"),
-        _say("Low              : {}", "low_count"),
-        _say("Info             : {}", "info_count"),
-        "=" * 70,
+        f"keysift {timestamp} {scanned}",
+        _volume(),
+        _say("{} findings: {}", "total_findings", _tally()),
         "",
     )
     block = _lines(
-        _say("Finding #{}: [{}] {}", "idx", "risk_level", "finding_type"),
-        _say("File: {}:{}", "file_path", "line_number"),
-        _say("Description: {}", "description"),
-        _say("Matched Secret: {}", "matched_string"),
-        _say("Recommendation: {}", "recommendation"),
-        _say("Line Content: {}", F.col("context.line_content")),
-        "-" * 50,
+        _say("{} {} [{}]", "idx", _place(), F.lower("risk_level")),
+        _say("  {} = {}", "finding_type", "matched_string"),
+        _say("  | {}", F.col("context.line_content")),
+        _say("  {}", "description"),
+        _say("  {}", "recommendation"),
+        "",
     )
     return _rows(0, stats, head).unionByName(_rows(1, numbered, block, F.col("idx")))
 
 
 # ---- HTML cards --------------------------------------------------------------------------------------------
 def html_rows(numbered: DataFrame, stats: DataFrame, scanned: str, timestamp: str) -> DataFrame:
-    """A static page: the statistics, then one card per finding."""
+    """A static page: a summary, then one card per finding, which opens with the code."""
     head = _lines(
         "<!DOCTYPE html>",
-        '<html lang="en"><head><meta charset="utf-8"><title>Security Audit Report</title></head><body>',
-        _say("<p>{} &middot; {}</p>", html_escape(F.lit(scanned)), html_escape(F.lit(timestamp))),
-        "<ul>",
-        _say("<li>Files Scanned: {}</li>", "files_scanned"),
-        _say("<li>Lines Scanned: {}</li>", _thousands("lines_scanned")),
-        _say("<li>Elapsed Time: {}s</li>", F.format_string("%.2f", "elapsed_time_seconds")),
-        _say("<li>Total Secrets: {}</li>", "total_findings"),
-        _say("<li>Critical / High: {}</li>", F.col("critical_count") + F.col("high_count")),
-        "</ul>",
-        F.when(F.col("total_findings") == 0, f'<p class="none">{NO_FINDINGS}</p>'),
+        '<html lang="en"><meta charset="utf-8"><title>keysift</title>',
+        _say("<header><h1>{}</h1><time>{}</time>", html_escape(F.lit(scanned)), html_escape(F.lit(timestamp))),
+        _say("<p>{} findings: {}</p>", "total_findings", _tally()),
+        _say("<p>{}</p></header>", _volume()),
+        F.when(F.col("total_findings") == 0, f'<p class="clean">{NO_FINDINGS}</p>'),
     )
 
     def escaped(column: str) -> Column:
         return html_escape(F.col(column))
 
     before, after = F.col("context.lines_before"), F.col("context.lines_after")
-    label = F.when(F.size(before) + F.size(after) > 0, "Surrounding Code Context").otherwise("Matched Line")
     code = _lines(
         F.when(F.size(before) > 0, html_escape(F.concat_ws("\n", before))),
-        _say("<mark>{} | {}</mark>", F.format_string("%4d", "line_number"), escaped("context.line_content")),
+        _say("<mark>{}</mark>", escaped("context.line_content")),
         F.when(F.size(after) > 0, html_escape(F.concat_ws("\n", after))),
     )
-    commit = _say(
-        '<p class="commit">Commit: <code>{}</code>{}{}</p>',
-        escaped("commit_hash"),
-        F.when(F.col("author") != "", _say(" | Author: {}", escaped("author"))).otherwise(""),
-        F.when(F.col("date") != "", _say(" | Date: {}", escaped("date"))).otherwise(""),
-    )
+    around = F.when(F.size(before) + F.size(after) > 0, "around").otherwise("alone")
+
+    def item(term: str, value: Column) -> Column:
+        return _say(f"<dt>{term}<dd>{{}}", value)
+
     card = _lines(
-        _say('<section class="card" data-risk="{}">', "risk_level"),
-        _say('<h2><span class="badge">{}</span> {}</h2>', F.upper("risk_level"), escaped("finding_type")),
-        _say('<p class="place">{}:{}</p>', escaped("file_path"), "line_number"),
-        _say("<p><strong>Description:</strong> {}</p>", escaped("description")),
-        F.when(F.col("commit_hash") != "", commit),
-        _say("<p>Matched Secret Preview: <code>{}</code></p>", escaped("matched_string")),
-        _say("<p><strong>Recommendation:</strong> {}</p>", escaped("recommendation")),
-        _say("<p>{} (Line {})</p>", label, "line_number"),
-        _say("<pre><code>{}</code></pre>", code),
-        "</section>",
+        _say('<article id="f{}" class="{}">', "idx", F.lower("risk_level")),
+        _say("<h2>{}:{}</h2>", escaped("file_path"), "line_number"),
+        _say('<pre class="{}" data-line="{}">{}</pre>', around, "line_number", code),
+        "<dl>",
+        item("kind", escaped("finding_type")),
+        item("risk", F.col("risk_level")),
+        item("value", escaped("matched_string")),
+        item("why", escaped("description")),
+        item("next", escaped("recommendation")),
+        F.when(_origin().isNotNull(), item("commit", html_escape(_origin()))),
+        "</dl></article>",
     )
     return (
         _rows(0, stats, head)
         .unionByName(_rows(1, numbered, card, F.col("idx")))
-        .unionByName(_rows(2, stats, F.lit("</body></html>")))
+        .unionByName(_rows(2, stats, F.lit("</html>")))
     )
 
 
@@ -212,27 +189,20 @@ def html_rows(numbered: DataFrame, stats: DataFrame, scanned: str, timestamp: st
 def console_rows(findings: DataFrame, stats: DataFrame, scanned: str) -> DataFrame:
     """Statistics and the gravest findings: a bounded number of rows whatever the size of the audit."""
     head = _lines(
-        "=" * 70,
-        "       SECRET AUDIT RESULTS SUMMARY",
-        "=" * 70,
-        f" Target Directory   : {scanned}",
-        _say(" Execution Time     : {}", format_duration(F.col("elapsed_time_seconds"))),
-        _say(" Files Scanned     : {}", _thousands("files_scanned")),
-        _say(" Lines Scanned     : {}", _thousands("lines_scanned")),
-        "-" * 70,
-        _say(" Total Secrets      : {}", "total_findings"),
-        _say(" Suspicious Lines  : {}", "suspicious_lines"),
-        *(_say(f"   {r:<9}: {{}}", f"{r.lower()}_count") for r in ("Critical", "High", "Medium", "Low", "Info")),
-        "=" * 70,
+        f"keysift: {scanned}",
+        _volume(),
+        F.when(F.col("total_findings") == 0, NO_FINDINGS).otherwise(
+            _say("{} findings on {} lines: {}", "total_findings", "suspicious_lines", _tally())
+        ),
+        F.when(F.col("total_findings") > 0, _say("\nThe gravest {}:", F.least(F.lit(TOP), F.col("total_findings")))),
     )
     top = top_findings(findings, TOP).withColumn("idx", F.row_number().over(Window.orderBy(*severity_order())))
     entry = _lines(
-        _say("{}. [{}] {}", F.format_string("%2d", "idx"), F.rpad("risk_level", 8, " "), "finding_type"),
-        _say("    File: {}:{}", "file_path", "line_number"),
-        _say("    Match: {}", "matched_string"),
-        _say("    Recommendation: {}", "recommendation"),
+        _say("{} {} {}", F.format_string("%2d", "idx"), F.rpad("risk_level", 8, " "), _place()),
+        _say("   {}: {}", "finding_type", "matched_string"),
+        _say("   {}", "recommendation"),
     )
-    more = _say("... and {} additional findings detailed in the reports.", F.col("total_findings") - TOP)
+    more = _say("{} more; all of them are in the report files.", F.col("total_findings") - TOP)
     return (
         _rows(0, stats, head)
         .unionByName(_rows(1, top, entry, F.col("idx")))

@@ -70,14 +70,14 @@ def test_reports(audit, tmp_path, capsys):
     out = Path(write_reports(audit, str(tmp_path), "2024-01-01 00:00:00"))
     total = audit.findings.count()
     markdown = _text(out / "report-markdown")
-    assert "| **Scanned Files** | `3` |" in markdown and markdown.index("### 1. [Critical]") < markdown.index("### 2. [High]")
-    assert "`SECR**********..\\|e\\|f`" in markdown and "- **Git Commit**: `abababab` by Ann (today)" in markdown
-    assert markdown.count("\n### ") == total
+    assert "3 files with 51 lines" in markdown and markdown.index("## 1. server.pem:1\n\nCritical risk") < markdown.index("## 2. ")
+    assert "`SECR**********..\\|e\\|f`" in markdown and "\nIntroduced by abababab (Ann, today)" in markdown
+    assert markdown.count("\n## ") == total
     text = _text(out / "report-text")
-    assert text.count("Finding #") == total and "Files Scanned   : 3" in text and "2024-01-01 00:00:00" in text
+    assert text.count("\n  | ") == total and "3 files" in text and "2024-01-01 00:00:00" in text
     html = _text(out / "report-html")
-    assert html.count('<section class="card"') == total and "line 24 &lt;b&gt;&amp;" in html and "<b>&" not in html
-    assert "Surrounding Code Context (Line 25)" in html and "Commit: <code>abababab</code> | Author: Ann | Date: today" in html
+    assert html.count("<article id=") == total and "line 24 &lt;b&gt;&amp;" in html and "<b>&" not in html
+    assert '<pre class="around" data-line="25">' in html and "<dt>commit<dd>abababab (Ann, today)" in html
     rows = [json.loads(line) for line in _text(out / "report-json" / "findings").splitlines()]
     assert len(rows) == total and set(rows[0]) == {
         "finding_type", "risk_level", "description", "file_path", "line_number", "matched_string", "recommendation", "context",
@@ -87,7 +87,7 @@ def test_reports(audit, tmp_path, capsys):
     assert summary["stats"]["total_findings"] == total
     print_summary(audit)
     shown = capsys.readouterr().out
-    assert f" Total Secrets      : {total}" in shown and " 1. [Critical] Private Key Header" in shown
+    assert f"{total} findings on" in shown and " 1 Critical server.pem:1" in shown and "Private Key Header" in shown
 
 
 def test_brief(spark, project, tmp_path):
@@ -97,7 +97,7 @@ def test_brief(spark, project, tmp_path):
     out = Path(write_reports(audit, str(tmp_path)))
     assert sorted(p.name for p in out.iterdir()) == ["report-html"]
     html = _text(out / "report-html")
-    assert "Matched Line (Line 25)" in html and "Surrounding Code Context" not in html
+    assert '<pre class="alone" data-line="25">' in html and 'class="around"' not in html
 
 
 def test_clean_input(spark, tmp_path):
@@ -107,7 +107,7 @@ def test_clean_input(spark, tmp_path):
     stats = audit.stats.first()
     assert (stats["files_scanned"], stats["lines_scanned"], stats["total_findings"]) == (2, 1, 0)
     out = Path(write_reports(audit, str(tmp_path)))
-    assert NO_FINDINGS in _text(out / "report-markdown") and "Detailed" not in _text(out / "report-markdown")
+    assert NO_FINDINGS in _text(out / "report-markdown") and "| Place |" not in _text(out / "report-markdown")
     assert NO_FINDINGS in _text(out / "report-html")
 
 
