@@ -6,12 +6,13 @@ value's first character, and junk values are filtered out after the match.
 
 from __future__ import annotations
 
-from keysift.config import AuditConfig, config_from_json
+from dataclasses import replace
+
+from keysift.config import AuditConfig
 from keysift.operators.detect import DOTTED_ID, HEX_HASH, PLACEHOLDERS, URL, UUID
 from keysift.plans import queries as q
 from keysift.plans.corpus import BYTE_HEADS, BYTE_TAILS, CORPUS_SQL, LINE_ENDS_SQL, RECORD_SQL, STASH_SQL
 from keysift.rules import catalog as c
-from keysift.rules.resolve import clean_keywords, custom_rule
 
 CONFIG = q.CONFIG
 ORACLES: dict[str, str] = {}
@@ -398,7 +399,11 @@ ORACLES["patch_added_lines"] = (
 )
 ORACLES["src_stash_log"] = with_(*STASH) + "SELECT repo, doc_id AS log_row, commit AS stash, file, line FROM lines"
 
-_JSON_CONFIG = config_from_json(q.JSON_OPTIONS)
+# What the JSON options say, written out.
+_JSON_CONFIG = replace(
+    CONFIG, excluded_dirs=CONFIG.excluded_dirs | {"src0", "src1"}, included_extensions=CONFIG.included_extensions | {".bin"},
+    entropy_threshold=4.0, min_entropy_length=24, context_lines=3,
+)
 ORACLES["cfg_json"] = (
     with_(*file_ctes(rules=c.BUILTIN_RULES[:1], config=_JSON_CONFIG, target=True))
     + f"SELECT file_path, line_number, matched_string, entropy, lines_before, lines_after FROM ({by_entropy(_JSON_CONFIG.context_lines)})"
@@ -429,10 +434,16 @@ ORACLES["anti_disabled_rules"] = _matches() + (
 )
 _KEYWORD = c.Rule(
     c.KEYWORD_RULE_ID, "Custom", "High", c.KEYWORD_RULE.name,
-    c.name_assignment("|".join(clean_keywords(q.KEYWORDS))), c.KEYWORD_RULE.description, c.KEYWORD_RULE.recommendation,
-)
-_CUSTOM = [custom_rule(entry) for entry in q.CUSTOM]
-_RESOLVED = [r for r in (*c.BUILTIN_RULES, _KEYWORD, *_CUSTOM[:2]) if r.id not in (*q.DISABLED, "CUSTOM-1")]
+    c.name_assignment("tokenizer|token|blob|dgis"), c.KEYWORD_RULE.description, c.KEYWORD_RULE.recommendation,
+)
+# The user's rules as they are to be understood, the broken one left out, in DuckDB's dialect.
+_OWN = "User-defined detection rule.", "Review this match and move the value out of the repository if it is a secret."
+_CUSTOM = [
+    c.Rule("CUSTOM-1", "Custom", "Low", "Host path", r"host\.net/[0-9a-f]{8}", *_OWN),
+    c.Rule("CUSTOM", "Custom", "High", "Custom Rule", r"\bdata Zq[0-9a-f]+", *_OWN),
+    c.Rule("CUSTOM-4", "Custom", "Info", "Python only", r"host\.[net]+/[0-9a-f]{0,4}", *_OWN),
+]
+_RESOLVED = [r for r in (*c.BUILTIN_RULES, _KEYWORD, *_CUSTOM) if r.id not in (*q.DISABLED, "CUSTOM-1")]
 ORACLES["rule_resolve"] = _matches(_RESOLVED) + f"SELECT r.ordinal, id, name, risk, coalesce(n, 0) AS matches {_PER_RULE}"
 
 
@@ -444,9 +455,9 @@ def _only(rules) -> str:
 
 
 ORACLES["rule_keyword"] = _only([_KEYWORD])
-ORACLES["rule_custom"] = _only(_CUSTOM[:2])
+ORACLES["rule_custom"] = _only(_CUSTOM)
 ORACLES["rule_validate"] = (
-    _matches((*c.BUILTIN_RULES, *_CUSTOM[:2]))
+    _matches((*c.BUILTIN_RULES, *_CUSTOM))
     + "SELECT r.id AS rule_id, count(*) AS matches FROM hits h JOIN rules r ON h.ordinal = r.ordinal GROUP BY r.id"
 )
 _NAMES_RULE = next(rule for rule in c.BUILTIN_RULES if rule.id == "SWIFT-001")
@@ -551,6 +562,7 @@ ORACLES["suspicious_lines"] = with_(AUDITED) + "SELECT count(DISTINCT (file_path
 _TARGET_CUT = [("corpus", f"SELECT * FROM ({CORPUS_SQL}) WHERE {is_target()}"), CUT]
 _COUNTS = "SELECT count(*) AS files_scanned, CAST(sum(len(lines)) AS BIGINT) AS lines_scanned FROM cut"
 ORACLES["scan_counts"] = with_(*_TARGET_CUT) + _COUNTS
+ORACLES["scan_elapsed"] = with_(*_TARGET_CUT) + f"SELECT *, true AS timed FROM ({_COUNTS})"
 ORACLES["critical_high"] = with_(AUDITED) + "SELECT count(*) FILTER (risk_level IN ('Critical', 'High')) AS critical_high FROM audited"
 ORACLES["audit_gate"] = with_(AUDITED) + "SELECT count(*) FILTER (risk_level = 'Critical') = 0 AS passed FROM audited"
 
@@ -562,6 +574,12 @@ REPORT = with_(
 )
 
 
+ORACLES["sink_json"] = ORACLES["dedup_findings"]
+ORACLES["sink_json_summary"] = REPORT + (
+    f"SELECT 'corpus' AS scanned_path, '{q.TIMESTAMP}' AS scan_timestamp, *, {q.ELAPSED}::DOUBLE AS elapsed_time_seconds FROM stats"
+)
+
+
 def say(template: str, *values: str) -> str:
     pieces = [text(template.split("{}")[0])]
     for value, rest in zip(values, template.split("{}")[1:]):

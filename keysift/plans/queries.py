@@ -60,6 +60,7 @@ KEYWORDS = (" blob ", "dgis", "", "token", "tokenizer")
 CUSTOM = (
     {"id": "CUSTOM-1", "name": "Host path", "pattern": r"host\.net/[0-9a-f]{8}", "risk": "Low"},
     {"pattern": r"\bdata Zq[0-9a-f]+", "risk": "Severe"},
+    {"id": "CUSTOM-4", "name": "Python only", "pattern": r"(?P<my_host>host)\.(?:n|e|t)+/[0-9a-f]{,4}", "risk": "Info"},
     {"id": "CUSTOM-3", "name": "Broken", "pattern": r"(unclosed", "risk": "Low"},
 )
 ROOT = "src/main"
@@ -282,7 +283,7 @@ def rule_keyword(spark, sf_dir):
 
 @query
 def rule_custom(spark, sf_dir):
-    return _only(spark, sf_dir, [custom_rule(entry) for entry in CUSTOM[:2]])
+    return _only(spark, sf_dir, [custom_rule(entry) for entry in CUSTOM[:3]])
 
 
 @query
@@ -525,8 +526,10 @@ def audit_gate_(spark, sf_dir):
 
 @query
 def scan_elapsed(spark, sf_dir):
+    """The statistics of a whole audit; how long it took differs each time, that it is told does not."""
     targets = _corpus(spark, sf_dir).filter(is_target(F.col("path"), CONFIG))
-    return run_audit(targets, CONFIG).stats.select("files_scanned", "lines_scanned", "elapsed_time_seconds")
+    stats = run_audit(targets, CONFIG).stats
+    return stats.select("files_scanned", "lines_scanned", (F.col("elapsed_time_seconds") > 0).alias("timed"))
 
 
 # ---- Sinks -------------------------------------------------------------------------------------------------
@@ -549,8 +552,19 @@ QUERIES["sink_html_cards"] = _report(reports.html_rows)
 
 @query
 def sink_json(spark, sf_dir):
+    """The findings' JSON lines, read back."""
     findings = reports.json_findings(_audited(spark, sf_dir))
-    return findings.select(F.to_json(F.struct(*findings.columns), {"ignoreNullFields": "false"}).alias("value"))
+    value = F.to_json(F.struct(*findings.columns), {"ignoreNullFields": "false"})
+    return _slim(findings.select(F.from_json(value, findings.schema).alias("finding")).select("finding.*"))
+
+
+@query
+def sink_json_summary(spark, sf_dir):
+    """The summary's JSON, read back."""
+    report = reports.json_report(_stats(spark, sf_dir, _audited(spark, sf_dir)), "corpus", TIMESTAMP)
+    value = report.select(F.to_json(F.struct(*report.columns)).alias("value"))
+    read = value.select(F.from_json("value", report.schema).alias("report"))
+    return read.select("report.scanned_path", "report.scan_timestamp", "report.stats.*")
 
 
 @query

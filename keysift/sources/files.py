@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import and_
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keysift.config import AuditConfig
 from keysift.operators.detect import file_name_rule
 from keysift.operators.lines import decode_text, is_binary
-from keysift.sources.walk import read_unlisted, unlisted
+from keysift.sources.walk import linked_folders, outside, reachable, read_whole, unlisted, walk
 
 
 def file_name(path: Column) -> Column:
@@ -86,13 +87,22 @@ def targets(files: DataFrame, root: str, config: AuditConfig, *columns: str | Co
     return files.filter(is_target(path, config)).select(path.alias("path"), *columns)
 
 
-def listed_files(spark: SparkSession, root: str, config: AuditConfig, longest: int | None = None) -> DataFrame:
-    """The files to be scanned among those Spark lists."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def listed_files(
+    spark: SparkSession, root: str, config: AuditConfig, longest: int | None = None, links: Sequence[str] = ()
+) -> DataFrame:
+    """The files to be scanned among those Spark lists; one that cannot be read is passed over."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    files = reader.load(root)
     if longest is not None:
         files = files.filter(F.col("_metadata.file_size") < longest)
     files = targets(files, root, config, "length", "content")
-    return files.filter(~unlisted(F.col("path"), F.col("length")))
+    return files.filter(~unlisted(F.col("path"), F.col("length")) & outside(F.col("path"), links))
+
+
+def walked(spark: SparkSession, root: str, config: AuditConfig) -> tuple[DataFrame, list[str]]:
+    """``(path, length)`` of the files to be scanned that Spark does not list, and the linked folders."""
+    files, links = walk(spark, root, lambda path: in_open_dirs(F.concat(path, F.lit("/")), config))
+    return files.filter(is_target(F.col("path"), config)), linked_folders(links)
 
 
 def list_files(
@@ -101,24 +111,37 @@ def list_files(
     """``(path, name, length, content)`` of the files under ``root`` that are to be scanned.
 
     ``path`` is relative to the root.  A root that is one file is taken as it is, a missing one has no files.
-    Files of ``longest`` bytes or more are left to ``long_parts``.
+    Files of ``longest`` bytes or more are left to ``long_parts``.  Linked folders are not followed.  A file that
+    cannot be read has null content, or none if Spark reads it.
     """
     root, exists, single = qualify(spark, root)
     if not exists:
         return spark.createDataFrame([], "path STRING, name STRING, length BIGINT, content BINARY")
-    if single:
-        files = spark.read.format("binaryFile").load(root).withColumn("path", file_name(F.col("path")))
-    else:
-        files = listed_files(spark, root, config, longest).unionByName(
-            read_unlisted(
-                spark, root,
-                descend=lambda path: in_open_dirs(F.concat(path, F.lit("/")), config),
-                wanted=lambda path: is_target(path, config),
-            )
+    if not reachable(root):  # then long files are read whole as well
+        files = (
+            spark.read.format("binaryFile").load(root).withColumn("path", file_name(F.col("path"))) if single
+            else listed_files(spark, root, config)
         )
+    elif single:
+        files = single_file(spark, root)
+        if longest is not None:
+            files = files.filter(F.col("length") < longest)
+        files = read_whole(files, root.rsplit("/", 1)[0])
+    else:
+        hidden, links = walked(spark, root, config)
+        if longest is not None:
+            hidden = hidden.filter(F.col("length") < longest)
+        files = listed_files(spark, root, config, longest, links).unionByName(read_whole(hidden, root))
     return files.select("path", file_name(F.col("path")).alias("name"), "length", "content")
 
 
+def single_file(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, length)`` of a root that is one file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    length = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return spark.createDataFrame([(path.getName(), length)], "path STRING, length BIGINT")
+
+
 def _below(path: Column, base: Column) -> Column:
     """Relative path, whatever number of slashes follows the scheme of either side."""
     def plain(p: Column) -> Column:

@@ -10,68 +10,95 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from keysift.config import AuditConfig
 from keysift.operators.lines import SAMPLE_BYTES, is_binary
 from keysift.plans.settle import settle
-from keysift.sources.files import qualify, targets
-from keysift.sources.walk import open_root, unlisted
+from keysift.sources.files import qualify, single_file, targets, walked
+from keysift.sources.walk import open_root, outside, reachable, read_lines, unlisted
 
 LONG_BYTES = 256 << 20
-_BROADCAST_BYTES = 64 << 20
-_BLOCK_ROW_BYTES = 256  # of the table of block starts, at most, with room for a long path
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
 
 def _heads(root: str):
+    def head(system, path: str) -> bytes | None:
+        try:
+            with system.open_input_stream(path) as stream:
+                return stream.read(SAMPLE_BYTES)
+        except OSError:
+            return None
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = open_root(root)
         for batch in batches:
-            samples = []
-            for path in batch["path"]:
-                with system.open_input_stream(f"{base}/{path}") as stream:
-                    samples.append(stream.read(SAMPLE_BYTES))
-            yield batch.assign(head=samples)
+            yield batch.assign(head=[head(system, f"{base}/{path}") for path in batch["path"]])
 
     return read
 
 
 def long_files(spark: SparkSession, root: str, config: AuditConfig, least: int) -> DataFrame:
-    """``(path, length, binary)`` of the files to be scanned that have at least ``least`` bytes."""
+    """``(path, length, listed, binary, marked)`` of the files to be scanned that have at least ``least`` bytes.
+
+    ``listed`` says whether Spark lists the file, ``marked`` whether it starts with a byte order mark.  A file that
+    cannot be read counts as binary.
+    """
+    hidden, links = walked(spark, root, config)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     files = targets(files.filter(F.col("_metadata.file_size") >= least), root, config, "length")
-    files = files.filter(~unlisted(F.col("path"), F.col("length")))
-    heads = files.mapInPandas(_heads(root), "path STRING, length BIGINT, head BINARY")
-    return settle(heads.select("path", "length", is_binary(F.col("head")).alias("binary")), "long")
+    files = files.filter(~unlisted(F.col("path"), F.col("length")) & outside(F.col("path"), links))
+    every = files.select("path", "length", F.lit(True).alias("listed")).unionByName(
+        hidden.filter(F.col("length") >= least).select("path", "length", F.lit(False).alias("listed"))
+    )
+    return _judged(every, root)
+
+
+def _judged(files: DataFrame, root: str) -> DataFrame:
+    heads = files.mapInPandas(_heads(root), "path STRING, length BIGINT, listed BOOLEAN, head BINARY")
+    binary = F.coalesce(is_binary(F.col("head")), F.lit(True))
+    marked = F.coalesce(F.substring("head", 1, 3) == F.lit(BYTE_ORDER_MARK), F.lit(False))
+    return settle(heads.select("path", "length", "listed", binary.alias("binary"), marked.alias("marked")), "long")
 
 
 def long_lines(spark: SparkSession, root: str, config: AuditConfig, files: DataFrame, least: int) -> DataFrame:
-    """``(path, line_number, line)`` of the text files among ``files``.
+    """``(path, line_number, line)`` of the text files among ``files`` that Spark lists.
 
     A line's number is its place in its split plus the lines of the splits before, which are counted in the same
-    plan, so that both sides see the same splits.  The line reader drops a byte order mark.
+    plan, so that both sides see the same splits.  The line reader drops a byte order mark, which belongs to the
+    first line as it does in a file read whole.
     """
     rows = spark.read.option("recursiveFileLookup", True).text(root)
     rows = targets(
         rows.filter(F.col("_metadata.file_size") >= least), root, config, "value",
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
     )
-    rows = rows.join(files.filter(~F.col("binary")).select("path"), "path", "left_semi")
+    text = files.filter(F.col("listed") & ~F.col("binary")).select("path", "marked")
+    rows = rows.join(text, "path")
     blocks = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
     starts = blocks.select("path", "block", (before - F.col("first") + 1).alias("start"))
-    # One row per split: small enough to broadcast unless there are very many long bytes.
-    total = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
-    splits = total[0] // (4 << 20) + total[1]  # splits are no shorter than the open cost of a file, 4 MB
-    starts = F.broadcast(starts) if splits * _BLOCK_ROW_BYTES <= _BROADCAST_BYTES else starts
-    number = (F.col("start") + F.col("row")).cast("int").alias("line_number")
-    return rows.join(starts, ["path", "block"]).select("path", number, F.make_valid_utf8("value").alias("line"))
+    number = (F.col("start") + F.col("row")).cast("int")
+    line = F.make_valid_utf8("value")
+    mark = F.when((number == 1) & F.col("marked"), F.concat(F.lit("\ufeff"), line)).otherwise(line)
+    # One row per split; Spark broadcasts them where they are few.
+    return rows.join(starts, ["path", "block"]).select("path", number.alias("line_number"), mark.alias("line"))
 
 
 def long_parts(
     spark: SparkSession, root: str, config: AuditConfig = AuditConfig(), least: int = LONG_BYTES
 ) -> tuple[DataFrame, DataFrame] | None:
-    """Long files and their lines, or nothing when the root is no folder or holds no long file.
+    """Long files and their lines, or nothing when the root holds no long file.
 
     The lines are read more than once, for matches and for their neighbours, so they are numbered once and settled.
+    Long files that Spark does not list, and a root that is one long file, are read a chunk at a time.
     """
     root, exists, single = qualify(spark, root)
-    if not exists or single:
+    if not exists:
+        return None
+    if single:
+        root, one = root.rsplit("/", 1)[0], single_file(spark, root)
+        files = _judged(one.filter(F.col("length") >= least).withColumn("listed", F.lit(False)), root) if reachable(root) else None
+    else:
+        files = long_files(spark, root, config, least) if reachable(root) else None
+    if files is None or files.isEmpty():
         return None
-    files = long_files(spark, root, config, least)
-    return None if files.isEmpty() else (files, settle(long_lines(spark, root, config, files, least), "lines"))
+    lines = read_lines(files.filter(~F.col("listed") & ~F.col("binary")), root)
+    if not single:
+        lines = lines.unionByName(long_lines(spark, root, config, files, least))
+    return files, settle(lines, "lines")

@@ -2,14 +2,17 @@
 
 Spark skips empty files and every path with a part that starts with ``_`` or ``.``: ``__init__.py``, ``.npmrc``,
 ``_config.yml``.  An audit must see them, so they are found by a walk of the tree, one job per depth, and read in
-tasks.  All other files come from the ``binaryFile`` source.
+tasks.  All other files come from the ``binaryFile`` source.  The walk goes through ``pyarrow.fs``; storage that only
+Spark reaches is audited without such files, with a warning.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import warnings
 from functools import reduce
-from typing import Iterator
+from typing import Iterator, Sequence
 from urllib.parse import quote
 
 import pandas as pd
@@ -17,6 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keysift.plans.settle import settle
 
+CHUNK_BYTES = 8 << 20
+MOST_LINKS = 10_000
+_NAMES = {"s3a": "s3", "s3n": "s3"}  # Hadoop's names of storage that pyarrow calls otherwise
+
 
 def unlisted(path: Column, length: Column) -> Column:
     """Whether a file, by its path below the root, has to be found by the walk."""
@@ -29,56 +36,133 @@ def open_root(root: str):
 
     if root.startswith(("file:", "/")):
         return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", root)
-    return fs.FileSystem.from_uri(quote(root, safe=":/@"))
+    scheme, rest = root.split(":", 1)
+    return fs.FileSystem.from_uri(quote(f"{_NAMES.get(scheme, scheme)}:{rest}", safe=":/@"))
+
+
+def reachable(root: str) -> bool:
+    """Whether ``pyarrow.fs`` reaches the root."""
+    try:
+        system, base = open_root(root)
+        system.get_file_info(base)
+    except (OSError, ValueError, NotImplementedError) as error:
+        warnings.warn(f"hidden and empty files under {root} are left out: {error}", stacklevel=2)
+        return False
+    return True
 
 
 def _lister(root: str):
+    def listed(system, folder: str) -> list:
+        from pyarrow import fs
+
+        try:
+            return system.get_file_info(fs.FileSelector(folder))
+        except OSError:  # a folder that cannot be listed holds nothing
+            return []
+
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         system, base = open_root(root)
+        local = isinstance(system, fs.LocalFileSystem)
         for batch in batches:
+            rows = []
             for below in batch["path"]:
-                infos = system.get_file_info(fs.FileSelector(f"{base}/{below}".rstrip("/")))
-                yield pd.DataFrame(
-                    {
-                        "path": [f"{below}/{info.base_name}".lstrip("/") for info in infos],
-                        "length": [info.size or 0 for info in infos],
-                        "is_dir": [info.type == fs.FileType.Directory for info in infos],
-                    }
-                )
+                for info in listed(system, f"{base}/{below}".rstrip("/")):
+                    folder = info.type == fs.FileType.Directory
+                    linked = folder and local and os.path.islink(info.path)
+                    rows.append((f"{below}/{info.base_name}".lstrip("/"), info.size or 0, folder, linked))
+            yield pd.DataFrame(rows, columns=["path", "length", "is_dir", "is_link"])
 
     return entries
 
 
 def _reader(root: str):
+    def content(system, path: str) -> bytes | None:
+        try:
+            with system.open_input_stream(path) as stream:
+                return stream.read()
+        except OSError:  # counts as binary
+            return None
+
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = open_root(root)
         for batch in batches:
             for path, length in zip(batch["path"], batch["length"]):
-                with system.open_input_stream(f"{base}/{path}") as stream:
-                    yield pd.DataFrame({"path": [path], "length": [length], "content": [stream.read()]})
+                yield pd.DataFrame({"path": [path], "length": [length], "content": [content(system, f"{base}/{path}")]})
 
     return contents
 
 
+def _line_reader(root: str):
+    """Numbered lines of files, a chunk of the file at a time."""
+    ends = re.compile(rb"\r\n?|\n")
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = open_root(root)
+        for batch in batches:
+            for path in batch["path"]:
+                number, rest = 0, b""
+                with system.open_input_stream(f"{base}/{path}") as stream:
+                    while chunk := stream.read(CHUNK_BYTES):
+                        text = rest + chunk
+                        # A carriage return at the end may be the first half of a line end.
+                        text, held = (text[:-1], b"\r") if text.endswith(b"\r") else (text, b"")
+                        *whole, last = ends.split(text)
+                        rest = last + held
+                        yield _numbered(path, number, whole)
+                        number += len(whole)
+                *whole, last = ends.split(rest)
+                yield _numbered(path, number, [*whole, last] if last else whole)
+
+    return lines
+
+
+def _numbered(path: str, before: int, lines: list[bytes]) -> pd.DataFrame:
+    return pd.DataFrame({"path": path, "line_number": range(before + 1, before + 1 + len(lines)), "value": lines})
+
+
 def _spread(paths: DataFrame) -> DataFrame:
     return paths.repartition(paths.sparkSession.sparkContext.defaultParallelism)
 
 
-def walk(spark: SparkSession, root: str, descend) -> DataFrame:
-    """``(path, length)`` of the unlisted files; ``descend`` says of a directory's path whether to look into it."""
+def walk(spark: SparkSession, root: str, descend) -> tuple[DataFrame, DataFrame]:
+    """``(path, length)`` of the unlisted files, and ``path`` of linked folders, which are not looked into.
+
+    ``descend`` says of a directory's path whether to look into it.
+    """
     found, level = [], spark.createDataFrame([("",)], "path STRING")
     while True:
-        entries = _spread(level).mapInPandas(_lister(root), "path STRING, length BIGINT, is_dir BOOLEAN")
+        columns = "path STRING, length BIGINT, is_dir BOOLEAN, is_link BOOLEAN"
+        entries = _spread(level).mapInPandas(_lister(root), columns)
         entries = settle(entries.filter(F.col("is_dir") | unlisted(F.col("path"), F.col("length"))), "walk")
-        found.append(entries.filter(~F.col("is_dir")).select("path", "length"))
-        level = entries.filter(F.col("is_dir") & descend(F.col("path"))).select("path")
+        found.append(entries)
+        level = entries.filter(F.col("is_dir") & ~F.col("is_link") & descend(F.col("path"))).select("path")
         if level.isEmpty():
-            return reduce(DataFrame.unionAll, found)
+            every = reduce(DataFrame.unionAll, found)
+            return every.filter(~F.col("is_dir")).select("path", "length"), every.filter("is_link").select("path")
 
 
-def read_unlisted(spark: SparkSession, root: str, descend, wanted) -> DataFrame:
-    """``(path, length, content)`` of the unlisted files whose path is ``wanted``."""
-    files = walk(spark, root, descend).filter(wanted(F.col("path")))
+def linked_folders(links: DataFrame) -> list[str]:
+    rows = links.limit(MOST_LINKS + 1).collect()
+    if len(rows) > MOST_LINKS:
+        raise ValueError(f"more than {MOST_LINKS} linked folders")
+    return sorted(row["path"] for row in rows)
+
+
+def outside(path: Column, folders: Sequence[str]) -> Column:
+    """Whether a path lies in none of the folders."""
+    if not folders:
+        return F.lit(True)
+    return ~F.exists(F.array(*map(F.lit, folders)), lambda folder: F.startswith(path, F.concat(folder, F.lit("/"))))
+
+
+def read_whole(files: DataFrame, root: str) -> DataFrame:
+    """``(path, length, content)`` of ``files(path, length)`` below the root; null content if it cannot be read."""
     return _spread(files).mapInPandas(_reader(root), "path STRING, length BIGINT, content BINARY")
+
+
+def read_lines(files: DataFrame, root: str) -> DataFrame:
+    """``(path, line_number, line)`` of ``files(path)`` below the root, one task for each."""
+    rows = _spread(files.select("path")).mapInPandas(_line_reader(root), "path STRING, line_number INT, value BINARY")
+    return rows.select("path", "line_number", F.make_valid_utf8(F.col("value").cast("string")).alias("line"))

@@ -10,6 +10,7 @@ import pytest
 
 from keysift.config import AuditConfig, override
 from keysift.plans.audit import audit_tree, run_audit
+from keysift.sources.walk import open_root, reachable
 from keysift.sinks.reports import NO_FINDINGS, number_findings, output_dir, print_summary, write_reports
 
 DIGITS = "0123456789abcdef" * 8
@@ -126,7 +127,11 @@ def test_long_files_are_scanned_alike(spark, project, tmp_path):
     (root / "odd.log").write_bytes(b"a\rb\xff\n\n" + f"token = '{DIGITS[:30]}'\n".encode())
     (root / "data.sqlite").write_bytes(b"\x00" * 100 + GOOGLE.encode())
     (root / "tiny.env").write_text("SECRET=abcdefgh\n")
-    (root / "_hidden.md").write_text(f"{GOOGLE} and more than forty bytes of text\n" * 3)
+    (root / "_hidden.md").write_bytes(f"{GOOGLE} and more than forty bytes of text\r\n".encode() * 3 + b"\r\rtoken = '" + DIGITS[:30].encode() + b"'")
+    (root / "mark.env").write_bytes(b"\xef\xbb\xbfAPI_KEY=abcdef123456 and more than forty bytes of text\nAPI_KEY=abcdef123457\n")
+    (root / "_mark.env").write_bytes(b"\xef\xbb\xbfAPI_KEY=abcdef123456 and more than forty bytes of text\r\nAPI_KEY=abcdef123457\r")
+    (root / "linked").symlink_to(project)
+    (root / "loop").symlink_to(root)
     keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     old = {key: spark.conf.get(key) for key in keys}
     wanted = audit_tree(spark, str(root))
@@ -139,6 +144,34 @@ def test_long_files_are_scanned_alike(spark, project, tmp_path):
         for key, value in old.items():
             spark.conf.set(key, value)
     assert sorted(map(str, rows)) == sorted(map(str, wanted.findings.drop("seen").collect()))
-    assert {r["file_path"] for r in rows} == {"big.py", "odd.log", "data.sqlite", "tiny.env", "_hidden.md"}
+    assert {r["file_path"] for r in rows} == {"big.py", "odd.log", "data.sqlite", "tiny.env", "_hidden.md", "mark.env", "_mark.env"}
+    assert [r["line_number"] for r in rows if r["file_path"] == "mark.env"] == [2]
     for column in ("files_scanned", "lines_scanned", "total_findings"):
         assert found.stats.first()[column] == wanted.stats.first()[column], column
+
+
+@pytest.mark.parametrize("name", ["one.env", "_one.env", ".env"])
+def test_a_file_as_root(spark, tmp_path, name):
+    """Whole or as lines, and whatever it is called."""
+    path = tmp_path / name
+    path.write_bytes(b"\xef\xbb\xbfAPI_KEY=abcdef123456\nAPI_KEY=abcdef123457\n" + f"k = '{GOOGLE}'\n".encode())
+    found = [audit_tree(spark, str(path), long_bytes=size) for size in (1, 1 << 20)]
+    rows = [sorted(map(str, audit.findings.drop("seen").collect())) for audit in found]
+    assert rows[0] == rows[1] and len(rows[0]) >= 2
+    assert found[0].stats.first()["lines_scanned"] == found[1].stats.first()["lines_scanned"] == 3
+
+
+def test_closed_audits_leave_nothing(spark, tmp_path):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in folder.iterdir()}
+    files = spark.createDataFrame([("a.py", "a.py", f"k = '{GOOGLE}'\n")], "path STRING, name STRING, text STRING")
+    with run_audit(files) as audit:
+        assert audit.findings.count() > 0
+        assert not any("keysift-scan" in p.name for p in folder.iterdir() if p.name not in before)
+    assert not any(p.name.startswith("keysift-") for p in folder.iterdir() if p.name not in before)
+
+
+def test_unknown_storage_is_audited_without_hidden_files():
+    with pytest.warns(UserWarning, match="left out"):
+        assert not reachable("dbfs:/somewhere")
+    assert open_root("file:///a/b")[1] == "/a/b"

@@ -109,7 +109,7 @@ def test_names(spark, text, hit):
 
 
 def test_dialect(spark):
-    assert compiles(spark, r"(?P<name>a)[[&&]\Z")
+    assert compiles(spark, r"(?P<name>a)[\[&\&]\Z")
     assert not compiles(spark, "(unclosed")
     assert not compiles(spark, r"(?>a{,x)++(")
-    assert to_java(r"[\w[]") == r"(?ud)[\p{L}\p{N}_\[]"
+    assert to_java(r"[\w[]") == r"(?ud)[\p{L}\p{N}_\x{5b}]"

@@ -1,13 +1,19 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from dataclasses import replace
 
+import pytest
+from pyspark.sql import functions as F
+
 from keysift.config import AuditConfig, config_from_json, load_config, override
+from keysift.functions.regex import to_java
+from keysift.operators.detect import detect
 from keysift.rules.anchors import ANCHORS, GATES
 from keysift.rules.catalog import BUILTIN_RULES, FILE_NAME_RULES, KEYWORD_RULE_ID, RISKS
-from keysift.rules.resolve import active_rules, clean_keywords, custom_rule, enabled, keyword_rule, next_custom_id, rules_table
+from keysift.rules.resolve import active_rules, clean_keywords, custom_rule, enabled, keyword_rule, next_custom_id, rule_problems, rules_table
 
 
 def test_catalogue():
@@ -81,3 +87,65 @@ def test_flags():
     assert not config.enable_history and not config.enable_entropy and config.context_lines == 0
     assert config.entropy_threshold == 5.0 and {"a", "b"} <= config.excluded_dirs and "c" in config.excluded_files
     assert override(base, threshold=0).entropy_threshold == 4.0
+
+
+HOSTILE = {
+    "SDK-001": "https://" + "a" * 32 + "@" + "a." * 500_000 + "sentry.io/x",
+    "API-025": "https://" + "a" * 500_000 + ":" + "b" * 499_000,
+    "AUTH-001": "eyJ" + "a" * 500_000 + ".eyJ" + "b" * 499_000,
+    "SWIFT-001": "token" + "Aa" * 499_000 + "='",
+}
+
+
+def test_long_lines_end_no_task(spark):
+    """Lines of a million characters: words, labels, digits, quotes, and the start of what a rule looks for."""
+    lines = [*HOSTILE.values(), "a" * 10**6, "a." * 500_000, "x=" * 500_000, "1" * 10**6, "\"" * 10**6, "sk-" * 333_333, "xy" * 500_000 + "z"]
+    own = [custom_rule({"id": f"OWN-{n}", "pattern": p}) for n, p in enumerate((r"(?:x|y)+z", r"k(?:[a-z]+\.)*end", r"^(x+y)+z$"))]
+    table = spark.createDataFrame([(line,) for line in lines], "line STRING")
+    off = replace(AuditConfig(), enable_entropy=False)
+    found = detect(table, [*BUILTIN_RULES, *own], off, entropy=False, distinct=True).groupBy("slot").count().collect()
+    assert len(BUILTIN_RULES) in {row["slot"] for row in found}
+
+
+PATTERNS = [
+    r"(?P<my_key>ab)c", r"(?P<q>['\"])x(?P=q)", r"a{,2}b", r"(?:x|y)+z", r"[^\W\d]+", r"[^\s\w]", r"[\W_]+", r"[\D]{2}", r"(?i)k(?-i:A)b",
+    r"(?i:straße)", r"\bé\w*\b", r"a.c", r"(?s)a.c", r"(?m)^b$", r"^b$", r"x$", r"\Ax\Z", r"[a&&b]", r"[[a]", r"(a)(b)?\1", r"(?<=a)b(?!c)",
+    r"(?<!a)b(?=c)", r"a+?b", r"(?>a+)b", r"a++b", r"\.\-\/", r"[a\-z]", r"\d{2,}", r"(?a:\w+)", r"(?a)\d+\s", r"[\x41-\x43]\t", r"", r"a|", r"(|b)c",
+    r"(?:ab|a)c", r"\Bb\B", r"[^a]", r"(?x) a  b # c", r"sentry\.io", r"(?:[a-z0-9\-]+\.)*io\b",
+]
+
+
+def test_patterns_mean_what_python_means(spark):
+    draw = random.Random(8)
+    signs = list("abcxyzABC_-./ \t'\"&[]=09é٣ßK") + ["k", "İ", "io", "sentry.io", "straße", "STRASSE", "ab", "\x85", "\u2028", "\u3000", "s"]
+    lines = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 14))) for _ in range(400)]
+    table = spark.createDataFrame(list(enumerate(lines)), "n INT, line STRING")
+    for pattern in PATTERNS:
+        got = table.select("n", F.expr("regexp_extract_all(line, '" + to_java(pattern).replace("\\", "\\\\").replace("'", "\\'") + "', 0)").alias("m"))
+        found = {row["n"]: row["m"] for row in got.collect()}
+        for n, line in enumerate(lines):
+            assert found[n] == [m.group(0) for m in re.finditer(pattern, line)], (pattern, line)
+
+
+def test_a_rule_keeps_its_own_gate(spark):
+    """A user's rule with the id of a built-in one, and one with its pattern."""
+    rules = [custom_rule({"id": "API-004", "pattern": r"internal-\d+"}), replace(BUILTIN_RULES[0], id="MINE")]
+    lines = spark.createDataFrame([("internal-42",), ("nothing",), ("sk-" + "a1B2" * 12,)], "line STRING")
+    off = replace(AuditConfig(), enable_entropy=False)
+    found = sorted((r["slot"], r["matched"][:11]) for r in detect(lines, rules, off, entropy=False).collect())
+    assert (0, "internal-42") in found and len(found) == 1 + len(BUILTIN_RULES[0].pattern and re.findall(BUILTIN_RULES[0].pattern, "sk-" + "a1B2" * 12))
+
+
+def test_left_out_rules_are_told(spark):
+    config = replace(AuditConfig(), custom_rules=tuple(custom_rule({"id": i, "pattern": p}) for i, p in (("A", "(x"), ("B", r"(a)?(?(1)b|c)"), ("C", "x"))))
+    assert [rule for rule, _ in rule_problems(spark, config)] == ["A", "B"]
+    with pytest.warns(UserWarning, match="rule B is left out"):
+        assert [rule.id for rule in active_rules(spark, config)][-1] == "C"
+
+
+def test_lines_without_a_match_are_not_spread(spark):
+    """A rule without a gate is tested before its line gets a row of its own."""
+    rules = [custom_rule({"id": "OWN", "pattern": r"x\d+"})]
+    lines = spark.createDataFrame([("x1",), ("y",)], "line STRING")
+    plan = detect(lines, rules, AuditConfig(), entropy=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan
