@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+BLOCK_LINES = 64
+MOST_BLOCKS = 500_000  # of lines near hits, to be broadcast
+
+
+def near_hits(hits: DataFrame, lines: DataFrame, size: int) -> DataFrame:
+    """The ``lines`` in blocks of ``BLOCK_LINES`` that hold a neighbour of a hit.
+
+    Hits are few beside lines, so their blocks are counted and, up to ``MOST_BLOCKS``, broadcast: then all other
+    lines are dropped where they are read, and only neighbours are shuffled.
+    """
+    first = F.floor((F.col("line_number") - size) / BLOCK_LINES)
+    last = F.floor((F.col("line_number") + size) / BLOCK_LINES)
+    blocks = hits.select("path", F.explode(F.sequence(first, last)).alias("block")).distinct()
+    if blocks.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    numbered = lines.withColumn("block", F.floor(F.col("line_number") / BLOCK_LINES))
+    return numbered.join(blocks, ["path", "block"], "left_semi").drop("block")
+
+
 def join_context(hits: DataFrame, lines: DataFrame, size: int = 20) -> DataFrame:
     """Add ``lines_before`` and ``lines_after`` to ``hits(path, line_number, ...)`` from ``lines(path, line_number, line)``.
 
     A hit asks for its neighbours by line number, so this is an equi-join on (path, line_number): one huge file
     spreads over all tasks, and a range join is avoided.  A group holds at most ``2 * size`` lines.
     """
+    lines = near_hits(hits, lines, size)
     wanted = hits.select("path", "line_number").distinct().withColumn(
         "near", F.explode(F.sequence(F.col("line_number") - size, F.col("line_number") + size))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from functools import reduce
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -150,14 +150,18 @@ def _file_findings(matches: DataFrame, rules: Sequence[Rule], per_file: bool) ->
 
 
 def scan_long(
-    files: DataFrame, lines: DataFrame, rules: Sequence[Rule], config: AuditConfig = AuditConfig(), *, distinct: bool = False
+    files: DataFrame, lines: DataFrame, rules: Sequence[Rule], config: AuditConfig = AuditConfig(), *, distinct: bool = False,
+    keep: Callable[[DataFrame], DataFrame] = lambda hits: hits,
 ) -> DataFrame:
-    """Findings and per-file rows, as of ``scan_files``, of ``files(path)`` whose ``lines(path, line_number, line)`` are rows."""
+    """Findings and per-file rows, as of ``scan_files``, of ``files(path)`` whose ``lines(path, line_number, line)`` are rows.
+
+    The hits are read several times, to find the lines near them; ``keep`` may write them down in between.
+    """
     named = lines.withColumn("name", F.element_at(F.split("path", "/"), -1))
     found = detect(
         named, rules, config, entropy=config.enable_entropy, name="name", keep=("path", "line_number", "line"), distinct=distinct
     )
-    around = join_context(found, lines, config.context_lines)
+    around = join_context(keep(found), lines, config.context_lines)
     context = _context(F.col("lines_before"), F.col("line"), F.col("line_number"), F.col("lines_after"))
     columns = ("path", "line_number", "slot", "match_pos", "matched", "entropy", "context", "n_lines")
     around = around.withColumns({"context": context, "n_lines": F.lit(None).cast("bigint")}).select(*columns)

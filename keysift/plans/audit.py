@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -73,11 +74,12 @@ def run_audit(
     """Audit ``files(path, name, text)`` and, if given, long files and added lines of patches and stashes."""
     started = time.perf_counter()
     rules = active_rules(files.sparkSession, config) if rules is None else rules
-    scan = scan_files(files, rules, config, per_file=True, distinct=True)
-    if long is not None:
-        scan = scan.unionByName(scan_long(*long, rules, config, distinct=True))
     scanned_tables: list[str] = []
     tables: list[str] = []
+    scan = scan_files(files, rules, config, per_file=True, distinct=True)
+    if long is not None:
+        hits = partial(settle, label="hits", written=scanned_tables)
+        scan = scan.unionByName(scan_long(*long, rules, config, distinct=True, keep=hits))
     scan = settle(scan, "scan", scanned_tables)
     found = scan.filter(F.col("rule_id").isNotNull()).drop("n_lines")
     findings = settle(all_findings(found, patches, stashes, config), "findings", tables)

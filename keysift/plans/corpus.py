@@ -227,10 +227,3 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     path = F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html"))
     return table.select(path.alias("path"), file_name(path).alias("name"), F.col("html").alias("text"))
-
-
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as files, one per turn."""
-    table = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    path = F.concat_ws("/", F.lit("chat"), F.col("conv_id").cast("string"), F.concat(F.col("turn").cast("string"), F.lit(".txt")))
-    return table.select(path.alias("path"), file_name(path).alias("name"), "text")

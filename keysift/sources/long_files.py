@@ -85,7 +85,7 @@ def long_parts(
 ) -> tuple[DataFrame, DataFrame] | None:
     """Long files and their lines, or nothing when the root holds no long file.
 
-    The lines are read more than once, for matches and for their neighbours, so they are numbered once and settled.
+    The lines are read for matches, for the lines near those, and to count them; they are not copied for that.
     Long files that Spark does not list, and a root that is one long file, are read a chunk at a time.
     """
     root, exists, single = qualify(spark, root)
@@ -101,4 +101,4 @@ def long_parts(
     lines = read_lines(files.filter(~F.col("listed") & ~F.col("binary")), root)
     if not single:
         lines = lines.unionByName(long_lines(spark, root, config, files, least))
-    return files, settle(lines, "lines")
+    return files, lines
