@@ -267,12 +267,12 @@ def near_duplicates(
                                  F.first("sketch").alias("sketch"), F.first("bands").alias("bands")),
         "classes",
     )
-    # Buckets of two classes and more, and their members.
+    # Buckets of two classes and more, and their members; sketches are fetched for those only.
     banded = classes.select("name", F.explode("bands").alias("bucket"))
     buckets = settled(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     member_rows = buckets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    wide = classes.select("name", "sketch", F.explode("bands").alias("bucket"))
-    members = _in_blocks(wide, buckets.withColumn("weight", F.lit(0)), "bucket", member_rows, "weight")
+    members = _in_blocks(banded, buckets.withColumn("weight", F.lit(0)), "bucket", member_rows, "weight")
+    members = members.join(classes.select("name", "sketch"), "name")
     pair = "a BINARY, b BINARY"
     dealt = members.withColumn("task", F.when(F.col("blocks") > 1, F.col("task")).otherwise(F.pmod("task", F.lit(_tasks(100 * member_rows)))))
     found = dealt.groupBy("task").applyInArrow(lambda t: _candidates(t, least), pair)
