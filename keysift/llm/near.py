@@ -15,6 +15,7 @@ from keysift.llm.shared import join_groups, settled, slices
 
 BAND_ROWS, BANDS = 5, 38
 COORDINATES = BAND_ROWS * BANDS
+PART_BYTES = 4 << 20
 BLOCK_ROWS = 1_000
 BLOCK_SHINGLES = 1_000_000
 _SEEDS = np.random.default_rng(44).integers(1, 2**64, 2 * COORDINATES + 64, np.uint64) | np.uint64(1)
@@ -100,7 +101,7 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _sketch(batches, width: int):
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", PART_BYTES):
             shingles, sizes = shingle_sets(rows.column("text"), width)
             both = [mixed(_sums(mixed(shingles ^ _SEEDS[-k]), sizes) + sizes.astype(np.uint64)) for k in (1, 2)]
             names = np.stack(both, axis=1).astype(">u8").tobytes()
@@ -315,7 +316,7 @@ def near_duplicates(
 
 def _sets(batches, width: int):
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", PART_BYTES):
             shingles, sizes = shingle_sets(rows.column("text"), width)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             columns = {c: rows.column(c) for c in rows.schema.names if c != "text"}

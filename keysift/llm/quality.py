@@ -14,6 +14,7 @@ from keysift.llm.hashing import hash_strings
 from keysift.llm.shared import Carried, settled, slices
 
 BUCKETS = 1 << 15
+PART_BYTES = 4 << 20
 MOST_TRAINING_ROWS = 10_000
 _GOOD, _JUNK, _SILENT = 1, 0, 2
 
@@ -186,7 +187,7 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds:
 
 def _vote(batches):
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", PART_BYTES):
             packed = _packed(votes(features(rows.column("text"))))
             yield pa.RecordBatch.from_pydict({"pattern": pa.array(packed)})
 
@@ -202,7 +203,7 @@ def _train(batches, model: LabelModel, steps: int, rate: float):
     """Logistic regression on soft labels, one step over all rows at a time; the rows are a bounded sample."""
     columns, values, rows, targets = [], [], [], []
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PART_BYTES):
             found = features(part.column("text"))
             targets.append(model.posterior(_packed(votes(found))))
             for text in range(part.num_rows):
@@ -229,7 +230,7 @@ def _train(batches, model: LabelModel, steps: int, rate: float):
 
 def _score(batches, model: LabelModel, weights: np.ndarray, kept: tuple[str, ...]):
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", PART_BYTES):
             found = features(rows.column("text"))
             of_word = weights[found.buckets].sum(axis=1)
             total = _sum(of_word[found.codes], found.begins, found.sizes) / np.maximum(found.sizes, 1)

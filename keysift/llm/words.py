@@ -23,6 +23,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -58,8 +59,23 @@ class WordEncoder:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has; null has none."""
+        """Ids of all texts in a row, and how many each has; null has none.
+
+        A text that holds the string of a special token, which is one id wherever it stands, is encoded whole.
+        """
         texts = pc.fill_null(texts, "")
+        odd = np.zeros(len(texts), bool)
+        for token in self.special:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._encode(texts)
+        ids, sizes = self._encode(pc.if_else(pa.array(odd), "", texts))
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        for row in np.flatnonzero(odd).tolist():
+            parts[row] = np.asarray(self.tokenizer.encode(texts[row].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.array([len(part) for part in parts], np.int64)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut = pc.replace_substring_regex(
             pc.ascii_lower(texts), pattern=r"([\p{L}\p{N}])([!-/:-@\[-`{-~])", replacement=r"\1 \2"
         )
