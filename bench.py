@@ -1,7 +1,7 @@
 """Time the headline queries on BENCH_SF_DIR with BENCH_CPUS cores and print one JSON line.
 
-Each query runs once to warm up and then BENCH_RUNS times; its time is the best of those runs.  Results are
-computed in full and discarded.
+All queries run once to warm up and then BENCH_RUNS times, in another order each time; a query's time is its best.
+Results are computed in full and discarded.
 """
 
 from __future__ import annotations
@@ -42,15 +42,16 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
-    for name in HEADLINE:
-        times = []
-        for _ in range(runs + 1):
+    times: dict[str, list[float]] = {name: [] for name in HEADLINE}
+    for turn in range(runs + 1):
+        at = turn * 4 % len(HEADLINE)
+        for name in HEADLINE[at:] + HEADLINE[:at]:
             started = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - started)
-        seconds[name] = round(min(times[1:]), 3)
-        print(name, [round(t, 2) for t in times], file=sys.stderr)
+            times[name].append(time.perf_counter() - started)
+    seconds = {name: round(min(taken[1:]), 3) for name, taken in times.items()}
+    for name, taken in times.items():
+        print(name, [round(t, 2) for t in taken], file=sys.stderr)
     print(json.dumps({"metric": "headline query time", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
