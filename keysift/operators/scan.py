@@ -28,6 +28,7 @@ from keysift.rules.catalog import (
     STASH_RECOMMENDATION,
     Rule,
 )
+from keysift.sources.patches import fill_meta
 
 FILE_AUDIT_SLOT = ENTROPY_SLOT + 1  # the first of one slot per file name rule
 FILE_SLOT = ENTROPY_SLOT - 1  # not a finding: one row per file, which carries its number of lines
@@ -190,13 +191,13 @@ def scan_long(
 
 def _scan_added(
     added: DataFrame, attributes: Sequence[Rule], rules: Sequence[Rule], config: AuditConfig, *, origin: int, entropy: bool,
-    where: str, name: str | None, distinct: bool,
+    where: str, name: str | None, distinct: bool, named: Callable[[DataFrame], DataFrame] = lambda matches: matches,
 ) -> DataFrame:
     """``attributes`` are the rules as history findings show them; ``where`` comes before the commit."""
     columns = ("file", "line", "commit", "author", "date", "log_file", "log_block", "log_row", "part", "at")
     if name:
         added = added.withColumn(name, F.element_at(F.split("file", "/"), -1))
-    matches = detect(added, rules, config, entropy=entropy, name=name, keep=columns, distinct=distinct)
+    matches = named(detect(added, rules, config, entropy=entropy, name=name, keep=columns, distinct=distinct))
     matches = matches.withColumn(
         "seen",
         _order(origin, F.col("log_file"), F.col("log_block"), F.col("log_row"), F.col("part"), F.col("at")),
@@ -222,9 +223,9 @@ def _scan_added(
 
 def scan_patches(
     added: DataFrame, config: AuditConfig = AuditConfig(), *, rules: Sequence[Rule] = BUILTIN_RULES,
-    entropy: bool = True, file_filters: bool = False, distinct: bool = False,
+    entropy: bool = True, file_filters: bool = False, distinct: bool = False, carried: DataFrame | None = None,
 ) -> DataFrame:
-    """Findings of the added lines of a patch log.
+    """Findings of the added lines of a patch log; ``carried`` names the commit where a header was cut short.
 
     Built-in rules run on every line, whatever the options of the file scan switch off; pass ``rules`` and
     ``file_filters`` to have history judged by the same rules as files.
@@ -236,6 +237,7 @@ def scan_patches(
     return _scan_added(
         added, [*shown, secret], rules, config, origin=1, entropy=entropy and config.enable_entropy,
         where="Git commit ", name="_name" if file_filters else None, distinct=distinct,
+        named=lambda matches: fill_meta(matches, carried),
     )
 
 

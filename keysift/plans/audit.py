@@ -17,7 +17,7 @@ from keysift.rules.catalog import Rule
 from keysift.rules.resolve import active_rules
 from keysift.sources.files import read_files
 from keysift.sources.long_files import LONG_BYTES, long_parts
-from keysift.sources.patches import patch_lines, read_patch_log, read_stash_log, stash_lines
+from keysift.sources.patches import carried_meta, patch_lines, read_patch_log, read_stash_log, stash_lines
 
 
 @dataclass(frozen=True)
@@ -43,13 +43,14 @@ class Audit:
 
 
 def all_findings(
-    file_findings: DataFrame, patches: DataFrame | None, stashes: DataFrame | None, config: AuditConfig
+    file_findings: DataFrame, patches: DataFrame | None, stashes: DataFrame | None, config: AuditConfig,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """File findings first, then those of added patch and stash lines; the first of each key stays."""
     parts = [file_findings]
     if config.enable_history:
         if patches is not None:
-            parts.append(scan_patches(patches, config, distinct=True))
+            parts.append(scan_patches(patches, config, distinct=True, carried=carried))
         if stashes is not None:
             parts.append(scan_stashes(stashes, config, distinct=True))
     return dedup_findings(union_findings(parts))
@@ -67,6 +68,7 @@ def run_audit(
     *,
     patches: DataFrame | None = None,
     stashes: DataFrame | None = None,
+    carried: DataFrame | None = None,
     long: tuple[DataFrame, DataFrame] | None = None,
     rules: Sequence[Rule] | None = None,
     scanned: str = "",
@@ -82,7 +84,7 @@ def run_audit(
         scan = scan.unionByName(scan_long(*long, rules, config, distinct=True, keep=hits))
     scan = settle(scan, "scan", scanned_tables)
     found = scan.filter(F.col("rule_id").isNotNull()).drop("n_lines")
-    findings = settle(all_findings(found, patches, stashes, config), "findings", tables)
+    findings = settle(all_findings(found, patches, stashes, config, carried), "findings", tables)
     counts = scan_counts(scan.filter(F.col("rule_id").isNull()))
     stats = settle(stats_row(counts, finding_stats(findings), time.perf_counter() - started), "stats", tables)
     forget(files.sparkSession, scanned_tables)
@@ -99,11 +101,13 @@ def audit_tree(
     long_bytes: int = LONG_BYTES,
 ) -> Audit:
     """Audit a tree of files together with its exported history; long files are scanned in splits."""
+    records = read_patch_log(spark, patch_log) if patch_log else None
     return run_audit(
         read_files(spark, root, config, longest=long_bytes),
         config,
         long=long_parts(spark, root, config, long_bytes),
-        patches=patch_lines(read_patch_log(spark, patch_log)) if patch_log else None,
+        patches=None if records is None else patch_lines(records),
+        carried=None if records is None else carried_meta(records),
         stashes=stash_lines(read_stash_log(spark, stash_log)) if stash_log else None,
         scanned=root,
     )

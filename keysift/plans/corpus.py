@@ -151,7 +151,8 @@ CORPUS_SQL = f"""
 _AUTHORS = ("Ann", "Lee|Ops", "Mo", "Zoe")
 RECORD_SQL = f"""
     SELECT doc_id, source AS repo,
-           md5('commit' || doc_id) || '|' || {_case('doc_id % 4', _AUTHORS)} || '|day ' || doc_id || chr(10) || chr(10)
+           CASE WHEN doc_id % 16 = 5 THEN 'cut|' || doc_id
+                ELSE md5('commit' || doc_id) || '|' || {_case('doc_id % 4', _AUTHORS)} || '|day ' || doc_id END || chr(10) || chr(10)
            || 'diff --git a/' || path || ' b/' || path || chr(10) || '--- a/' || path || chr(10) || '+++ b/' || path
            || chr(10) || '@@ -0,0 +1 @@' || chr(10) || ' kept' || chr(10) || '-' || planted || chr(10) || '+'
            || replace(text, chr(10), chr(10) || '+') || chr(10)

@@ -283,7 +283,12 @@ _HEAD = "regexp_extract(record, '^([^\\n]*)', 1)"
 _PARTS = f"string_split({_HEAD}, '|')"
 META = (
     "meta",
-    f"SELECT doc_id, repo, substr({_PARTS}[1], 1, 8) AS commit, {_PARTS}[2] AS author, {_PARTS}[3] AS date FROM records",
+    "SELECT doc_id, repo, coalesce(last_value(commit IGNORE NULLS) OVER w, 'HEAD') AS commit, "
+    "coalesce(last_value(author IGNORE NULLS) OVER w, 'Unknown') AS author, "
+    "coalesce(last_value(date IGNORE NULLS) OVER w, 'Unknown') AS date FROM ("
+    f"SELECT doc_id, repo, CASE WHEN len({_PARTS}) >= 3 THEN substr({_PARTS}[1], 1, 8) END AS commit, "
+    f"CASE WHEN len({_PARTS}) >= 3 THEN {_PARTS}[2] END AS author, CASE WHEN len({_PARTS}) >= 3 THEN {_PARTS}[3] END AS date FROM records) "
+    "WINDOW w AS (PARTITION BY repo ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
 )
 STASH_META = (
     "meta",

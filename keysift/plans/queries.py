@@ -43,7 +43,7 @@ from keysift.rules.catalog import BUILTIN_RULES, ENTROPY_ID, FILE_AUDIT_ID, KEYW
 from keysift.rules.resolve import active_rules, custom_rule, enabled, rules_table
 from keysift.sinks import reports
 from keysift.sources.files import in_open_dirs, is_included, is_kept, is_target, list_files, path_suffix, rel_path
-from keysift.sources.patches import commit_meta, file_segments, patch_lines, stash_lines
+from keysift.sources.patches import PLACE, carried_meta, commit_meta, file_segments, fill_meta, patch_lines, stash_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,6 +95,10 @@ def _added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patch_lines(inputs.patch_records(spark, sf_dir))
 
 
+def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carried_meta(inputs.patch_records(spark, sf_dir))
+
+
 def _stashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stash_lines(inputs.stash_records(spark, sf_dir))
 
@@ -105,7 +109,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_findings(
         [
             scan_files(targets, BUILTIN_RULES, CONFIG, distinct=True),
-            scan_patches(_added(spark, sf_dir), CONFIG, distinct=True),
+            scan_patches(_added(spark, sf_dir), CONFIG, distinct=True, carried=_carried(spark, sf_dir)),
             scan_stashes(_stashed(spark, sf_dir), CONFIG, distinct=True),
         ]
     )
@@ -115,7 +119,8 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated findings of files that pass the path rules, of patches and of stashes."""
     targets = _corpus(spark, sf_dir).filter(is_target(F.col("path"), CONFIG))
     return all_findings(
-        scan_files(targets, BUILTIN_RULES, CONFIG, distinct=True), _added(spark, sf_dir), _stashed(spark, sf_dir), CONFIG
+        scan_files(targets, BUILTIN_RULES, CONFIG, distinct=True), _added(spark, sf_dir), _stashed(spark, sf_dir), CONFIG,
+        _carried(spark, sf_dir),
     )
 
 
@@ -192,12 +197,13 @@ def split_lines_(spark, sf_dir):
 
 @query
 def src_patch_log(spark, sf_dir):
-    return _added(spark, sf_dir).select("repo", "log_row", "commit", "author", "date", "file", "part", F.col("at").alias("place"), "line")
+    return fill_meta(_added(spark, sf_dir), _carried(spark, sf_dir)).select("repo", "log_row", "commit", "author", "date", "file", "part", F.col("at").alias("place"), "line")
 
 
 @query
 def patch_commit_meta(spark, sf_dir):
-    return commit_meta(inputs.patch_records(spark, sf_dir)).select("repo", "log_row", "commit", "author", "date")
+    heads = commit_meta(inputs.patch_records(spark, sf_dir)).select("repo", *PLACE, "commit", "author", "date")
+    return fill_meta(heads, _carried(spark, sf_dir)).select("repo", "log_row", "commit", "author", "date")
 
 
 @query
@@ -423,12 +429,12 @@ def html_escape_(spark, sf_dir):
 # ---- History -----------------------------------------------------------------------------------------------
 @query
 def patch_rule_scan(spark, sf_dir):
-    return _slim(scan_patches(_added(spark, sf_dir), CONFIG, entropy=False))
+    return _slim(scan_patches(_added(spark, sf_dir), CONFIG, entropy=False, carried=_carried(spark, sf_dir)))
 
 
 @query
 def patch_entropy_scan(spark, sf_dir):
-    return _slim(scan_patches(_added(spark, sf_dir), CONFIG, rules=[]))
+    return _slim(scan_patches(_added(spark, sf_dir), CONFIG, rules=[], carried=_carried(spark, sf_dir)))
 
 
 @query
@@ -438,7 +444,7 @@ def stash_rule_scan(spark, sf_dir):
 
 @query
 def first_commit_per_secret(spark, sf_dir):
-    return _slim(dedup_findings(scan_patches(_added(spark, sf_dir), CONFIG, entropy=False))).select(
+    return _slim(dedup_findings(scan_patches(_added(spark, sf_dir), CONFIG, entropy=False, carried=_carried(spark, sf_dir)))).select(
         "file_path", "finding_type", "matched_string", "commit_hash", "author", "date"
     )
 
@@ -477,7 +483,8 @@ def join_context_(spark, sf_dir):
 def union_findings_(spark, sf_dir):
     return _slim(
         union_findings(
-            [_file_findings(spark, sf_dir), scan_patches(_added(spark, sf_dir), CONFIG), scan_stashes(_stashed(spark, sf_dir), CONFIG)]
+            [_file_findings(spark, sf_dir), scan_patches(_added(spark, sf_dir), CONFIG, carried=_carried(spark, sf_dir)),
+             scan_stashes(_stashed(spark, sf_dir), CONFIG)]
         )
     )
 

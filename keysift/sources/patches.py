@@ -7,7 +7,7 @@ follows a line end with ``COMMIT:``.  Stashes are exported the same way, each un
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Line ends of Python's str.splitlines, other than the newline.
 _OTHER_ENDS = r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -16,6 +16,7 @@ _BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *
 _LOG_HEADER = r'(?=--- "?a/|\+\+\+ "?b/)'
 _STASH_HEADER = r'(?=\+\+\+ "?b/)'
 COMMIT_CHARS = 8
+PLACE = ("log_file", "log_block", "log_row")  # of a record
 
 
 def _read_records(spark: SparkSession, path: str, mark: str) -> DataFrame:
@@ -51,18 +52,43 @@ def _first_line(text: Column) -> Column:
 
 
 def commit_meta(records: DataFrame) -> DataFrame:
-    """Add ``commit``, ``author`` and ``date`` from the header.  A header of fewer than three parts names none."""
+    """Add ``commit``, ``author`` and ``date`` from the header; null where it has fewer than three parts."""
     parts = F.split(_first_line(F.col("record")), r"\|")
     whole = F.size(parts) >= 3
     return records.withColumns(
         {
-            "commit": F.when(whole, F.substring(F.get(parts, F.lit(0)), 1, COMMIT_CHARS)).otherwise("HEAD"),
-            "author": F.when(whole, F.get(parts, F.lit(1))).otherwise("Unknown"),
-            "date": F.when(whole, F.get(parts, F.lit(2))).otherwise("Unknown"),
+            "commit": F.when(whole, F.substring(F.get(parts, F.lit(0)), 1, COMMIT_CHARS)),
+            "author": F.when(whole, F.get(parts, F.lit(1))),
+            "date": F.when(whole, F.get(parts, F.lit(2))),
         }
     )
 
 
+def carried_meta(records: DataFrame) -> DataFrame:
+    """``carried(commit, author, date)`` of the last whole header before each record whose own is cut short.
+
+    Headers only are put in order, not the records.
+    """
+    heads = commit_meta(records).select(*PLACE, "commit", "author", "date")
+    whole = F.when(F.col("commit").isNotNull(), F.struct("commit", "author", "date"))
+    before = F.last(whole, ignorenulls=True).over(Window.partitionBy("log_file").orderBy("log_block", "log_row"))
+    return heads.withColumn("carried", before).filter(F.col("commit").isNull()).select(*PLACE, "carried")
+
+
+def fill_meta(rows: DataFrame, carried: DataFrame | None) -> DataFrame:
+    """``rows`` of records with the commit named by the header before, where their own names none.
+
+    At the start of a log, or without ``carried``, that is ``HEAD`` by nobody known.
+    """
+    if carried is None:
+        rows = rows.withColumn("carried", F.lit(None).cast("struct<commit: string, author: string, date: string>"))
+    else:
+        rows = rows.join(carried, list(PLACE), "left")
+    none = {"commit": "HEAD", "author": "Unknown", "date": "Unknown"}
+    named = {c: F.coalesce(F.col(c), F.col(f"carried.{c}"), F.lit(other)) for c, other in none.items()}
+    return rows.withColumns(named).drop("carried")
+
+
 def stash_meta(records: DataFrame) -> DataFrame:
     """Add the stash id as ``commit``: what stands before the first colon of the list line."""
     head = _first_line(F.col("record"))
@@ -103,6 +129,7 @@ def added_lines(segments: DataFrame) -> DataFrame:
 
 
 def patch_lines(records: DataFrame) -> DataFrame:
+    """Added lines; the commit is null below a header that is cut short, see ``fill_meta``."""
     return added_lines(file_segments(commit_meta(records)))
 
 

@@ -9,7 +9,7 @@ from keysift.config import AuditConfig
 from keysift.operators.scan import scan_counts, scan_files, scan_patches, scan_stashes
 from keysift.rules.catalog import BUILTIN_RULES
 from keysift.sources.files import listed_files, path_suffix, read_files, rel_path
-from keysift.sources.patches import commit_meta, file_segments, patch_lines, read_patch_log, read_stash_log, stash_lines
+from keysift.sources.patches import carried_meta, commit_meta, file_segments, fill_meta, patch_lines, read_patch_log, read_stash_log, stash_lines
 
 DIGITS = "0123456789abcdef" * 8
 GOOGLE = "AIza" + DIGITS[:35]
@@ -119,10 +119,14 @@ def test_patch_log_in_many_splits(spark, tmp_path):
 
 
 def test_header_of_too_few_parts(spark):
-    records = spark.createDataFrame([("f", 0, 0, "abcdef|x\n+++ b/a\n+y")], "log_file STRING, log_block BIGINT, log_row BIGINT, record STRING")
-    row = commit_meta(records).first()
-    assert (row["commit"], row["author"], row["date"]) == ("HEAD", "Unknown", "Unknown")
-    assert [r["file"] for r in file_segments(records).orderBy("part").collect()] == ["Unknown", "a"]
+    """The values of the header before stay, in the log's order; at its start there are none."""
+    texts = ["abcdef|x\n+++ b/a\n+y", "1234567890|Ann|today\n+++ b/b\n+y", "cut\n+++ b/c\n+y", "", "99|Mo|now|more\n", "x|y"]
+    rows = [(f, 0, n, text) for f in ("f", "g") for n, text in enumerate(texts)] + [("g", 9, 100, "z")]
+    records = spark.createDataFrame(rows, "log_file STRING, log_block BIGINT, log_row BIGINT, record STRING").repartition(3)
+    named = fill_meta(commit_meta(records), carried_meta(records)).orderBy("log_file", "log_block", "log_row").collect()
+    one = [("HEAD", "Unknown", "Unknown"), *[("12345678", "Ann", "today")] * 3, *[("99", "Mo", "now")] * 2]
+    assert [(r["commit"], r["author"], r["date"]) for r in named] == [*one, *one, ("99", "Mo", "now")]
+    assert [r["file"] for r in file_segments(records.filter("log_file = 'f' AND log_row = 0")).orderBy("part").collect()] == ["Unknown", "a"]
 
 
 def test_history_findings(spark, tmp_path):
