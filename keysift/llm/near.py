@@ -220,7 +220,7 @@ def _in_blocks(rows: DataFrame, groups: DataFrame, group: str, total: int, weigh
     and each pair of its blocks is work of its own, so a task holds two blocks at most.
     """
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col(weight) / BLOCK_SHINGLES)).cast("int")
-    rows = join_groups(rows, groups.withColumn("blocks", blocks).select(group, "size", "blocks"), [group], "size", total)
+    rows = join_groups(rows, groups.withColumn("blocks", blocks).select(group, "size", "blocks"), [group], "size", total, merge=True)
     own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
                         lambda i: F.struct(F.least(own, i).alias("x"), F.greatest(own, i).alias("y")))

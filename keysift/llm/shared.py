@@ -27,16 +27,19 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+def join_groups(
+    rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", merge: bool = False
+) -> DataFrame:
     """Join ``rows`` with ``groups``, one row for each key, whatever share of the rows one key holds.
 
     ``size`` names the column of ``groups`` that counts a key's rows, ``total`` is the number of rows.  At most
     ``HOT_SHARE`` keys can hold ``total / HOT_SHARE`` rows or more, so those are broadcast; any other key is too
-    small to hold up a task and is shuffled, at any size.  ``how`` is ``inner`` or ``left``.
+    small to hold up a task and is shuffled, at any size with ``merge``.  ``how`` is ``inner`` or ``left``.
     """
     bound = total / HOT_SHARE
     hot = groups.filter(F.col(size) >= bound)
-    rest = groups.filter(F.col(size) < bound).hint("merge")
+    rest = groups.filter(F.col(size) < bound)
+    rest = rest.hint("merge") if merge else rest
     fits = F.broadcast(hot.select(*keys))
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(fits, keys, "left_anti").join(rest, keys, how))
 
