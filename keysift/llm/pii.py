@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 10
-FIRST_DAY, DAYS = "1900-01-01", (250, 292)  # the days up to 2099-11-13
+FIRST_DAY, DAYS = "1900-01-01", (250, 292)  # the days up to 2099-11-12
+LATE_DAYS = (2344, 1231)  # a format of their own: the days after those, up to 9999-12-31
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _START, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 
 # No repeated group is unbounded, as Java matches those by recursion.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@[A-Za-z0-9][A-Za-z0-9.\-]{0,250}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "phone": _START + r"(?:\+1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}" + _END,
-    "card": _START + r"(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7})" + _END,
+    # Three numbers with dots only, without +1, are a phone number only from 2 on.
+    "phone": _START + r"(?:\+1[ .\-]?[0-9]{3}[ .\-]|(?:\+1[ .\-]?)?\([0-9]{3}\) ?|[0-9]{3}[ \-]|[2-9][0-9]{2}\.)[0-9]{3}[ .\-][0-9]{4}" + _END,
+    "card": _START + r"(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}"
+    r"|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})" + _END,
     "ip": r"(?<![0-9A-Za-z.])" + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + r"(?![0-9A-Za-z]|\.[0-9])",
     "iso_date": r"(?<![0-9A-Za-z\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z]|-[0-9])",
     "dot_date": r"(?<![0-9A-Za-z.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9A-Za-z]|\.[0-9])",
@@ -66,7 +69,12 @@ def _kind(value: Column) -> Column:
 def _day(value: Column, pattern: str) -> Column:
     """Days from ``FIRST_DAY``; null when there is no such day or it lies outside the range."""
     day = F.datediff(F.try_to_timestamp(value, F.lit(pattern)).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
-    return F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), day)
+    return F.when((day >= 0) & (day < DAYS[0] * DAYS[1] + LATE_DAYS[0] * LATE_DAYS[1]), day)
+
+
+def _least(digit: Column, i: Column) -> Column:
+    """The smallest digit of the format at a place of a phone number: area code and exchange keep to 0 and 1, or to 2 to 9."""
+    return F.when(((i == 0) | (i == 3)) & (digit >= 2), 2).otherwise(0).cast("long")
 
 
 def _local(value: Column) -> Column:
@@ -78,6 +86,8 @@ def _parsed(value: Column) -> Column:
     kind, digits = _kind(value), _digits(value)
     octets = F.transform(F.split(value, r"\."), lambda o: o.cast("long"))
     day = F.when(kind == "iso_date", _day(value, "yyyy-MM-dd")).otherwise(_day(value, "dd.MM.yyyy"))
+    late = day >= DAYS[0] * DAYS[1]
+    from_, low = F.when(late, day - DAYS[0] * DAYS[1]).otherwise(day), F.when(late, LATE_DAYS[1]).otherwise(DAYS[1])
     number = F.slice(digits, F.size(digits) - 9, 10)
     local = _local(value)
     letters = F.transform(
@@ -94,17 +104,17 @@ def _parsed(value: Column) -> Column:
         F.when(kind == "email", letters)
         .when(kind == "ip", octets)
         .when((kind == "card") & (_luhn(digits) % 10 == 0), F.slice(digits, F.lit(1), F.size(digits) - 1))
-        .when(kind == "phone", F.transform(number, lambda d, i: d - F.when((i == 0) | (i == 3), 2).otherwise(0)))
+        .when(kind == "phone", F.transform(number, lambda d, i: d - _least(d, i)))
         .when(kind.isin("iso_date", "dot_date") & day.isNotNull(),
-              F.array(F.floor(day / DAYS[1]).cast("long"), (day % DAYS[1]).cast("long")))
+              F.array(F.floor(from_ / low).cast("long"), (from_ % low).cast("long")))
         .when((kind == "ssn") & social, F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1))
     )
     radices = (
         F.when(kind == "email", alphabet)
         .when(kind == "ip", _longs([256] * 4))
         .when(kind == "card", F.transform(F.slice(digits, F.lit(1), F.size(digits) - 1), lambda _: F.lit(10).cast("long")))
-        .when(kind == "phone", _longs([8, 10, 10, 8] + [10] * 6))
-        .when(kind.isin("iso_date", "dot_date"), _longs(DAYS))
+        .when(kind == "phone", F.transform(number, lambda d, i: F.when((i != 0) & (i != 3), 10).when(d >= 2, 8).otherwise(2).cast("long")))
+        .when(kind.isin("iso_date", "dot_date"), F.when(late, _longs(LATE_DAYS)).otherwise(_longs(DAYS)))
         .when(kind == "ssn", _longs([898, 99, 9999]))
     )
     # Dates are one kind of value, however they are written.
@@ -149,12 +159,14 @@ def _refilled(value: Column, digits: Column) -> Column:
     return F.aggregate(F.split(value, ""), start, step, lambda state: state["text"])
 
 
-def _written(value: Column, kind: Column, symbols: Column) -> Column:
+def _written(value: Column, kind: Column, symbols: Column, radices: Column) -> Column:
     """The permuted symbols in the format of the value."""
     digits = F.array_join(F.transform(symbols, lambda s: s.cast("string")), "")
     check = (10 - _luhn(F.concat(symbols, _longs([0]))) % 10) % 10
-    number = F.transform(symbols, lambda s, i: s + F.when((i == 0) | (i == 3), 2).otherwise(0))
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.get(symbols, F.lit(0)) * DAYS[1] + F.get(symbols, F.lit(1))).cast("int"))
+    number = F.zip_with(symbols, radices, lambda s, radix: s + F.when(radix == 8, 2).otherwise(0))
+    low = F.get(radices, F.lit(1))
+    begin = F.when(low == LATE_DAYS[1], DAYS[0] * DAYS[1]).otherwise(0)
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (begin + F.get(symbols, F.lit(0)) * low + F.get(symbols, F.lit(1))).cast("int"))
     area = F.get(symbols, F.lit(0)) + 1
 
     def padded(number: Column, width: int) -> Column:
@@ -187,7 +199,7 @@ def pseudonyms(text: Column, key: str) -> Column:
     moved = F.transform(
         parsed,
         lambda p: F.struct(
-            p["value"].alias("value"), p["kind"].alias("kind"),
+            p["value"].alias("value"), p["kind"].alias("kind"), p["radices"].alias("radices"),
             F.when(p["symbols"].isNotNull(), _permuted(p["symbols"], p["radices"], p["tweak"], secret)).alias("symbols"),
         ),
     )
@@ -195,7 +207,7 @@ def pseudonyms(text: Column, key: str) -> Column:
         moved,
         lambda m: F.struct(
             m["value"].alias("value"), m["kind"].alias("kind"),
-            F.when(m["symbols"].isNotNull(), _written(m["value"], m["kind"], m["symbols"])).alias("pseudonym"),
+            F.when(m["symbols"].isNotNull(), _written(m["value"], m["kind"], m["symbols"], m["radices"])).alias("pseudonym"),
         ),
     )
 
@@ -203,8 +215,9 @@ def pseudonyms(text: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with each validated value in the text replaced by its pseudonym, and ``found`` with the replacements.
 
-    Card numbers pass the Luhn test before and after; phone numbers, addresses, social security numbers and dates
-    stay valid ones; a mail name keeps its letters, digits and marks in place, and its domain.  Equal values have
+    Card numbers pass the Luhn test before and after; addresses, social security numbers and dates stay valid ones,
+    from 1900 on; phone numbers are known by their shape, whatever the digits, and an area code or exchange that
+    starts with 0 or 1 gets one that does, as do those from 2 on; a mail name keeps its letters, digits and marks in place, and its domain.  Equal values have
     equal pseudonyms in all documents, also where a number is written with other separators, and different values
     of one format have different ones.  Values that fail their validation, and everything else, stay as they are.
 

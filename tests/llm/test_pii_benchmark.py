@@ -88,6 +88,45 @@ def test_left_alone(spark):
     assert [found[i]["text"] for i in range(len(texts))] == texts and all(not r["found"] for r in found.values())
 
 
+def test_shapes(spark):
+    """Any leading digit, cards of 4-6-5 digits, and days from 2099-11-13 on."""
+    key, phones = "k", ["0175557713", "1321551352", "9880552485", "1880552485"]
+
+    def plain(digits):
+        base = [(2, 0) if d < "2" else (8, 2) for d in (digits[0], digits[3])]
+        radices, least = [10] * 10, [0] * 10
+        for i, (radix, low) in zip((0, 3), base):
+            radices[i], least[i] = radix, low
+        moved = feistel([int(d) - low for d, low in zip(digits, least)], radices, "phone", key)
+        return "".join(str(d + low) for d, low in zip(moved, least))
+
+    pairs = []
+    for old in phones:
+        for shape in ("+1 ({}) {}-{}", "({}) {}.{}", "+1.{}.{}.{}", "{}-{}-{}", "{} {} {}"):
+            pairs.append(tuple(shape.format(d[:3], d[3:6], d[6:]) for d in (old, plain(old))))
+    card = plain_card("378282246310005", key)
+    pairs += [(f"3782{c}822463{c}10005", f"{card[:4]}{c}{card[4:10]}{c}{card[10:]}") for c in " -"]
+    first, radices = date(2099, 11, 13), [2344, 1231]
+    assert (date.max - first).days + 1 == radices[0] * radices[1]
+    for old in (first, date(2150, 3, 1), date.max):
+        high, low = feistel(list(divmod((old - first).days, radices[1])), radices, "date", key)
+        new = first + timedelta(days=high * radices[1] + low)
+        pairs += [(old.isoformat(), new.isoformat()), (f"{old:%d.%m.%Y}", f"{new:%d.%m.%Y}")]
+    found = masked(spark, [f"{old}, and ({old}) and {old}." for old, _ in pairs], key)
+    for i, (_, new) in enumerate(pairs):
+        assert found[i]["text"] == f"{new}, and ({new}) and {new}." and len(found[i]["found"]) == 3
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_no_phone_of_documents_stays(spark, scale):
+    shape = re.compile(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9A-Za-z])")
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet").filter("text LIKE '%+1 (%'")
+    old, new = ({r["doc_id"]: shape.findall(r["text"]) for r in rows.collect()} for rows in (docs, pseudonymise(docs, "corpus-2024")))
+    pairs = [pair for key in old for pair in zip(old[key], new[key], strict=True)]
+    assert len(pairs) > 5 and all(a != b for a, b in pairs)
+    assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(set(pairs))
+
+
 def test_permutation(spark):
     """All values of a small format are taken once each."""
     texts = [f"{a}@x.org" for a in ["%02d" % i for i in range(100)]]
