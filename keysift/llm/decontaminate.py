@@ -199,7 +199,7 @@ def decontaminate(
     carried = Carried(docs, (*added, text_col))
     items = benchmark.select(
         F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text")
-    ).filter(F.octet_length("text") > 0)
+    ).filter(F.octet_length("text") > 0).distinct()  # equal rows would stay in one block, however many there are
     numbered, blocks = _blocks(items)
     text = F.col(text_col)
     rows = docs.select(carried.column, text.alias("text"))  # the text travels once

@@ -214,6 +214,24 @@ def test_decontaminate(spark, monkeypatch, block_bytes, shard_bytes):
             assert {r["doc_id"]: r["text"] for r in rows} == {k: v[4] for k, v in want.items()}
 
 
+def test_repeated_items(spark, monkeypatch):
+    """Repeated rows of an item, more than a block holds, are searched once."""
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", 30)
+    bench = spark.createDataFrame([(7, "some words of an item")] * 20 + [(8, "and others")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "here are some words of an item, and others")], "doc_id long, text string")
+    counts, blocks = [], leaks._blocks
+
+    def checked(items):
+        rows = items.collect()
+        assert len(rows) == len(set(rows)) == 2
+        counts.append(len(rows))
+        return blocks(items)
+
+    monkeypatch.setattr(leaks, "_blocks", checked)
+    row = leaks.decontaminate(docs, bench, width=3).first()
+    assert counts == [2] and (row["n_hit"], row["items"]) == (7, ["7", "8"])
+
+
 def test_decontaminate_edges(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "A, B")], "item_id long, text string")
