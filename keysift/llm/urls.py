@@ -58,22 +58,43 @@ def canonical_url(url: Column) -> Column:
     return F.when(url_host(url) == "", "").otherwise(whole)
 
 
-def _absolute(target: Column, host: Column) -> Column:
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` taken out."""
+    def step(done: Column, part: Column) -> Column:
+        shorter = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == ".", done).when(part == "..", shorter).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.lit("/"))).otherwise(kept)
+
+
+def _absolute(target: Column, url: Column) -> Column:
+    """A link of the page at ``url`` as a whole url; null for one that leads to no host, as ``mailto:``."""
+    rest = F.regexp_extract(target, r"[?#].*$", 0)
+    own = F.regexp_extract(target, r"^[^?#]*", 0)
+    page, query = url_path(url), F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
+    page = F.when(page == "", "/").otherwise(page)
+    path = F.when(own == "", page).when(own.startswith("/"), own).otherwise(F.concat(F.regexp_replace(page, "[^/]*$", ""), own))
+    rest = F.when(target.startswith("#"), F.concat(query, rest)).otherwise(rest)
     return (
-        F.when(F.contains(target, F.lit("://")), target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(F.lit("http://"), host, target))
+        .when(url_host(url) != "", F.concat(F.lit("http://"), url_host(url), _without_dots(path), rest))
     )
 
 
+_CANONICAL = r"""(?is)\brel\s*=\s*(?:"(?:[^">]*\s)?canonical\b|'(?:[^'>]*\s)?canonical\b|canonical\b)"""
+
+
 def page_links(url: Column, html: Column) -> Column:
-    """Urls that a page names as its canonical form or refreshes to."""
-    host = url_host(url)
-    tag = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    named = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    moved = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    return F.array_compact(F.array(_absolute(named, host), _absolute(moved, host)))
+    """Urls that a page names as its canonical form or refreshes to, of all its tags."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(_CANONICAL))
+    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
+    named = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    moved = F.transform(metas, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    targets = F.transform(F.concat(named, moved), lambda t: F.regexp_replace(t, "(?i)&amp;", "&"))
+    return F.array_compact(F.transform(F.coalesce(targets, F.array().cast("array<string>")), lambda t: _absolute(t, url)))
 
 
 def rule_index(host: Column, path: Column, rules: list[UrlRule]) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from keysift.llm import shared
 from keysift.llm.graph import connected_components
-from keysift.llm.urls import UrlRule, filter_urls
+from keysift.llm.urls import UrlRule, filter_urls, page_links
 
 RULES = [UrlRule("allow", "com"), UrlRule("block", "bad.com", "/x/"), UrlRule("block", "net", "/es/"), UrlRule("allow", "ok.net", "/es/")]
 PAGES = "page_id long, url string, html string, node int"
@@ -96,3 +98,22 @@ def test_decisions_reach_aliases(spark):
 
 def test_empty_pages(spark):
     assert filter_urls(spark.createDataFrame([], PAGES), RULES).count() == 0
+
+
+def test_page_links(spark):
+    """Relative targets, entities, several values of rel, and all tags of a page."""
+    base = "http://a.org/x/y?q=1#f"
+    cases = [
+        ("page2.html", "http://a.org/x/page2.html"), ("../a", "http://a.org/a"), ("../../../a/./b/..", "http://a.org/a/"),
+        ("?x=1&amp;y=2", "http://a.org/x/y?x=1&y=2"), ("#g", "http://a.org/x/y?q=1#g"), ("/go?to=http://b.net", "http://a.org/go?to=http://b.net"),
+        ("//c.net/z", "http://c.net/z"), ("https://d.org/?a&amp;b", "https://d.org/?a&b"), ("mailto:me@x.org", None),
+    ]
+    rows = [(i, base, f'<link rel="nofollow canonical" href="{target}">') for i, (target, _) in enumerate(cases)]
+    rows.append((100, base, """<link rel=icon href=i><LINK href='1' rel='canonical'><link rel=canonical href=2>
+        <meta http-equiv=refresh content="5"><meta http-equiv="refresh" content="0; url=3"><meta http-equiv=refresh content="0;url='/4'">"""))
+    rows += [(101, "http://a.org", "<link rel=canonical href=b>"), (102, None, "<link rel=canonical href=b>"), (103, base, None)]
+    pages = spark.createDataFrame(rows, "id int, url string, html string")
+    found = {r["id"]: r["links"] for r in pages.select("id", page_links(F.col("url"), F.col("html")).alias("links")).collect()}
+    assert [found[i] for i in range(len(cases))] == [[want] if want else [] for _, want in cases]
+    assert found[100] == [f"http://a.org/x/{i}" for i in (1, 2, 3)] + ["http://a.org/4"]
+    assert (found[101], found[102], found[103]) == (["http://a.org/b"], [], [])
