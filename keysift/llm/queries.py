@@ -11,6 +11,7 @@ from keysift.llm.exact import exact_dedup
 from keysift.llm.lines import line_dedup
 from keysift.llm.near import near_duplicates
 from keysift.llm.packing import pack
+from keysift.llm.periodic import periodic_runs
 from keysift.llm.pii import FORMATS, pseudonymise
 from keysift.llm.quality import classify_quality
 from keysift.llm.shared import table
@@ -273,6 +274,39 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeating_tail(doc_id: Column, text: Column) -> Column:
+    """The text of a document for ``op13``: that of one in ten repeats itself from some word on."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words, g = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.floor(h / 10)
+    n = F.size(words)
+    a = (g % n).cast("int")
+    period = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    rounds = F.ceil((n - a) / period).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, period), rounds)), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each document repeats itself: its runs, the one of most periods, and what is left without repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeating_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs(docs)
+
+    def better(best: Column, run: Column) -> Column:
+        # Runs come by start, then period, so the first of equal ones stays.
+        whole = "decimal(38,0)"
+        more = run["length"].cast(whole) * best["period"] > best["length"].cast(whole) * run["period"]
+        return F.when(best.isNull() | more, run).otherwise(best)
+
+    none = F.lit(None).cast(found.schema["runs"].dataType.elementType)
+    found = found.withColumn("best", F.aggregate("runs", none, better))
+    listed = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
@@ -284,6 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
