@@ -13,6 +13,7 @@ from keysift.llm.near import near_duplicates
 from keysift.llm.packing import pack
 from keysift.llm.periodic import periodic_runs
 from keysift.llm.pii import FORMATS, pseudonymise
+from keysift.llm.prefix_trie import SEGMENT_TURNS, SHARD_TURNS, prefix_trie, rebuilt_turns
 from keysift.llm.quality import classify_quality
 from keysift.llm.shared import table
 from keysift.llm.suffix_dedup import remove_repeats
@@ -274,6 +275,70 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(
+    spark: SparkSession, sf_dir: str, segment_turns: int = SEGMENT_TURNS, shard_turns: int = SHARD_TURNS
+) -> DataFrame:
+    """Nodes of the trie of conversations that start as the first of their five does.
+
+    Rows without a conversation are left out; turns with one number come in order of a digest of role and text.
+    """
+    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
+    code = F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text))
+    turns = table(spark, sf_dir, "conversations").filter(F.col("conv_id").isNotNull()).select(
+        F.col("conv_id").cast("bigint").alias("conv"), "turn", code.alias("code"), F.octet_length(text).alias("size")
+    )
+    conv = F.col("conv")
+    head = (F.crc32(conv.cast("string").cast("binary")) % 9).cast("int")
+    rebuilt, convs = rebuilt_turns(turns, conv - conv % 5, head, 8)
+    return prefix_trie(rebuilt, convs, segment_turns, shard_turns).withColumnRenamed("saved", "saved_tokens")
+
+
+OP11_SQL = """
+WITH own AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code,
+         octet_length(encode(coalesce(text, ''))) AS size, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT conv_id, code, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, code) - 1 AS pos FROM own
+), bytes AS (
+  SELECT c, i, ascii(substr(CAST(c AS VARCHAR), i, 1)) AS byte
+  FROM (SELECT c, unnest(range(1, length(CAST(c AS VARCHAR)) + 1)) AS i FROM (SELECT DISTINCT conv_id AS c FROM own))
+), steps AS (
+  -- One entry of the table of the checksum for each byte.
+  SELECT b AS byte, list_reduce([CAST(b AS BIGINT), 1, 2, 3, 4, 5, 6, 7, 8],
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS entry FROM range(256) r(b)
+), tables AS (SELECT list(entry ORDER BY byte) AS entries FROM steps), sums AS (
+  SELECT c, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list(CAST(byte AS BIGINT) ORDER BY i)),
+    lambda x, y: xor(x >> 8, (SELECT entries FROM tables)[xor(x & 255, y) + 1]))) AS crc FROM bytes GROUP BY c
+), heads AS (SELECT c AS conv_id, c - c % 5 AS base, crc % 9 AS h FROM sums), moved AS (
+  SELECT h.*, least(h.h, (SELECT count(*) FROM turns t WHERE t.conv_id = h.base)) AS led FROM heads h
+), rebuilt AS (
+  SELECT m.conv_id, t.pos + 1 AS depth, t.code, t.size FROM moved m JOIN turns t ON t.conv_id = m.base AND t.pos < m.h
+  UNION ALL
+  SELECT m.conv_id, t.pos - m.h + m.led + 1, t.code, t.size FROM moved m JOIN turns t ON t.conv_id = m.conv_id AND t.pos >= m.h
+), paths AS (
+  SELECT conv_id, depth, size, md5(string_agg(code, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS path FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM heads
+), chained AS (
+  SELECT *, lag(path) OVER own AS above, depth = max(depth) OVER (PARTITION BY conv_id) AS final FROM paths
+  WINDOW own AS (PARTITION BY conv_id ORDER BY depth)
+), nodes AS (
+  SELECT depth, path, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE final), '') AS ends
+  FROM chained GROUP BY depth, path
+), hung AS (SELECT depth - 1 AS depth, above AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL), whole AS (
+  SELECT n.*, coalesce(h.n, 0) AS n_children FROM nodes n LEFT JOIN hung h USING (depth, path)
+), below AS (
+  -- Each node counts for the nodes on the path of its smallest conversation.
+  SELECT p.depth, p.path, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((w.n_convs - 1) * w.size) AS saved
+  FROM whole w JOIN paths p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY ALL
+)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children,
+       CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN below b USING (depth, path) LEFT JOIN nodes u ON u.depth = w.depth - 1 AND u.path = w.above
+"""
+
+
 def repeating_tail(doc_id: Column, text: Column) -> Column:
     """The text of a document for ``op13``: that of one in ten repeats itself from some word on."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -318,6 +383,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -327,4 +393,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
