@@ -309,7 +309,7 @@ WITH own AS (
     lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS entry FROM range(256) r(b)
 ), tables AS (SELECT list(entry ORDER BY byte) AS entries FROM steps), sums AS (
   SELECT c, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list(CAST(byte AS BIGINT) ORDER BY i)),
-    lambda x, y: xor(x >> 8, (SELECT entries FROM tables)[xor(x & 255, y) + 1]))) AS crc FROM bytes GROUP BY c
+    lambda x, y: xor(x >> 8, any_value(entries)[xor(x & 255, y) + 1]))) AS crc FROM bytes CROSS JOIN tables GROUP BY c
 ), heads AS (SELECT c AS conv_id, c - c % 5 AS base, crc % 9 AS h FROM sums), moved AS (
   SELECT h.*, least(h.h, (SELECT count(*) FROM turns t WHERE t.conv_id = h.base)) AS led FROM heads h
 ), rebuilt AS (
