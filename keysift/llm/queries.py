@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keysift.llm.decontaminate import decontaminate
 from keysift.llm.exact import exact_dedup
+from keysift.llm.katz import katz_scores
 from keysift.llm.lines import line_dedup
 from keysift.llm.near import near_duplicates
 from keysift.llm.packing import pack
@@ -339,6 +340,12 @@ FROM whole w JOIN below b USING (depth, path) LEFT JOIN nodes u ON u.depth = w.d
 """
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learnt from nine tenths of them; a null id is held out."""
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
+    return katz_scores(table(spark, sf_dir, "documents"), fold != 0)
+
+
 def repeating_tail(doc_id: Column, text: Column) -> Column:
     """The text of a document for ``op13``: that of one in ten repeats itself from some word on."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -384,6 +391,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
