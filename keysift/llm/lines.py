@@ -45,6 +45,19 @@ def line_spread(lines: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionByName(told.select("h1", "h2", "n", "first"))
 
 
+def _without(lines: Column, cut: Column) -> Column:
+    """The lines, joined, but for those at the places in ``cut``, in time linear in the lines.
+
+    Whether a line stays is an array beside the lines; a lambda that looked a line up would split the text each time.
+    """
+    cut = F.array_sort(cut)
+    stays = F.zip_with(
+        F.concat(F.array(F.lit(-1)), cut), F.concat(cut, F.array(F.size(lines))),
+        lambda a, b: F.concat(F.array_repeat(F.lit(True), b - a - 1), F.array(F.lit(False))),
+    )
+    return F.array_join(F.zip_with(lines, F.flatten(stays), lambda line, stay: F.when(stay, line)), "\n")
+
+
 def line_dedup(
     docs: DataFrame,
     min_sites: int = 5,
@@ -88,8 +101,7 @@ def line_dedup(
     rows = rows.join(cuts, F.col("k_id").eqNullSafe(F.col("c_id")) & (F.col("k_text") == F.col("c_text")), "left")
     old = F.col("old")
     split = F.split(F.coalesce(old, F.lit("")), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("cut"))
-    new = F.when(F.col("cut").isNull(), old).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
+    new = F.when(F.col("cut").isNull(), old).otherwise(_without(split, F.col("cut")))
     back = carried.back() | {text_col: new.alias(text_col)}
     return rows.select(
         *(back[c] for c in docs.columns if c in back),

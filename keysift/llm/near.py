@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from keysift.llm.graph import connected_components
-from keysift.llm.hashing import hash_strings, mixed
+from keysift.llm.hashing import mixed, told_apart
 from keysift.llm.shared import join_groups, settled, slices
 
 BAND_ROWS, BANDS = 5, 38
@@ -35,7 +35,7 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     owner = owner[real.to_numpy(zero_copy_only=False)]
     words = flat.filter(real).dictionary_encode()
-    hashes = hash_strings(words.dictionary)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
+    hashes = told_apart(words.dictionary)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
     sizes = np.bincount(owner, minlength=len(texts))
     last = np.cumsum(sizes)
     sums = np.zeros(len(hashes), np.uint64)

@@ -93,8 +93,19 @@ def test_lines_edges(spark):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
-def test_very_long_text(spark):
-    text = "\n".join(f"line {i % 5000}" for i in range(60_000))
+@pytest.mark.parametrize("size,sites", [(60_000, 2), (1_000_000, 2)])
+def test_very_long_text(spark, size, sites):
+    """A text of 11 MB; the time is linear in its lines."""
+    text = "\n".join(f"line {i % 5000}" for i in range(size))
     docs = spark.createDataFrame([(1, text, "a"), (2, "line 3\nown", "b")], "doc_id long, text string, source string")
-    found = {r["doc_id"]: r for r in line_dedup(docs, min_sites=2).collect()}
-    assert found[2]["text"] == "own" and found[1]["n_cut"] == 11 and found[1]["n_lines"] == 60_000
+    found = {r["doc_id"]: r for r in line_dedup(docs, min_sites=sites).collect()}
+    assert found[2]["text"] == "own" and found[1]["n_cut"] == size // 5000 - 1 and found[1]["n_lines"] == size
+    assert found[1]["text"].count("line 3\n") == 1
+
+
+def test_most_lines_of_a_long_text_are_cut(spark):
+    lines = [f"line {i % 7}" if i % 3 else f"own {i}" for i in range(100_000)]
+    rows = [(1, "\n".join(f"line {i}" for i in range(7)), "a"), (2, "\n".join(lines), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["text"] for r in line_dedup(docs, min_sites=2).collect()}
+    assert found == {1: rows[0][1], 2: "\n".join(x for x in lines if x.startswith("own"))}

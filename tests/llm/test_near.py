@@ -91,3 +91,13 @@ def test_shingle_sets():
     found, sizes = near.shingle_sets(pa.array(texts), 5)
     assert sizes.tolist() == [2, 1, 0, 0, 1, 1] and found[3] == found[0] or found[3] == found[1]
     assert len(set(found.tolist())) == 4
+
+
+def test_words_made_to_share_a_polynomial_hash(spark):
+    """Letters in Thue-Morse order and their complement are equal for every polynomial of an odd base modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    assert len(set(near.told_apart(pa.array([one, two])).tolist())) == 2
+    docs = spark.createDataFrame([(1, f"{one} one two three four"), (2, f"{two} one two three four")], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(docs).collect()}
+    assert found == {1: 1, 2: 2}
