@@ -79,8 +79,9 @@ def line_dedup(
     # A row is known by its id and its text, as ids may repeat.
     known = {"k_id": F.col(id_col), "k_text": F.md5(text)}
     pieces = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(_BLANKS)))
-    lines = docs.select(F.col(site_col).cast("string").alias("site"), *(c.alias(k) for k, c in known.items()),
-                        F.posexplode(pieces).alias("at", "line"))
+    # The text is hashed below the generator, not once more for each line.
+    whole = docs.select(F.col(site_col).cast("string").alias("site"), *(c.alias(k) for k, c in known.items()), pieces.alias("pieces"))
+    lines = whole.select("site", *known, F.posexplode("pieces").alias("at", "line"))
     lines = settled(
         lines.filter(F.col("line") != "").select(
             "site", "k_id", "k_text", "at", *_line_key(F.col("line")),
