@@ -100,13 +100,15 @@ def scan_files(
     """Findings of ``files(path, name, text)``; ``text`` is null for a binary file, of which only the name is audited.
 
     The scan of a file needs nothing but its own row, so no shuffle takes place.  With ``per_file`` there is one
-    more row per file, with a null ``rule_id`` and the file's ``n_lines``, so that one pass yields findings and counts.
+    more row per file, with a null ``rule_id``, the file's ``n_lines`` and its ``reason``, if it could not be read,
+    so that one pass yields findings, counts and what is missing.
     """
+    files = files if "reason" in files.columns else files.withColumn("reason", _no_text())
     files = files.select(
-        "path", "name", F.coalesce(split_lines(F.col("text")), _no_lines()).alias("lines"),
+        "path", "name", "reason", F.coalesce(split_lines(F.col("text")), _no_lines()).alias("lines"),
         file_name_rule(F.col("name")).alias("audit"),
     )
-    lines = files.select("path", "name", "lines", "audit", F.posexplode_outer("lines").alias("at", "line"))
+    lines = files.select("path", "name", "reason", "lines", "audit", F.posexplode_outer("lines").alias("at", "line"))
     lines = lines.withColumn("line_number", F.coalesce(F.col("at") + 1, F.lit(1))).drop("at")
     markers = {FILE_AUDIT_SLOT: ("line_number = 1 AND audit IS NOT NULL", "array(name)")}
     if per_file:
@@ -120,6 +122,7 @@ def scan_files(
                 is_audit, _context(_no_lines(), F.concat(F.lit("File: "), "name"), F.lit(1), _no_lines())
             ).when(slot != FILE_SLOT, line_context(F.col("lines"), F.col("line_number"), config.context_lines)),
             "n_lines": F.when(slot == FILE_SLOT, F.size("lines").cast("bigint")),
+            "unread": F.when(slot == FILE_SLOT, F.col("reason")),
         },
     )
     return _file_findings(matches.withColumn("slot", F.when(is_audit, slot + F.col("audit")).otherwise(slot)), rules, per_file)
@@ -145,7 +148,7 @@ def _file_findings(matches: DataFrame, rules: Sequence[Rule], per_file: bool) ->
         "rule_id",
         "severity",
         "seen",
-        *(["n_lines"] if per_file else []),
+        *(["n_lines", "unread"] if per_file else []),
     )
 
 
@@ -163,12 +166,14 @@ def scan_long(
     )
     around = join_context(keep(found), lines, config.context_lines)
     context = _context(F.col("lines_before"), F.col("line"), F.col("line_number"), F.col("lines_after"))
-    columns = ("path", "line_number", "slot", "match_pos", "matched", "entropy", "context", "n_lines")
-    around = around.withColumns({"context": context, "n_lines": F.lit(None).cast("bigint")}).select(*columns)
+    columns = ("path", "line_number", "slot", "match_pos", "matched", "entropy", "context", "n_lines", "unread")
+    none = {"n_lines": F.lit(None).cast("bigint"), "unread": _no_text()}
+    around = around.withColumns({"context": context, **none}).select(*columns)
 
     name = F.element_at(F.split("path", "/"), -1)
     sizes = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
-    whole = files.select("path").join(sizes, "path", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+    files = files if "reason" in files.columns else files.withColumn("reason", _no_text())
+    whole = files.select("path", "reason").join(sizes, "path", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
     whole = whole.withColumns(
         {
             "line_number": F.lit(1),
@@ -183,6 +188,7 @@ def scan_long(
             "matched": F.when(is_file, "").otherwise(name),
             "context": F.when(~is_file, _context(_no_lines(), F.concat(F.lit("File: "), name), F.lit(1), _no_lines())),
             "n_lines": F.when(is_file, F.col("n_lines")),
+            "unread": F.when(is_file, F.col("reason")),
         }
     )
     return _file_findings(around.unionByName(whole.select(*columns)), rules, per_file=True)
@@ -261,6 +267,11 @@ def scan_counts(files: DataFrame) -> DataFrame:
     )
 
 
+def unread_files(files: DataFrame) -> DataFrame:
+    """``(path, reason)`` of the files that could not be read, from the ``per_file`` rows of a file scan."""
+    return files.filter(F.col("unread").isNotNull()).select(F.col("file_path").alias("path"), F.col("unread").alias("reason"))
+
+
 def empty_findings(spark: SparkSession) -> DataFrame:
     schema = (
         "finding_type STRING, risk_level STRING, description STRING, file_path STRING, line_number INT, "

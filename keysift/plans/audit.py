@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysift.config import AuditConfig
 from keysift.operators.findings import audit_gate, dedup_findings, finding_stats
-from keysift.operators.scan import scan_counts, scan_files, scan_long, scan_patches, scan_stashes, union_findings
+from keysift.operators.scan import scan_counts, scan_files, scan_long, scan_patches, scan_stashes, union_findings, unread_files
 from keysift.plans.settle import forget, settle
 from keysift.rules.catalog import Rule
 from keysift.rules.resolve import active_rules
-from keysift.sources.files import read_files
-from keysift.sources.long_files import LONG_BYTES, long_parts
+from keysift.sources.files import read_files, tree_listing
+from keysift.sources.long_files import LONG_BYTES, RANGE_BYTES, long_parts
 from keysift.sources.patches import patch_lines, read_patch_log, read_stash_log, stash_lines
 
 
@@ -26,6 +26,7 @@ class Audit:
     findings: DataFrame  # deduplicated, with `severity` and `seen`
     stats: DataFrame  # one row
     config: AuditConfig
+    unread: DataFrame  # path and reason of every file and folder that could not be read
     tables: list[str] = field(default_factory=list)  # settled, until the audit is closed
 
     def close(self) -> None:
@@ -70,8 +71,13 @@ def run_audit(
     long: tuple[DataFrame, DataFrame] | None = None,
     rules: Sequence[Rule] | None = None,
     scanned: str = "",
+    unlisted: DataFrame | None = None,
 ) -> Audit:
-    """Audit ``files(path, name, text)`` and, if given, long files and added lines of patches and stashes."""
+    """Audit ``files(path, name, text)`` and, if given, long files and added lines of patches and stashes.
+
+    Files with a ``reason`` could not be read: they count as scanned, and are told in ``unread`` and the statistics'
+    ``files_unread``, as are the folders of ``unlisted(path, reason)`` in ``folders_unread``.
+    """
     started = time.perf_counter()
     rules = active_rules(files.sparkSession, config) if rules is None else rules
     scanned_tables: list[str] = []
@@ -81,12 +87,19 @@ def run_audit(
         hits = partial(settle, label="hits", written=scanned_tables)
         scan = scan.unionByName(scan_long(*long, rules, config, distinct=True, keep=hits))
     scan = settle(scan, "scan", scanned_tables)
-    found = scan.filter(F.col("rule_id").isNotNull()).drop("n_lines")
+    found = scan.filter(F.col("rule_id").isNotNull()).drop("n_lines", "unread")
     findings = settle(all_findings(found, patches, stashes, config), "findings", tables)
-    counts = scan_counts(scan.filter(F.col("rule_id").isNull()))
+    per_file = scan.filter(F.col("rule_id").isNull())
+    lost = unread_files(per_file).withColumn("is_folder", F.lit(False))
+    if unlisted is not None:
+        lost = lost.unionByName(unlisted.select("path", "reason", F.lit(True).alias("is_folder")))
+    lost = settle(lost, "unread", tables)
+    counts = scan_counts(per_file)
+    missing = lost.agg(F.count_if(~F.col("is_folder")).alias("files_unread"), F.count_if("is_folder").alias("folders_unread"))
+    counts = counts.withColumn("_one", F.lit(1)).join(missing.withColumn("_one", F.lit(1)), "_one").drop("_one")
     stats = settle(stats_row(counts, finding_stats(findings), time.perf_counter() - started), "stats", tables)
     forget(files.sparkSession, scanned_tables)
-    return Audit(scanned, findings, stats, config, tables)
+    return Audit(scanned, findings, stats, config, lost.select("path", "reason"), tables)
 
 
 def audit_tree(
@@ -97,13 +110,23 @@ def audit_tree(
     patch_log: str | None = None,
     stash_log: str | None = None,
     long_bytes: int = LONG_BYTES,
+    range_bytes: int = RANGE_BYTES,
 ) -> Audit:
-    """Audit a tree of files together with its exported history; long files are scanned in splits."""
-    return run_audit(
-        read_files(spark, root, config, longest=long_bytes),
+    """Audit a tree of files together with its exported history; long files are scanned in ranges of bytes.
+
+    The tree is listed once.  A file or folder that cannot be read does not end the audit, nor does it vanish: see
+    ``Audit.unread`` and the statistics.  Only a long file that fails after its head was read ends it.
+    """
+    written: list[str] = []
+    listing = tree_listing(spark, root, config, written)
+    audit = run_audit(
+        read_files(spark, root, config, longest=long_bytes, listing=listing),
         config,
-        long=long_parts(spark, root, config, long_bytes),
+        long=None if listing is None else long_parts(spark, root, config, long_bytes, listing, range_bytes, written),
         patches=patch_lines(read_patch_log(spark, patch_log)) if patch_log else None,
         stashes=stash_lines(read_stash_log(spark, stash_log)) if stash_log else None,
         scanned=root,
+        unlisted=None if listing is None else listing.filter(F.col("reason").isNotNull()),
     )
+    forget(spark, written)
+    return audit

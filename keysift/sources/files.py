@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import and_
-from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keysift.config import AuditConfig
 from keysift.operators.detect import file_name_rule
 from keysift.operators.lines import decode_text, is_binary
-from keysift.sources.walk import linked_folders, outside, reachable, read_whole, unlisted, walk
+from keysift.sources.walk import reachable, read_whole, walk
 
 
 def file_name(path: Column) -> Column:
@@ -87,52 +86,61 @@ def targets(files: DataFrame, root: str, config: AuditConfig, *columns: str | Co
     return files.filter(is_target(path, config)).select(path.alias("path"), *columns)
 
 
-def listed_files(
-    spark: SparkSession, root: str, config: AuditConfig, longest: int | None = None, links: Sequence[str] = ()
-) -> DataFrame:
-    """The files to be scanned among those Spark lists; one that cannot be read is passed over."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-    files = reader.load(root)
-    if longest is not None:
-        files = files.filter(F.col("_metadata.file_size") < longest)
-    files = targets(files, root, config, "length", "content")
-    return files.filter(~unlisted(F.col("path"), F.col("length")) & outside(F.col("path"), links))
+def listed_files(spark: SparkSession, root: str, config: AuditConfig) -> DataFrame:
+    """The files to be scanned among those Spark lists, for storage that only Spark reaches; a failing read ends the job."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return targets(reader.load(root), root, config, "length", "content")
+
+
+def tree_listing(
+    spark: SparkSession, root: str, config: AuditConfig = AuditConfig(), written: list[str] | None = None
+) -> DataFrame | None:
+    """``(path, length, reason)`` of the files under ``root`` that are to be scanned, by one walk that all readers share.
+
+    A folder that could not be listed is a row with a reason.  A root that is one file is taken as it is, a missing
+    one has no files.  Nothing where ``pyarrow.fs`` does not reach the root.  ``written`` gets the paths of tables.
+    """
+    root, exists, single = qualify(spark, root)
+    if not exists:
+        return spark.createDataFrame([], "path STRING, length BIGINT, reason STRING")
+    if not reachable(root):
+        return None
+    if single:
+        return single_file(spark, root).withColumn("reason", F.lit(None).cast("string"))
+    return walk(
+        spark, root, lambda path: in_open_dirs(F.concat(path, F.lit("/")), config), lambda path: is_target(path, config), written
+    )
 
 
-def walked(spark: SparkSession, root: str, config: AuditConfig) -> tuple[DataFrame, list[str]]:
-    """``(path, length)`` of the files to be scanned that Spark does not list, and the linked folders."""
-    files, links = walk(spark, root, lambda path: in_open_dirs(F.concat(path, F.lit("/")), config))
-    return files.filter(is_target(F.col("path"), config)), linked_folders(links)
+def listed_root(spark: SparkSession, root: str) -> str:
+    """The folder that the paths of a listing are below."""
+    root, _, single = qualify(spark, root)
+    return root.rsplit("/", 1)[0] if single else root
 
 
 def list_files(
-    spark: SparkSession, root: str, config: AuditConfig = AuditConfig(), longest: int | None = None
+    spark: SparkSession, root: str, config: AuditConfig = AuditConfig(), longest: int | None = None,
+    listing: DataFrame | None = None,
 ) -> DataFrame:
-    """``(path, name, length, content)`` of the files under ``root`` that are to be scanned.
+    """``(path, name, length, content, reason)`` of the files under ``root`` that are to be scanned.
 
-    ``path`` is relative to the root.  A root that is one file is taken as it is, a missing one has no files.
-    Files of ``longest`` bytes or more are left to ``long_parts``.  Linked folders are not followed.  A file that
-    cannot be read has null content, or none if Spark reads it.
+    ``path`` is relative to the root; ``listing`` is that of ``tree_listing``, if it was made before.  Files of
+    ``longest`` bytes or more are left to ``long_parts``.  Linked folders are not followed.  A file that cannot be
+    read has null content and a reason; where only Spark reaches the storage, it ends the job.
     """
-    root, exists, single = qualify(spark, root)
-    if not exists:
-        return spark.createDataFrame([], "path STRING, name STRING, length BIGINT, content BINARY")
-    if not reachable(root):  # then long files are read whole as well
+    listing = tree_listing(spark, root, config) if listing is None else listing
+    if listing is None:  # then long files are read whole as well
+        root, _, single = qualify(spark, root)
         files = (
             spark.read.format("binaryFile").load(root).withColumn("path", file_name(F.col("path"))) if single
             else listed_files(spark, root, config)
-        )
-    elif single:
-        files = single_file(spark, root)
-        if longest is not None:
-            files = files.filter(F.col("length") < longest)
-        files = read_whole(files, root.rsplit("/", 1)[0])
+        ).withColumn("reason", F.lit(None).cast("string"))
     else:
-        hidden, links = walked(spark, root, config)
+        files = listing.filter(F.col("reason").isNull())
         if longest is not None:
-            hidden = hidden.filter(F.col("length") < longest)
-        files = listed_files(spark, root, config, longest, links).unionByName(read_whole(hidden, root))
-    return files.select("path", file_name(F.col("path")).alias("name"), "length", "content")
+            files = files.filter(F.col("length") < longest)
+        files = read_whole(files, listed_root(spark, root))
+    return files.select("path", file_name(F.col("path")).alias("name"), "length", "content", "reason")
 
 
 def single_file(spark: SparkSession, root: str) -> DataFrame:
@@ -151,9 +159,10 @@ def _below(path: Column, base: Column) -> Column:
 
 
 def read_files(
-    spark: SparkSession, root: str, config: AuditConfig = AuditConfig(), longest: int | None = None
+    spark: SparkSession, root: str, config: AuditConfig = AuditConfig(), longest: int | None = None,
+    listing: DataFrame | None = None,
 ) -> DataFrame:
-    return with_text(list_files(spark, root, config, longest).drop("length"))
+    return with_text(list_files(spark, root, config, longest, listing).drop("length"))
 
 
 def from_documents(documents: DataFrame, path: Column, text: Column) -> DataFrame:

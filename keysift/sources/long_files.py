@@ -1,104 +1,150 @@
-"""Files too long for one row: read as lines, in splits, so that one huge file is work for many tasks."""
+"""Files too long for one row: read as lines, in ranges of bytes, so that one huge file is work for many tasks."""
 
 from __future__ import annotations
 
+import re
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from keysift.config import AuditConfig
 from keysift.operators.lines import SAMPLE_BYTES, is_binary
 from keysift.plans.settle import settle
-from keysift.sources.files import qualify, single_file, targets, walked
-from keysift.sources.walk import open_root, outside, reachable, read_lines, unlisted
+from keysift.sources.files import listed_root, tree_listing
+from keysift.sources.walk import CHUNK_BYTES, _spread, attempt, open_root
 
 LONG_BYTES = 256 << 20
-BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+RANGE_BYTES = 32 << 20
+_END = re.compile(rb"[\r\n]")
 
 
 def _heads(root: str):
-    def head(system, path: str) -> bytes | None:
-        try:
-            with system.open_input_stream(path) as stream:
-                return stream.read(SAMPLE_BYTES)
-        except OSError:
-            return None
+    def head(system, path: str) -> bytes:
+        with system.open_input_stream(path) as stream:
+            return stream.read(SAMPLE_BYTES)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = open_root(root)
         for batch in batches:
-            yield batch.assign(head=[head(system, f"{base}/{path}") for path in batch["path"]])
+            made = [attempt(lambda: head(system, f"{base}/{path}")) for path in batch["path"]]
+            yield batch.assign(head=[data for data, _ in made], reason=pd.Series([why for _, why in made], dtype=object))
 
     return read
 
 
-def long_files(spark: SparkSession, root: str, config: AuditConfig, least: int) -> DataFrame:
-    """``(path, length, listed, binary, marked)`` of the files to be scanned that have at least ``least`` bytes.
+def long_files(files: DataFrame, root: str, written: list[str] | None = None) -> DataFrame:
+    """``(path, length, binary, reason)`` of ``files(path, length)``; one that cannot be read counts as binary."""
+    heads = _spread(files.select("path", "length")).mapInPandas(
+        _heads(root), "path STRING, length BIGINT, head BINARY, reason STRING"
+    )
+    binary = F.coalesce(is_binary(F.col("head")), F.lit(True))
+    return settle(heads.select("path", "length", binary.alias("binary"), "reason"), "long", written)
+
+
+def line_starts(data: bytes, offset: int, start: int, end: int, length: int) -> np.ndarray:
+    """Where lines start from ``start`` up to ``end`` in a file of ``length`` bytes.
 
-    ``listed`` says whether Spark lists the file, ``marked`` whether it starts with a byte order mark.  A file that
-    cannot be read counts as binary.
+    ``data`` stands at ``offset`` and reaches from the byte before ``start`` to the one at ``end``, as far as they
+    exist, so a carriage return and a newline that two ranges share end one line.
     """
-    hidden, links = walked(spark, root, config)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    files = targets(files.filter(F.col("_metadata.file_size") >= least), root, config, "length")
-    files = files.filter(~unlisted(F.col("path"), F.col("length")) & outside(F.col("path"), links))
-    every = files.select("path", "length", F.lit(True).alias("listed")).unionByName(
-        hidden.filter(F.col("length") >= least).select("path", "length", F.lit(False).alias("listed"))
-    )
-    return _judged(every, root)
+    here = np.frombuffer(data, np.uint8)
+    after = np.append(here[1:], 0)
+    found = np.flatnonzero((here == 10) | ((here == 13) & (after != 10))) + (offset + 1)
+    found = found[(found >= start) & (found < min(end, length))]
+    return np.append(0, found) if start == 0 and length else found
 
 
-def _judged(files: DataFrame, root: str) -> DataFrame:
-    heads = files.mapInPandas(_heads(root), "path STRING, length BIGINT, listed BOOLEAN, head BINARY")
-    binary = F.coalesce(is_binary(F.col("head")), F.lit(True))
-    marked = F.coalesce(F.substring("head", 1, 3) == F.lit(BYTE_ORDER_MARK), F.lit(False))
-    return settle(heads.select("path", "length", "listed", binary.alias("binary"), marked.alias("marked")), "long")
+def _opened(system, path: str, row: dict, size: int):
+    """The range's bytes with a neighbour on each side, its end, and the stream, which stands behind them."""
+    start = row["range"] * size
+    end, offset = min(start + size, row["length"]), max(start - 1, 0)
+    stream = system.open_input_file(path)
+    stream.seek(offset)
+    return stream, stream.read(min(end + 1, row["length"]) - offset), offset, start, end
 
 
-def long_lines(spark: SparkSession, root: str, config: AuditConfig, files: DataFrame, least: int) -> DataFrame:
-    """``(path, line_number, line)`` of the text files among ``files`` that Spark lists.
+def _count_starts(root: str, size: int):
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = open_root(root)
+        for batch in batches:
+            counts = []
+            for row in batch.to_dict("records"):
+                stream, data, offset, start, end = _opened(system, f"{base}/{row['path']}", row, size)
+                stream.close()
+                counts.append(len(line_starts(data, offset, start, end, row["length"])))
+            yield batch.assign(n=counts)
+
+    return counted
+
 
-    A line's number is its place in its split plus the lines of the splits before, which are counted in the same
-    plan, so that both sides see the same splits.  The line reader drops a byte order mark, which belongs to the
-    first line as it does in a file read whole.
+def _range_lines(root: str, size: int):
+    """Numbered lines that start in a range; the last one is read on to its end."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_root(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                stream, data, offset, start, end = _opened(system, f"{base}/{row['path']}", row, size)
+                with stream:
+                    starts = (line_starts(data, offset, start, end, row["length"]) - offset).tolist()
+                    if not starts:
+                        continue
+                    at = _END.search(data, starts[-1])
+                    more = []
+                    while at is None and (chunk := stream.read(CHUNK_BYTES)):
+                        at = _END.search(chunk)
+                        more.append(chunk if at is None else chunk[: at.start()])
+                last = b"".join([data[starts[-1] :], *more]) if at is None or more else data[starts[-1] : at.start()]
+                whole = [data[a:b] for a, b in zip(starts, starts[1:])]
+                yield from _numbered(row["path"], row["before"], [x[: -2 if x.endswith(b"\r\n") else -1] for x in whole] + [last])
+
+    return lines
+
+
+def _numbered(path: str, before: int, lines: list[bytes], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(lines), rows):
+        part = lines[at : at + rows]
+        numbers = np.arange(before + at + 1, before + at + 1 + len(part), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([path] * len(part), pa.string()), pa.array(numbers), pa.array(part, pa.binary())], ["path", "line_number", "value"]
+        )
+
+
+def range_lines(files: DataFrame, root: str, size: int = RANGE_BYTES, written: list[str] | None = None) -> DataFrame:
+    """``(path, line_number, line)`` of ``files(path, length)`` below the root, each range of ``size`` bytes by itself.
+
+    Lines belong to the range they start in.  They are counted for each range first, and a line's number is its
+    place in its range plus the counts of the ranges before.  A file that cannot be read ends the job.
     """
-    rows = spark.read.option("recursiveFileLookup", True).text(root)
-    rows = targets(
-        rows.filter(F.col("_metadata.file_size") >= least), root, config, "value",
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+    last = F.floor((F.col("length") - 1) / size).cast("bigint")
+    ranges = files.filter(F.col("length") > 0).select(
+        "path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("range")
     )
-    text = files.filter(F.col("listed") & ~F.col("binary")).select("path", "marked")
-    rows = rows.join(text, "path")
-    blocks = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
-    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
-    starts = blocks.select("path", "block", (before - F.col("first") + 1).alias("start"))
-    number = (F.col("start") + F.col("row")).cast("int")
-    line = F.make_valid_utf8("value")
-    mark = F.when((number == 1) & F.col("marked"), F.concat(F.lit("\ufeff"), line)).otherwise(line)
-    # One row per split; Spark broadcasts them where they are few.
-    return rows.join(starts, ["path", "block"]).select("path", number.alias("line_number"), mark.alias("line"))
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    counts = _spread(ranges, total).mapInPandas(_count_starts(root, size), "path STRING, length BIGINT, range BIGINT, n BIGINT")
+    counts = settle(counts, "ranges", written)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = settle(counts.withColumn("before", before).filter("n > 0"), "ranges", written)
+    rows = _spread(placed, total).mapInArrow(_range_lines(root, size), "path STRING, line_number INT, value BINARY")
+    return rows.select("path", "line_number", F.make_valid_utf8(F.col("value").cast("string")).alias("line"))
 
 
 def long_parts(
-    spark: SparkSession, root: str, config: AuditConfig = AuditConfig(), least: int = LONG_BYTES
+    spark: SparkSession, root: str, config: AuditConfig = AuditConfig(), least: int = LONG_BYTES,
+    listing: DataFrame | None = None, size: int = RANGE_BYTES, written: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame] | None:
-    """Long files and their lines, or nothing when the root holds no long file.
+    """Files of ``least`` bytes or more, and their lines, or nothing when the root holds none.
 
     The lines are read for matches, for the lines near those, and to count them; they are not copied for that.
-    Long files that Spark does not list, and a root that is one long file, are read a chunk at a time.
     """
-    root, exists, single = qualify(spark, root)
-    if not exists:
+    listing = tree_listing(spark, root, config, written) if listing is None else listing
+    if listing is None:
         return None
-    if single:
-        root, one = root.rsplit("/", 1)[0], single_file(spark, root)
-        files = _judged(one.filter(F.col("length") >= least).withColumn("listed", F.lit(False)), root) if reachable(root) else None
-    else:
-        files = long_files(spark, root, config, least) if reachable(root) else None
-    if files is None or files.isEmpty():
+    base = listed_root(spark, root)
+    files = long_files(listing.filter(F.col("reason").isNull() & (F.col("length") >= least)), base, written)
+    if files.isEmpty():
         return None
-    lines = read_lines(files.filter(~F.col("listed") & ~F.col("binary")), root)
-    if not single:
-        lines = lines.unionByName(long_lines(spark, root, config, files, least))
-    return files, lines
+    return files, range_lines(files.filter(~F.col("binary")), base, size, written)

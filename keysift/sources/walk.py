@@ -1,33 +1,33 @@
-"""Files that Spark's file sources do not list.
+"""The listing of a tree, and reading what it lists, with an account of what could not be listed or read.
 
-Spark skips empty files and every path with a part that starts with ``_`` or ``.``: ``__init__.py``, ``.npmrc``,
-``_config.yml``.  An audit must see them, so they are found by a walk of the tree, one job per depth, and read in
-tasks.  All other files come from the ``binaryFile`` source.  The walk goes through ``pyarrow.fs``; storage that only
-Spark reaches is audited without such files, with a warning.
+Spark's file sources skip every path with a part that starts with ``_`` or ``.``: ``__init__.py``, ``.npmrc``,
+``_config.yml``.  An audit must see those, and must not lose a file in silence.  So a tree is listed once, one job
+per depth, excluded folders are never listed, and files are read in tasks from that list, through ``pyarrow.fs``.
+Storage that only Spark reaches is read by Spark's own source, without such files, with a warning.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import time
 import warnings
 from functools import reduce
-from typing import Iterator, Sequence
+from typing import Callable, Iterator
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keysift.plans.settle import settle
 
 CHUNK_BYTES = 8 << 20
-MOST_LINKS = 10_000
+TASK_BYTES = 128 << 20  # of files for one task to read, about
+ATTEMPTS = 3
 _NAMES = {"s3a": "s3", "s3n": "s3"}  # Hadoop's names of storage that pyarrow calls otherwise
-
-
-def unlisted(path: Column, length: Column) -> Column:
-    """Whether a file, by its path below the root, has to be found by the walk."""
-    return (length == 0) | path.rlike(r"(?:^|/)[_.]") | path.endswith("._COPYING_")
+_LASTING = (FileNotFoundError, PermissionError, NotADirectoryError, IsADirectoryError)
+LISTING = "path STRING, length BIGINT, is_dir BOOLEAN, is_link BOOLEAN, reason STRING"
 
 
 def open_root(root: str):
@@ -51,118 +51,98 @@ def reachable(root: str) -> bool:
     return True
 
 
-def _lister(root: str):
-    def listed(system, folder: str) -> list:
-        from pyarrow import fs
-
+def attempt(action: Callable):
+    """What ``action`` returns, and why it failed if it did; a fault of the storage that may pass is tried again."""
+    for turn in range(1, ATTEMPTS + 1):
         try:
-            return system.get_file_info(fs.FileSelector(folder))
-        except OSError:  # a folder that cannot be listed holds nothing
-            return []
+            return action(), None
+        except OSError as error:
+            if turn == ATTEMPTS or isinstance(error, _LASTING):
+                return None, f"{type(error).__name__}: {error}"
+            time.sleep(0.2 * turn)
 
+
+def _lister(root: str):
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         system, base = open_root(root)
         local = isinstance(system, fs.LocalFileSystem)
         for batch in batches:
-            rows = []
             for below in batch["path"]:
-                for info in listed(system, f"{base}/{below}".rstrip("/")):
-                    folder = info.type == fs.FileType.Directory
-                    linked = folder and local and os.path.islink(info.path)
-                    rows.append((f"{below}/{info.base_name}".lstrip("/"), info.size or 0, folder, linked))
-            yield pd.DataFrame(rows, columns=["path", "length", "is_dir", "is_link"])
+                folder = f"{base}/{below}".rstrip("/") or "/"
+                infos, reason = attempt(lambda: system.get_file_info(fs.FileSelector(folder)))
+                rows = [] if reason is None else [(below, 0, True, False, reason)]
+                for info in infos or ():
+                    is_dir = info.type == fs.FileType.Directory
+                    linked = is_dir and local and os.path.islink(info.path)
+                    rows.append((f"{below}/{info.base_name}".lstrip("/"), info.size or 0, is_dir, linked, None))
+                yield pd.DataFrame(rows, columns=["path", "length", "is_dir", "is_link", "reason"])
 
     return entries
 
 
-def _reader(root: str):
-    def content(system, path: str) -> bytes | None:
-        try:
-            with system.open_input_stream(path) as stream:
-                return stream.read()
-        except OSError:  # counts as binary
-            return None
-
-    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = open_root(root)
-        for batch in batches:
-            for path, length in zip(batch["path"], batch["length"]):
-                yield pd.DataFrame({"path": [path], "length": [length], "content": [content(system, f"{base}/{path}")]})
-
-    return contents
-
-
-def _line_reader(root: str):
-    """Numbered lines of files, a chunk of the file at a time."""
-    ends = re.compile(rb"\r\n?|\n")
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = open_root(root)
-        for batch in batches:
-            for path in batch["path"]:
-                number, rest = 0, b""
-                with system.open_input_stream(f"{base}/{path}") as stream:
-                    while chunk := stream.read(CHUNK_BYTES):
-                        text = rest + chunk
-                        # A carriage return at the end may be the first half of a line end.
-                        text, held = (text[:-1], b"\r") if text.endswith(b"\r") else (text, b"")
-                        *whole, last = ends.split(text)
-                        rest = last + held
-                        yield _numbered(path, number, whole)
-                        number += len(whole)
-                *whole, last = ends.split(rest)
-                yield _numbered(path, number, [*whole, last] if last else whole)
-
-    return lines
-
-
-def _numbered(path: str, before: int, lines: list[bytes]) -> pd.DataFrame:
-    return pd.DataFrame({"path": path, "line_number": range(before + 1, before + 1 + len(lines)), "value": lines})
-
+def walk(
+    spark: SparkSession, root: str, descend: Callable[[Column], Column], keep: Callable[[Column], Column],
+    written: list[str] | None = None,
+) -> DataFrame:
+    """``(path, length, reason)`` of the files under ``root`` that are kept; a folder that could not be listed has a reason.
 
-def _spread(paths: DataFrame) -> DataFrame:
-    return paths.repartition(paths.sparkSession.sparkContext.defaultParallelism)
-
-
-def walk(spark: SparkSession, root: str, descend) -> tuple[DataFrame, DataFrame]:
-    """``(path, length)`` of the unlisted files, and ``path`` of linked folders, which are not looked into.
-
-    ``descend`` says of a directory's path whether to look into it.
+    ``descend`` says of a folder's path whether to look into it, ``keep`` of a file's path whether to take it.
+    Linked folders are not looked into.
     """
     found, level = [], spark.createDataFrame([("",)], "path STRING")
     while True:
-        columns = "path STRING, length BIGINT, is_dir BOOLEAN, is_link BOOLEAN"
-        entries = _spread(level).mapInPandas(_lister(root), columns)
-        entries = settle(entries.filter(F.col("is_dir") | unlisted(F.col("path"), F.col("length"))), "walk")
+        entries = _spread(level).mapInPandas(_lister(root), LISTING)
+        entries = settle(entries.filter(F.col("is_dir") | keep(F.col("path"))), "walk", written)
         found.append(entries)
-        level = entries.filter(F.col("is_dir") & ~F.col("is_link") & descend(F.col("path"))).select("path")
+        level = entries.filter(
+            F.col("is_dir") & ~F.col("is_link") & F.col("reason").isNull() & descend(F.col("path"))
+        ).select("path")
         if level.isEmpty():
             every = reduce(DataFrame.unionAll, found)
-            return every.filter(~F.col("is_dir")).select("path", "length"), every.filter("is_link").select("path")
+            return every.filter(~F.col("is_dir") | F.col("reason").isNotNull()).select("path", "length", "reason")
+
 
+def _spread(paths: DataFrame, size: int = 0) -> DataFrame:
+    """Rows dealt out to as many tasks as there are cores, or as ``size`` bytes ask for."""
+    cores = paths.sparkSession.sparkContext.defaultParallelism
+    return paths.repartition(max(cores, -(-size // TASK_BYTES)))
 
-def linked_folders(links: DataFrame) -> list[str]:
-    rows = links.limit(MOST_LINKS + 1).collect()
-    if len(rows) > MOST_LINKS:
-        raise ValueError(f"more than {MOST_LINKS} linked folders")
-    return sorted(row["path"] for row in rows)
 
+def _reader(root: str):
+    def content(system, path: str) -> bytes:
+        with system.open_input_stream(path) as stream:
+            return stream.read()
 
-def outside(path: Column, folders: Sequence[str]) -> Column:
-    """Whether a path lies in none of the folders."""
-    if not folders:
-        return F.lit(True)
-    return ~F.exists(F.array(*map(F.lit, folders)), lambda folder: F.startswith(path, F.concat(folder, F.lit("/"))))
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_root(root)
+        rows, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, reason = attempt(lambda: content(system, f"{base}/{row['path']}"))
+                rows.append({**row, "content": data, "reason": reason})
+                size += len(data or b"")
+                if size >= CHUNK_BYTES:
+                    yield _contents(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _contents(rows)
 
+    return contents
 
-def read_whole(files: DataFrame, root: str) -> DataFrame:
-    """``(path, length, content)`` of ``files(path, length)`` below the root; null content if it cannot be read."""
-    return _spread(files).mapInPandas(_reader(root), "path STRING, length BIGINT, content BINARY")
 
+def _contents(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"path": pa.string(), "length": pa.int64(), "content": pa.binary(), "reason": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([row[c] for row in rows], kind) for c, kind in kinds.items()], list(kinds))
 
-def read_lines(files: DataFrame, root: str) -> DataFrame:
-    """``(path, line_number, line)`` of ``files(path)`` below the root, one task for each."""
-    rows = _spread(files.select("path")).mapInPandas(_line_reader(root), "path STRING, line_number INT, value BINARY")
-    return rows.select("path", "line_number", F.make_valid_utf8(F.col("value").cast("string")).alias("line"))
+
+def read_whole(files: DataFrame, root: str) -> DataFrame:
+    """``(path, length, content, reason)`` of ``files(path, length)`` below the root.
+
+    A file that cannot be read has a row with null content and the reason.
+    """
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return _spread(files.select("path", "length"), size).mapInArrow(
+        _reader(root), "path STRING, length BIGINT, content BINARY, reason STRING"
+    )

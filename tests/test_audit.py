@@ -118,11 +118,12 @@ def test_output_folder(audit, project, tmp_path):
     assert output_dir(audit, str(tmp_path / "none")).endswith(Path.cwd().name)
 
 
-def test_long_files_are_scanned_alike(spark, project, tmp_path):
+@pytest.mark.parametrize("range_bytes", [7, 1000])
+def test_long_files_are_scanned_alike(spark, project, tmp_path, range_bytes):
     """The same tree with every file of 40 bytes or more read as lines, in many splits."""
     root = tmp_path / "long"
     root.mkdir()
-    lines = [f'n{n} = "{"x" * (n % 7)}" {GOOGLE if n % 31 == 0 else ""}' for n in range(3000)]
+    lines = [f'n{n} = "{"x" * (n % 7)}" {GOOGLE if n % 31 == 0 else ""}' for n in range(300 if range_bytes == 7 else 3000)]
     (root / "big.py").write_bytes("\r\n".join(lines).encode())
     (root / "odd.log").write_bytes(b"a\rb\xff\n\n" + f"token = '{DIGITS[:30]}'\n".encode())
     (root / "data.sqlite").write_bytes(b"\x00" * 100 + GOOGLE.encode())
@@ -138,7 +139,7 @@ def test_long_files_are_scanned_alike(spark, project, tmp_path):
     for key in keys:
         spark.conf.set(key, "4096")
     try:
-        found = audit_tree(spark, str(root), long_bytes=40)
+        found = audit_tree(spark, str(root), long_bytes=40, range_bytes=range_bytes)
         rows = found.findings.drop("seen").collect()
     finally:
         for key, value in old.items():
@@ -171,6 +172,29 @@ def test_closed_audits_leave_nothing(spark, tmp_path):
     assert not any(p.name.startswith("keysift-") for p in folder.iterdir() if p.name not in before)
 
 
+def test_nothing_is_lost_in_silence(spark, project, tmp_path):
+    """A file whose read fails is counted and told, whole or by its head; the others are audited."""
+    root = tmp_path / "faulty"
+    root.mkdir()
+    (root / "good.py").write_text(f"k = '{GOOGLE}'\n")
+    (root / "bad.py").symlink_to("/proc/self/mem")  # opens, and fails when it is read
+    for long_bytes in (1 << 20, 0):
+        with audit_tree(spark, str(root), long_bytes=long_bytes) as audit:
+            assert [(r["path"], "rror" in r["reason"]) for r in audit.unread.collect()] == [("bad.py", True)]
+            stats = audit.stats.first()
+            assert (stats["files_scanned"], stats["files_unread"], stats["folders_unread"], stats["lines_scanned"]) == (2, 1, 0, 1)
+            assert {r["file_path"] for r in audit.findings.collect()} == {"good.py"}
+            _, _, summary = output_dir(audit, str(tmp_path)), print_summary(audit), audit.stats.columns
+            assert "files_unread" in summary
+
+
+def test_a_folder_that_cannot_be_listed_is_told(spark):
+    files = spark.createDataFrame([("a.txt", "a.txt", "nothing\n")], "path STRING, name STRING, text STRING")
+    folders = spark.createDataFrame([("src", 0, "PermissionError: no")], "path STRING, length INT, reason STRING")
+    audit = run_audit(files, unlisted=folders)
+    assert audit.stats.first()["folders_unread"] == 1 and audit.unread.collect() == [("src", "PermissionError: no")]
+
+
 def test_unknown_storage_is_audited_without_hidden_files():
     with pytest.warns(UserWarning, match="left out"):
         assert not reachable("dbfs:/somewhere")

@@ -1,14 +1,20 @@
 from __future__ import annotations
 
 import os
+import random
 from pathlib import PurePosixPath
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from keysift.config import AuditConfig
 from keysift.operators.scan import scan_counts, scan_files, scan_patches, scan_stashes
 from keysift.rules.catalog import BUILTIN_RULES
-from keysift.sources.files import listed_files, path_suffix, read_files, rel_path
+from keysift.operators.lines import split_lines
+from keysift.sources.files import listed_files, path_suffix, read_files, rel_path, tree_listing
+from keysift.sources.long_files import range_lines
+from keysift.sources.walk import _lister
 from keysift.sources.patches import commit_meta, file_segments, patch_lines, read_patch_log, read_stash_log, stash_lines
 
 DIGITS = "0123456789abcdef" * 8
@@ -35,7 +41,7 @@ TARGETS = {
     "U.SWIFT", "x/y/z/.npmrc", "bin.json",
     "pkg/__init__.py", "_site/deep/.eslintrc.json", "a=b/_c=d.py",
 }
-WALKED = {"empty.py", "x/y/z/.npmrc", "pkg/__init__.py", "_site/deep/.eslintrc.json", "a=b/_c=d.py"}
+HIDDEN = {"empty.py", "x/y/z/.npmrc", "pkg/__init__.py", "_site/deep/.eslintrc.json"}  # from Spark's own source
 
 
 def test_tree(spark, tmp_path):
@@ -59,10 +65,40 @@ def test_excluded_files_are_never_opened(spark, tmp_path):
     root = tmp_path / "project"
     _tree(root, TREE)
     listed = listed_files(spark, f"file:{root}", AuditConfig())
-    assert {r["path"] for r in listed.select("path").collect()} == TARGETS - WALKED
+    seen = TARGETS - HIDDEN
+    assert {r["path"] for r in listed.select("path").collect()} == seen
     leaf = listed._jdf.queryExecution().executedPlan().collectLeaves().head()
     listed._jdf.queryExecution().toRdd().count()
-    assert leaf.metrics().apply("numFiles").value() == len(TARGETS - WALKED)
+    assert leaf.metrics().apply("numFiles").value() == len(seen)
+
+
+def test_folders_that_fail_are_rows(tmp_path):
+    made = pd.concat(_lister(str(tmp_path))(iter([pd.DataFrame({"path": ["gone"]})])))
+    assert made["path"].tolist() == ["gone"] and made["is_dir"].tolist() == [True]
+    assert made["reason"][0].startswith("FileNotFoundError")
+
+
+def test_one_listing(spark, tmp_path):
+    """Excluded folders are not listed, and files that are not scanned are not in the list."""
+    root = tmp_path / "project"
+    _tree(root, TREE)
+    listing = tree_listing(spark, str(root))
+    assert {r["path"] for r in listing.collect()} == TARGETS
+    assert listing.filter("reason IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 64])
+def test_lines_by_ranges(spark, tmp_path, size):
+    """Every cut of every mix of line ends, numbered as in a text that is read whole."""
+    draw = random.Random(size)
+    texts = ["a", "\n", "\r", "\r\n", "\r\r\n\n", "a\rb\r\nc\nd", "ab\r\n", "\xe9\r"]
+    texts += ["".join(draw.choice(["\r", "\n", "\r\n", "x", "yy", "\u00e9"]) for _ in range(draw.randint(1, 30))) for _ in range(30)]
+    _tree(tmp_path, {f"f{n}.txt": text for n, text in enumerate(texts)})
+    files = spark.createDataFrame([(f"f{n}.txt", len(t.encode())) for n, t in enumerate(texts)], "path STRING, length BIGINT")
+    found = range_lines(files, str(tmp_path), size).orderBy("path", "line_number").collect()
+    wanted = spark.createDataFrame([(f"f{n}.txt", t) for n, t in enumerate(texts)], "path STRING, text STRING")
+    wanted = wanted.select("path", F.posexplode(split_lines(F.col("text"))).alias("at", "line")).orderBy("path", "at").collect()
+    assert [tuple(r) for r in found] == [(r["path"], r["at"] + 1, r["line"]) for r in wanted]
 
 
 def test_one_file_and_no_file(spark, tmp_path):
