@@ -17,7 +17,7 @@ from keysift.rules.catalog import Rule
 from keysift.rules.resolve import active_rules
 from keysift.sources.files import read_files, tree_listing
 from keysift.sources.long_files import LONG_BYTES, RANGE_BYTES, long_parts
-from keysift.sources.patches import patch_lines, read_patch_log, read_stash_log, stash_lines
+from keysift.sources.history import STASH_LOG, read_log
 
 
 @dataclass(frozen=True)
@@ -123,8 +123,8 @@ def audit_tree(
         read_files(spark, root, config, longest=long_bytes, listing=listing),
         config,
         long=None if listing is None else long_parts(spark, root, config, long_bytes, listing, range_bytes, written),
-        patches=patch_lines(read_patch_log(spark, patch_log)) if patch_log else None,
-        stashes=stash_lines(read_stash_log(spark, stash_log)) if stash_log else None,
+        patches=read_log(spark, patch_log) if patch_log else None,
+        stashes=read_log(spark, stash_log, STASH_LOG) if stash_log else None,
         scanned=root,
         unlisted=None if listing is None else listing.filter(F.col("reason").isNotNull()),
     )

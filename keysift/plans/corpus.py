@@ -9,8 +9,11 @@ The expressions are the common subset of Spark SQL and DuckDB: the oracles deriv
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from keysift.plans.settle import shared_dir
 from keysift.sources.files import file_name, spread
 
 _Q = "chr(34)"  # double quote
@@ -167,6 +170,9 @@ STASH_SQL = f"""
            || '+' || replace(text, chr(10), chr(10) || '+') AS record
     FROM ({CORPUS_SQL}) AS corpus"""
 
+# The same history as the text of a log; some of its headers are cut short and name no commit.
+LOG_SQL = RECORD_SQL.replace("md5('commit' || doc_id) || '|' ||", "CASE WHEN doc_id % 7 = 3 THEN 'cut' ELSE md5('commit' || doc_id) || '|' END ||", 1)
+
 
 LINE_ENDS_SQL = (
     "CASE doc_id % 4 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 1 THEN replace(text, chr(10), chr(13)) "
@@ -222,6 +228,23 @@ def stash_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir, STASH_SQL)
 
 
+def _log_text(spark: SparkSession, sf_dir: str, sql: str, mark: str) -> str:
+    """Where the records were written as text: a folder for each repository, of parts in order of the ids."""
+    records = _from_documents(spark, sf_dir, sql).select("repo", "doc_id", F.concat(F.lit(mark), "record").alias("value"))
+    path = f"{shared_dir(spark)}/keysift-log-{uuid.uuid4().hex}"
+    ordered = records.repartitionByRange("repo", "doc_id").sortWithinPartitions("repo", "doc_id")
+    ordered.select("repo", "value").write.partitionBy("repo").text(path)
+    return path
+
+
+def patch_log(spark: SparkSession, sf_dir: str) -> str:
+    return _log_text(spark, sf_dir, LOG_SQL, "COMMIT:")
+
+
+def stash_log(spark: SparkSession, sf_dir: str) -> str:
+    return _log_text(spark, sf_dir, STASH_SQL, "STASH:")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw web pages as files, one per page."""
     table = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))

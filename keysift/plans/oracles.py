@@ -11,7 +11,7 @@ from dataclasses import replace
 from keysift.config import AuditConfig
 from keysift.operators.detect import DOTTED_ID, HEX_HASH, PLACEHOLDERS, URL, UUID
 from keysift.plans import queries as q
-from keysift.plans.corpus import BYTE_HEADS, BYTE_TAILS, CORPUS_SQL, LINE_ENDS_SQL, RECORD_SQL, STASH_SQL
+from keysift.plans.corpus import BYTE_HEADS, BYTE_TAILS, CORPUS_SQL, LINE_ENDS_SQL, RECORD_SQL, LOG_SQL, STASH_SQL
 from keysift.rules import catalog as c
 
 CONFIG = q.CONFIG
@@ -391,13 +391,34 @@ ORACLES["decode_text"] = _corpus_sql(
 ORACLES["split_lines"] = (
     with_(("corpus", _corpus_sql(f"path, name, {LINE_ENDS_SQL} AS text")), CUT, LINES) + "SELECT path, line_number, line FROM lines"
 )
-ORACLES["src_patch_log"] = with_(*PATCH) + "SELECT repo, doc_id AS log_row, commit, author, date, file, part, place, line FROM lines"
-ORACLES["patch_commit_meta"] = with_(PATCH[0], META) + "SELECT repo, doc_id AS log_row, commit, author, date FROM meta"
+# Logs: records are numbered, and one whose header is cut short has the values of the last whole one before it.
+NUMBERED = ("numbered", "SELECT doc_id, row_number() OVER (PARTITION BY repo ORDER BY doc_id) - 1 AS log_row FROM records")
+
+
+def _kept(part: str, otherwise: str) -> str:
+    value = f"last_value(CASE WHEN len({_PARTS}) >= 3 THEN {part} END IGNORE NULLS)"
+    return f"coalesce({value} OVER (PARTITION BY repo ORDER BY doc_id ROWS UNBOUNDED PRECEDING), '{otherwise}')"
+
+
+LOG_META = (
+    "meta",
+    f"SELECT doc_id, repo, {_kept(f'substr({_PARTS}[1], 1, 8)', 'HEAD')} AS commit, {_kept(f'{_PARTS}[2]', 'Unknown')} AS author, "
+    f"{_kept(f'{_PARTS}[3]', 'Unknown')} AS date FROM records",
+)
+LOG = [*history_lines(LOG_SQL, "--- a/", "+++ b/", unnamed="Unknown"), LOG_META, ADDED, NUMBERED]
+ORACLES["src_patch_log"] = (
+    with_(*LOG) + "SELECT repo, log_row, commit, author, date, file, part, place, line FROM lines JOIN numbered USING (doc_id)"
+)
+ORACLES["patch_commit_meta"] = (
+    with_(LOG[0], LOG_META, NUMBERED) + "SELECT repo, log_row, commit, author, date FROM meta JOIN numbered USING (doc_id)"
+)
 ORACLES["patch_file_state"] = with_(*PATCH[:5]) + "SELECT DISTINCT repo, doc_id AS log_row, part, file FROM stretches"
 ORACLES["patch_added_lines"] = (
     with_(*PATCH) + "SELECT file, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM lines GROUP BY file"
 )
-ORACLES["src_stash_log"] = with_(*STASH) + "SELECT repo, doc_id AS log_row, commit AS stash, file, line FROM lines"
+ORACLES["src_stash_log"] = (
+    with_(*STASH, NUMBERED) + "SELECT repo, log_row, commit AS stash, file, line FROM lines JOIN numbered USING (doc_id)"
+)
 
 # What the JSON options say, written out.
 _JSON_CONFIG = replace(

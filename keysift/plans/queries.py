@@ -43,7 +43,8 @@ from keysift.rules.catalog import BUILTIN_RULES, ENTROPY_ID, FILE_AUDIT_ID, KEYW
 from keysift.rules.resolve import active_rules, custom_rule, enabled, rules_table
 from keysift.sinks import reports
 from keysift.sources.files import in_open_dirs, is_included, is_kept, is_target, list_files, path_suffix, rel_path
-from keysift.sources.patches import commit_meta, file_segments, patch_lines, stash_lines
+from keysift.sources.history import STASH_LOG, read_commits, read_log
+from keysift.sources.patches import file_segments, patch_lines, stash_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,14 +191,19 @@ def split_lines_(spark, sf_dir):
     return explode_lines(inputs.line_end_variants(spark, sf_dir))
 
 
+def _repo() -> Column:
+    return F.regexp_extract("log_file", "repo=([^/]*)$", 1).alias("repo")
+
+
 @query
 def src_patch_log(spark, sf_dir):
-    return _added(spark, sf_dir).select("repo", "log_row", "commit", "author", "date", "file", "part", F.col("at").alias("place"), "line")
+    lines = read_log(spark, inputs.patch_log(spark, sf_dir))
+    return lines.select(_repo(), "log_row", "commit", "author", "date", "file", "part", F.col("at").alias("place"), "line")
 
 
 @query
 def patch_commit_meta(spark, sf_dir):
-    return commit_meta(inputs.patch_records(spark, sf_dir)).select("repo", "log_row", "commit", "author", "date")
+    return read_commits(spark, inputs.patch_log(spark, sf_dir)).select(_repo(), "log_row", "commit", "author", "date")
 
 
 @query
@@ -214,7 +220,8 @@ def patch_added_lines(spark, sf_dir):
 
 @query
 def src_stash_log(spark, sf_dir):
-    return _stashed(spark, sf_dir).select("repo", "log_row", F.col("commit").alias("stash"), "file", "line")
+    lines = read_log(spark, inputs.stash_log(spark, sf_dir), STASH_LOG)
+    return lines.select(_repo(), "log_row", F.col("commit").alias("stash"), "file", "line")
 
 
 @query
