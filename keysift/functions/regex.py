@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import re._constants as op
 import re._parser as parser
+from functools import lru_cache
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession, functions as F
@@ -132,15 +133,56 @@ def _written(tree, flags: int) -> str:
     return "".join(out)
 
 
+def _parsed(pattern: str):
+    for form, equal in _FORMS.items():
+        pattern = pattern.replace(form, equal)
+    return parser.parse(pattern)
+
+
+def _bodies(kind, value) -> list:
+    """The patterns inside a part of a pattern."""
+    if kind in _LAZY or kind is op.SUBPATTERN:
+        return [value[-1]]
+    if kind is op.BRANCH:
+        return list(value[1])
+    if kind is op.ATOMIC_GROUP:
+        return [value]
+    return [value[1]] if kind in (op.ASSERT, op.ASSERT_NOT) else []
+
+
+def _bound(tree) -> int | None:
+    bounds = []
+    for kind, value in tree:
+        if kind is op.GROUPREF_EXISTS:
+            return 0
+        if kind in _LAZY:
+            least, most, body = value
+            if not (len(body) == 1 and body[0][0] in (op.LITERAL, op.NOT_LITERAL, op.IN, op.ANY)):
+                if least > MOST_ROUNDS:
+                    return 0
+                if most is op.MAXREPEAT or most > MOST_ROUNDS:
+                    bounds.append(MOST_ROUNDS * max(1, body.getwidth()[0]))
+        bounds += (b for b in map(_bound, _bodies(kind, value)) if b is not None)
+    return min(bounds, default=None)
+
+
+@lru_cache(maxsize=10_000)
+def python_length(pattern: str) -> int | None:
+    """How long a line must be for ``to_java`` to find less in it than ``re``; nothing if it never does.
+
+    A group that Java may repeat ``MOST_ROUNDS`` times takes that many times its least width, so shorter lines end
+    before the bound is met.  Zero for what Java cannot express.
+    """
+    return _bound(_parsed(pattern))
+
+
 def to_java(pattern: str) -> str:
-    """Java pattern that finds in a line what Python's ``re`` finds there.
+    """Java pattern that finds in a line what Python's ``re`` finds there, if it is shorter than ``python_length``.
 
     Groups keep their numbers.  A group that is repeated without bound is repeated ``MOST_ROUNDS`` times at most,
     as more would exhaust the stack of a task; a class of single characters is no group and has no such bound.
     """
-    for form, equal in _FORMS.items():
-        pattern = pattern.replace(form, equal)
-    tree = parser.parse(pattern)
+    tree = _parsed(pattern)
     flags = tree.state.flags
     return "(?ud" + ("i" if flags & re.I else "") + ")" + _written(tree, flags)
 
@@ -149,6 +191,8 @@ def problem(spark: SparkSession, pattern: str) -> str | None:
     """Why a pattern cannot be a rule, or nothing; Spark folds the literal test on the driver, without a job."""
     try:
         re.compile(pattern)
+        if python_length(pattern) == 0:  # left to ``re``
+            return None
         spark.range(1).select(F.lit("").rlike(to_java(pattern))).collect()
     except re.error as error:
         return f"not a regular expression: {error}"

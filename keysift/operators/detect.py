@@ -10,14 +10,17 @@ Rule expressions are literals, so each is compiled once per task, and only the b
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 from operator import or_
-from typing import Mapping, Sequence
+from typing import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from keysift.config import AuditConfig
-from keysift.functions.regex import to_java
+from keysift.functions.regex import python_length, to_java
 from keysift.functions.text import ENTROPY_SLACK, distinct_chars, shannon_entropy
 from keysift.rules.anchors import GATES, RUN_CHARS, RUN_LENGTH, anchor
 from keysift.rules.catalog import FILE_NAME_RULES, Rule
@@ -130,6 +133,34 @@ def file_name_rule(name: Column) -> Column:
     )
 
 
+def _by_python(
+    lines: DataFrame, rules: Mapping[int, Rule], name: str | None, late: Mapping[str, Column], keep: Sequence[str], distinct: bool
+) -> DataFrame:
+    """Matches of ``rules`` in lines on which Spark's expressions could find less than ``re``: long ones, or all.
+
+    Only those lines go to Python, in Arrow batches, once for each such rule.
+    """
+    def reach(rule: Rule) -> str:
+        test = f"length(line) >= {python_length(rule.pattern)}"
+        return f"{applies_to(rule, name)} AND {test}" if rule.files and name else test
+
+    slots = ", ".join(f"CASE WHEN {reach(rule)} THEN {n} ELSE {NO_SLOT} END" for n, rule in rules.items())
+    hits = lines.withColumn("_slots", F.expr(f"array({slots})")).withColumn("slot", F.expr(f"explode(array_remove(_slots, {NO_SLOT}))"))
+    rows = hits.select(*keep, *(c.alias(n) for n, c in late.items()), "slot", F.col("line").alias("_line"))
+    patterns = {n: rule.pattern for n, rule in rules.items()}
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = {n: re.compile(pattern) for n, pattern in patterns.items()}
+        for batch in batches:
+            pairs = zip(batch.column("slot").to_pylist(), batch.column("_line").to_pylist())
+            found = [[m.group(0) for m in compiled[slot].finditer(line)] for slot, line in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, "_found"])
+
+    schema = StructType([*rows.schema.fields, StructField("_found", ArrayType(StringType()))])
+    found = F.array_distinct("_found") if distinct else F.col("_found")
+    return rows.mapInArrow(search, schema).select(*keep, *late, "slot", F.posexplode(found).alias("match_pos", "matched"))
+
+
 def detect(
     lines: DataFrame,
     rules: Sequence[Rule],
@@ -157,8 +188,13 @@ def detect(
         test = _anchored(rule) if anchors else "line IS NOT NULL"
         return f"{applies_to(rule, name)} AND {test}" if rule.files and name else test
 
-    tests = {n: may_hit(rule) for n, rule in enumerate(rules)}
-    found = {n: f"regexp_extract_all(line, {_sql(to_java(rule.pattern))}, 0)" for n, rule in enumerate(rules)}
+    # Rules whose expressions Java runs up to some length of line; longer lines are left to Python.
+    bounds = {n: python_length(rule.pattern) for n, rule in enumerate(rules)}
+    python = {n: rules[n] for n, bound in bounds.items() if bound is not None}
+    java = {n: rule for n, rule in enumerate(rules) if bounds[n] != 0}
+    tests = {n: may_hit(rule) for n, rule in java.items()}
+    tests |= {n: f"length(line) < {bounds[n]} AND {tests[n]}" for n in python if n in java}
+    found = {n: f"regexp_extract_all(line, {_sql(to_java(rule.pattern))}, 0)" for n, rule in java.items()}
     if entropy:
         least = max(config.min_entropy_length, needed)
         token = f"line RLIKE {_sql(_token_run(least))}"
@@ -171,7 +207,7 @@ def detect(
     if not tests:  # nothing to look for
         tests, found = {NO_SLOT - 1: "false"}, {NO_SLOT - 1: "array('')"}
 
-    lines = _with_gates(lines)
+    plain, lines = lines, _with_gates(lines)
     # The generators take expressions, not columns: for a plain column Spark would infer a size() filter and
     # evaluate the whole column once more for it.
     slots = ", ".join(f"CASE WHEN {test} THEN {n} ELSE {NO_SLOT} END" for n, test in tests.items())
@@ -183,6 +219,8 @@ def detect(
     # `late` goes below the generator: nothing above it then carries the columns it is made from.
     rows = hits.select(*keep, *(c.alias(n) for n, c in late.items()), "slot", "line", *([name] if name and name not in keep else []))
     rows = rows.select(*keep, *late, "slot", F.posexplode(matches).alias("match_pos", "matched"))
+    if python:
+        rows = rows.unionByName(_by_python(plain, python, name, late, keep, distinct))
     if not entropy:
         return rows.withColumn("entropy", F.lit(None).cast("double"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keysift.config import AuditConfig, config_from_json, load_config, override
-from keysift.functions.regex import to_java
+from keysift.functions.regex import python_length, to_java
 from keysift.operators.detect import detect
 from keysift.rules.anchors import ANCHORS, GATES
 from keysift.rules.catalog import BUILTIN_RULES, FILE_NAME_RULES, KEYWORD_RULE_ID, RISKS
@@ -138,9 +138,46 @@ def test_a_rule_keeps_its_own_gate(spark):
 
 def test_left_out_rules_are_told(spark):
     config = replace(AuditConfig(), custom_rules=tuple(custom_rule({"id": i, "pattern": p}) for i, p in (("A", "(x"), ("B", r"(a)?(?(1)b|c)"), ("C", "x"))))
-    assert [rule for rule, _ in rule_problems(spark, config)] == ["A", "B"]
-    with pytest.warns(UserWarning, match="rule B is left out"):
-        assert [rule.id for rule in active_rules(spark, config)][-1] == "C"
+    assert [rule for rule, _ in rule_problems(spark, config)] == ["A"]
+    with pytest.warns(UserWarning, match="rule A is left out"):
+        assert [rule.id for rule in active_rules(spark, config)][-2:] == ["B", "C"]
+
+
+PYTHON_ONLY = [
+    r"k=(?:ab)+c", r"(?:ab)+c", r"(a)?(?(1)b|c)", r"(?:ab){2,5000}", r"(?:ab){1500}", r"(?:a|bc)*?c", r"((?:ab)+c)+", r"(?=(?:ab)+c)a", r"(?>(?:ab)+)c",
+    r"(?:(a)|b)+(?(1)c|d)", r"(?:a*b)+c", r"ab+c",
+]
+
+
+def test_groups_are_repeated_without_a_bound(spark):
+    """As many rounds as the line holds, conditions on groups, and both sides of the length at which Python takes over."""
+    lines = ["k=" + "ab" * n + "c" for n in (1, 998, 999, 1000, 1001, 1500)] + ["ab" * n for n in (999, 1000, 2000)] + ["abcbcc", "", "bd"]
+    rules = [custom_rule({"id": f"OWN-{n}", "pattern": p}) for n, p in enumerate(PYTHON_ONLY)]
+    table = spark.createDataFrame(list(enumerate(lines)), "n INT, line STRING")
+    off = replace(AuditConfig(), enable_entropy=False)
+    for distinct in (False, True):
+        found = detect(table, rules, off, entropy=False, keep=("n",), distinct=distinct).collect()
+        got = {}
+        for row in sorted(found, key=lambda r: r["match_pos"]):
+            got.setdefault((row["n"], row["slot"]), []).append(row["matched"])
+        for n, line in enumerate(lines):
+            for slot, pattern in enumerate(PYTHON_ONLY):
+                wanted = [m.group(0) for m in re.finditer(pattern, line)]
+                assert got.get((n, slot), []) == (list(dict.fromkeys(wanted)) if distinct else wanted), (pattern, line[:20], len(line))
+
+
+def test_very_many_rounds(spark):
+    table = spark.createDataFrame([("k=" + "ab" * 100_000 + "c",)], "line STRING")
+    rules = [custom_rule({"id": "OWN", "pattern": r"k=(?:ab)+c"})]
+    found = detect(table, rules, replace(AuditConfig(), enable_entropy=False), entropy=False).collect()
+    assert [len(row["matched"]) for row in found] == [200_003]
+
+
+def test_built_in_rules_need_no_python(spark):
+    assert all(python_length(rule.pattern) is None for rule in BUILTIN_RULES)
+    lines = spark.createDataFrame([("x",)], "line STRING")
+    plan = detect(lines, BUILTIN_RULES, AuditConfig(), entropy=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Arrow" not in plan
 
 
 def test_lines_without_a_match_are_not_spread(spark):
