@@ -31,15 +31,41 @@ def distinct_chars(text: Column) -> Column:
     return F.array_distinct(F.split(text, ""))
 
 
+LONG_CHARS = 1000  # from here on, characters are sorted and counted in one pass
+
+
+def _entropy_by_runs(text: Column) -> Column:
+    """Bits per character of a long text, by the runs of its sorted characters."""
+    def bits(so_far: Column) -> Column:
+        share = so_far["run"] / so_far["size"]
+        return F.when(so_far["run"] == 0, so_far["bits"]).otherwise(so_far["bits"] - share * F.log2(share))
+
+    def step(so_far: Column, char: Column) -> Column:
+        same = char == so_far["char"]
+        return F.struct(
+            char.alias("char"), F.when(same, so_far["run"] + 1).otherwise(1).alias("run"), so_far["size"].alias("size"),
+            F.when(same, so_far["bits"]).otherwise(bits(so_far)).alias("bits"),
+        )
+
+    start = F.struct(F.lit("").alias("char"), F.lit(0).alias("run"), F.length(text).alias("size"), F.lit(0.0).alias("bits"))
+    return F.aggregate(F.array_sort(F.split(text, "")), start, step, bits)
+
+
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character; characters are summed in the order of their first occurrence."""
+    """Bits per character.
+
+    Characters are summed in the order of their first occurrence, those of a text of ``LONG_CHARS`` and more in order
+    of their codes, which takes no longer for many distinct ones.  The two sums differ by less than 1e-12 up to some
+    hundred distinct characters, and by the rounding of so many terms beyond (5e-12 with 20,000).
+    """
     size = F.length(text)
 
     def add(bits: Column, char: Column) -> Column:
         share = (size - F.length(F.replace(text, char, F.lit("")))) / size
         return bits - share * F.log2(share)
 
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.aggregate(distinct_chars(text), F.lit(0.0), add))
+    short = F.aggregate(distinct_chars(text), F.lit(0.0), add)
+    return F.when(size == 0, F.lit(0.0)).when(size >= LONG_CHARS, _entropy_by_runs(text)).otherwise(short)
 
 
 def _above(value: Column, halves: Column, scale: int) -> Column:

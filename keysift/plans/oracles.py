@@ -716,5 +716,6 @@ ORACLES["sink_switch"] = with_(_FILES_ONLY, ("n", "SELECT count(*) AS findings F
     f"SELECT '{kind}' AS report, {section} AS section, CAST({blocks} AS BIGINT) AS blocks FROM n"
     for kind, section, blocks in (
         ("markdown", 0, 1), ("markdown", 1, "findings"), ("markdown", 2, 1), ("markdown", 3, "findings"), ("text", 0, 1), ("text", 1, "findings"),
+        ("json", 0, 1), ("json", 1, "findings"), ("json", 2, 1),
     )
 )

@@ -29,6 +29,8 @@ from keysift.operators.findings import (
 )
 from keysift.operators.lines import decode_text, explode_lines, is_binary, line_count
 from keysift.operators.scan import (
+    FINDING_COLUMNS,
+    empty_findings,
     scan_counts,
     scan_files,
     scan_patches,
@@ -39,7 +41,7 @@ from keysift.operators.scan import (
 from keysift.plans import corpus as inputs
 from keysift.plans.audit import all_findings, run_audit, stats_row
 from keysift.plans.settle import settle
-from keysift.rules.catalog import BUILTIN_RULES, ENTROPY_ID, FILE_AUDIT_ID, KEYWORD_RULE_ID, Rule
+from keysift.rules.catalog import BUILTIN_RULES, ENTROPY_ID, FILE_AUDIT_ID, KEYWORD_RULE_ID, RISKS, Rule
 from keysift.rules.resolve import active_rules, custom_rule, enabled, rules_table
 from keysift.sinks import reports
 from keysift.sources.files import in_open_dirs, is_included, is_kept, is_target, list_files, path_suffix, rel_path
@@ -539,6 +541,9 @@ def scan_elapsed(spark, sf_dir):
     return stats.select("files_scanned", "lines_scanned", (F.col("elapsed_time_seconds") > 0).alias("timed"))
 
 
+STATS = ("files_scanned", "lines_scanned", "total_findings", "suspicious_lines", *(f"{risk.lower()}_count" for risk in RISKS))
+
+
 # ---- Sinks -------------------------------------------------------------------------------------------------
 def _stats(spark: SparkSession, sf_dir: str, findings: DataFrame) -> DataFrame:
     return stats_row(_counts(spark, sf_dir), finding_stats(findings), ELAPSED)
@@ -557,21 +562,25 @@ QUERIES["sink_text"] = _report(reports.text_rows)
 QUERIES["sink_html_cards"] = _report(reports.html_rows)
 
 
+def _json_rows(spark: SparkSession, sf_dir: str, section: int) -> DataFrame:
+    return _report(reports.json_rows)(spark, sf_dir).filter(F.col("section") == section)
+
+
 @query
 def sink_json(spark, sf_dir):
-    """The findings' JSON lines, read back."""
-    findings = reports.json_findings(_audited(spark, sf_dir))
-    value = F.to_json(F.struct(*findings.columns), {"ignoreNullFields": "false"})
-    return _slim(findings.select(F.from_json(value, findings.schema).alias("finding")).select("finding.*"))
+    """The findings of the JSON report, read back."""
+    value = F.ltrim("value", F.lit(","))
+    rows = _json_rows(spark, sf_dir, 1).select(F.from_json(value, empty_findings(spark).select(*FINDING_COLUMNS).schema).alias("finding"))
+    return _slim(rows.select("finding.*"))
 
 
 @query
 def sink_json_summary(spark, sf_dir):
-    """The summary's JSON, read back."""
-    report = reports.json_report(_stats(spark, sf_dir, _audited(spark, sf_dir)), "corpus", TIMESTAMP)
-    value = report.select(F.to_json(F.struct(*report.columns)).alias("value"))
-    read = value.select(F.from_json("value", report.schema).alias("report"))
-    return read.select("report.scanned_path", "report.scan_timestamp", "report.stats.*")
+    """The head of the JSON report, closed and read back."""
+    stats = "struct<" + ", ".join(f"{c}: bigint" for c in STATS) + ", elapsed_time_seconds: double>"
+    value = F.concat(F.col("value"), F.lit("]}"))
+    head = _json_rows(spark, sf_dir, 0).select(F.from_json(value, f"scanned_path string, scan_timestamp string, stats {stats}").alias("report"))
+    return head.select("report.scanned_path", "report.scan_timestamp", "report.stats.*")
 
 
 @query

@@ -79,13 +79,15 @@ def test_reports(audit, tmp_path, capsys):
     html = _text(out / "report-html")
     assert html.count("<article id=") == total and "line 24 &lt;b&gt;&amp;" in html and "<b>&" not in html
     assert '<pre class="around" data-line="25">' in html and "<dt>commit<dd>abababab (Ann, today)" in html
-    rows = [json.loads(line) for line in _text(out / "report-json" / "findings").splitlines()]
+    report = json.loads(_text(out / "report-json"))
+    assert list(report) == ["scanned_path", "scan_timestamp", "stats", "findings"] and report["scan_timestamp"] == "2024-01-01 00:00:00"
+    rows = report["findings"]
+    assert [r["risk_level"] for r in rows] == [r["risk_level"] for r in number_findings(audit.findings).orderBy("idx").collect()]
     assert len(rows) == total and set(rows[0]) == {
         "finding_type", "risk_level", "description", "file_path", "line_number", "matched_string", "recommendation", "context",
         "commit_hash", "author", "date", "entropy", "rule_id"}
     assert rows[0]["risk_level"] == "Critical" and rows[0]["commit_hash"] is None
-    summary = json.loads(_text(out / "report-json" / "summary"))
-    assert summary["stats"]["total_findings"] == total
+    assert report["stats"]["total_findings"] == total and report["stats"]["files_unread"] == 0
     print_summary(audit)
     shown = capsys.readouterr().out
     assert f"{total} findings on" in shown and " 1 Critical server.pem:1" in shown and "Private Key Header" in shown
@@ -109,7 +111,7 @@ def test_clean_input(spark, tmp_path):
     assert (stats["files_scanned"], stats["lines_scanned"], stats["total_findings"]) == (2, 1, 0)
     out = Path(write_reports(audit, str(tmp_path)))
     assert NO_FINDINGS in _text(out / "report-markdown") and "| Place |" not in _text(out / "report-markdown")
-    assert NO_FINDINGS in _text(out / "report-html")
+    assert NO_FINDINGS in _text(out / "report-html") and json.loads(_text(out / "report-json"))["findings"] == []
 
 
 def test_output_folder(audit, project, tmp_path):

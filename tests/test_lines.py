@@ -68,6 +68,15 @@ def test_entropy(spark):
         assert found == pytest.approx(brute.entropy(value), abs=1e-12)
 
 
+def test_entropy_of_long_texts(spark):
+    """Many distinct characters and a long run: linear, and within the slack of the sum in order of occurrence."""
+    rng = random.Random(2)
+    values = ["".join(chr(rng.randrange(0x4E00, 0x4E00 + kinds)) for _ in range(size)) for kinds, size in ((300, 20_000), (20_000, 100_000), (3, 1000))]
+    values += ["x" * 10**6, "ab" * 500, "".join(chr(0x100 + n) for n in range(999)), "".join(chr(0x100 + n) for n in range(1001))]
+    for value, found in zip(values, _column(spark, values, "STRING", shannon_entropy)):
+        assert found == pytest.approx(brute.entropy(value), abs=1e-12 if len(set(value)) <= 300 else 1e-11)
+
+
 def test_small_functions(spark):
     assert _column(spark, [0.0, 0.0123, 0.9994, 1.0, 59.994, 60.0, 3725.25], "DOUBLE", format_duration) == [
         "0.0 ms", "12.3 ms", "999.4 ms", "1.00 s", "59.99 s", "1m 0.0s", "62m 5.2s"]
