@@ -2,56 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 BLOCK_LINES = 64
 MOST_BLOCKS = 500_000  # of lines near hits, to be broadcast
 
 
-def near_hits(hits: DataFrame, lines: DataFrame, size: int) -> DataFrame:
-    """The ``lines`` in blocks of ``BLOCK_LINES`` that hold a neighbour of a hit.
+def _blocks(hits: DataFrame, lines: DataFrame, size: int) -> DataFrame:
+    """``(path, block, around)`` of the blocks that hold a hit: their lines and ``size`` more on both sides, in order.
 
     Hits are few beside lines, so their blocks are counted and, up to ``MOST_BLOCKS``, broadcast: then all other
-    lines are dropped where they are read, and only neighbours are shuffled.
+    lines are dropped where they are read, and a line near a hit is shuffled once, or twice near the end of a block.
     """
-    first = F.floor((F.col("line_number") - size) / BLOCK_LINES)
-    last = F.floor((F.col("line_number") + size) / BLOCK_LINES)
-    blocks = hits.select("path", F.explode(F.sequence(first, last)).alias("block")).distinct()
-    if blocks.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS:
-        blocks = F.broadcast(blocks)
-    numbered = lines.withColumn("block", F.floor(F.col("line_number") / BLOCK_LINES))
-    return numbered.join(blocks, ["path", "block"], "left_semi").drop("block")
+    wanted = hits.select("path", "block").distinct()
+    if wanted.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS:
+        wanted = F.broadcast(wanted)
+    place = F.col("line_number") - 1
+    reach = F.sequence(F.floor((place - size) / BLOCK_LINES), F.floor((place + size) / BLOCK_LINES))
+    near = lines.select("path", "line_number", "line", F.explode(reach).alias("block"))
+    near = near.join(wanted, ["path", "block"], "left_semi")
+    around = F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("around")
+    return near.groupBy("path", "block").agg(around)
 
 
 def join_context(hits: DataFrame, lines: DataFrame, size: int = 20) -> DataFrame:
     """Add ``lines_before`` and ``lines_after`` to ``hits(path, line_number, ...)`` from ``lines(path, line_number, line)``.
 
-    A hit asks for its neighbours by line number, so this is an equi-join on (path, line_number): one huge file
-    spreads over all tasks, and a range join is avoided.  A group holds at most ``2 * size`` lines.
+    Lines are gathered once for each block with a hit, however many hits it holds, and a hit cuts its context out of
+    its block: an equi-join on (path, block), so one huge file spreads over all tasks and a row holds
+    ``BLOCK_LINES + 2 * size`` lines at most.
     """
-    lines = near_hits(hits, lines, size)
-    wanted = hits.select("path", "line_number").distinct().withColumn(
-        "near", F.explode(F.sequence(F.col("line_number") - size, F.col("line_number") + size))
-    )
-    wanted = wanted.filter((F.col("near") != F.col("line_number")) & (F.col("near") >= 1))
-    near = lines.select("path", F.col("line_number").alias("near"), "line")
-    gathered = (
-        wanted.join(near, ["path", "near"])
-        .groupBy("path", "line_number")
-        .agg(F.array_sort(F.collect_list(F.struct("near", "line"))).alias("around"))
-    )
-    def side(keep):
-        return F.transform(F.filter("around", lambda x: keep(x["near"])), lambda x: x["line"])
-
-    gathered = gathered.select(
-        "path", "line_number",
-        side(lambda n: n < F.col("line_number")).alias("lines_before"),
-        side(lambda n: n > F.col("line_number")).alias("lines_after"),
-    )
-    none = F.array().cast("array<string>")
-    return (
-        hits.join(gathered, ["path", "line_number"], "left")
-        .withColumn("lines_before", F.coalesce("lines_before", none))
-        .withColumn("lines_after", F.coalesce("lines_after", none))
-    )
+    placed = hits.withColumn("block", F.floor((F.col("line_number") - 1) / BLOCK_LINES))
+    found = placed.join(_blocks(placed, lines, size), ["path", "block"], "left")
+    at = F.col("line_number") - F.get("around", F.lit(0))["line_number"] + 1
+    first = F.greatest(at - size, F.lit(1))
+
+    def cut(start: Column, length: Column) -> Column:
+        part = F.transform(F.slice("around", start, length), lambda x: x["line"])
+        return F.coalesce(part, F.array().cast("array<string>"))
+
+    before, after = cut(first, at - first), cut(at + 1, F.lit(size))
+    return found.select(*(c for c in hits.columns), before.alias("lines_before"), after.alias("lines_after"))
