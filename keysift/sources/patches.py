@@ -7,7 +7,7 @@ follows a line end with ``COMMIT:``.  Stashes are exported the same way, each un
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Line ends of Python's str.splitlines, other than the newline.
 _OTHER_ENDS = r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -16,6 +16,8 @@ _BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *
 _LOG_HEADER = r'(?=--- "?a/|\+\+\+ "?b/)'
 _STASH_HEADER = r'(?=\+\+\+ "?b/)'
 COMMIT_CHARS = 8
+STRETCH = 4096  # rows of a log whose last header is found first
+UNKNOWN = {"commit": "HEAD", "author": "Unknown", "date": "Unknown"}
 
 
 def _read_records(spark: SparkSession, path: str, mark: str) -> DataFrame:
@@ -50,17 +52,43 @@ def _first_line(text: Column) -> Column:
     return F.substring_index(_plain_ends(F.substring_index(text, "\n", 1)), "\n", 1)
 
 
+def _header_meta() -> tuple[Column, Column]:
+    """Commit, author and date of a record's header, and whether it has all three."""
+    parts = F.split(_first_line(F.col("record")), r"\|")
+    values = F.substring(F.get(parts, F.lit(0)), 1, COMMIT_CHARS), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    return F.struct(*(value.alias(name) for name, value in zip(UNKNOWN, values))), F.size(parts) >= 3
+
+
 def commit_meta(records: DataFrame) -> DataFrame:
     """Add ``commit``, ``author`` and ``date`` from the header.  A header of fewer than three parts names none."""
-    parts = F.split(_first_line(F.col("record")), r"\|")
-    whole = F.size(parts) >= 3
-    return records.withColumns(
-        {
-            "commit": F.when(whole, F.substring(F.get(parts, F.lit(0)), 1, COMMIT_CHARS)).otherwise("HEAD"),
-            "author": F.when(whole, F.get(parts, F.lit(1))).otherwise("Unknown"),
-            "date": F.when(whole, F.get(parts, F.lit(2))).otherwise("Unknown"),
-        }
+    meta, whole = _header_meta()
+    return records.withColumns({c: F.when(whole, meta[c]).otherwise(unknown) for c, unknown in UNKNOWN.items()})
+
+
+def carried_meta(records: DataFrame) -> DataFrame:
+    """``commit_meta``, but a header of fewer than three parts keeps the values of the last whole one in its log.
+
+    Records are ordered by block and row.  The last whole header of each stretch of ``STRETCH`` rows goes to the
+    stretches behind it, and only stretches with a short header are looked into; no texts are moved but those of
+    records with a short header.
+    """
+    meta, whole = _header_meta()
+    place, stretch = ["log_file", "log_block", "log_row"], ["log_file", "log_block", "stretch"]
+    slim = records.select(*place, F.floor(F.col("log_row") / STRETCH).alias("stretch"), F.when(whole, meta).alias("meta"))
+    known = F.col("meta").isNotNull()
+    ends = slim.groupBy(*stretch).agg(
+        F.max_by("meta", F.when(known, F.col("log_row"))).alias("last"), F.count_if(~known).alias("short")
+    )
+    so_far = Window.partitionBy("log_file").orderBy("log_block", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("before", F.last("last", ignorenulls=True).over(so_far)).filter("short > 0").select(*stretch, "before")
+    own = Window.partitionBy(*stretch).orderBy("log_row")
+    inside = slim.join(starts, stretch).withColumn("held", F.coalesce(F.last("meta", ignorenulls=True).over(own), "before"))
+    held = inside.filter(~known).select(*place, "held")
+    short = records.filter(~whole).join(held, place, "left").withColumns(
+        {c: F.coalesce(F.col("held")[c], F.lit(unknown)) for c, unknown in UNKNOWN.items()}
     )
+    full = records.filter(whole).withColumns({c: meta[c] for c in UNKNOWN})
+    return full.unionByName(short.select(*full.columns))
 
 
 def stash_meta(records: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from keysift.operators.lines import split_lines
 from keysift.sources.files import listed_files, path_suffix, read_files, rel_path, tree_listing
 from keysift.sources.long_files import range_lines
 from keysift.sources.walk import _lister
+from keysift.sources import patches
 from keysift.sources.patches import commit_meta, file_segments, patch_lines, read_patch_log, read_stash_log, stash_lines
 
 DIGITS = "0123456789abcdef" * 8
@@ -161,6 +162,25 @@ def test_header_of_too_few_parts(spark):
     assert [r["file"] for r in file_segments(records).orderBy("part").collect()] == ["Unknown", "a"]
 
 
+def test_short_headers_of_a_table_keep_the_values_before(spark, monkeypatch):
+    monkeypatch.setattr(patches, "STRETCH", 5)
+    draw = random.Random(4)
+    rows, wanted = [], {}
+    for log in ("f", "g", "h"):
+        held = ("HEAD", "Unknown", "Unknown")
+        for block in (0, 7):
+            for row in sorted(draw.sample(range(200), 60)):
+                whole = draw.random() < (0.1 if log == "h" else 0.7)
+                held = (f"{row:08}", "Ann", f"d{block}") if whole else held
+                rows.append((log, block, row, f"{row:08}abc|Ann|d{block}\n+x" if whole else "short|one\n+x"))
+                wanted[log, block, row] = held
+    draw.shuffle(rows)
+    records = spark.createDataFrame(rows, "log_file STRING, log_block BIGINT, log_row BIGINT, record STRING")
+    found = patches.carried_meta(records).collect()
+    assert {(r["log_file"], r["log_block"], r["log_row"]): (r["commit"], r["author"], r["date"]) for r in found} == wanted
+    assert len(found) == len(rows) and patches.carried_meta(records.limit(0)).count() == 0
+
+
 def test_history_findings(spark, tmp_path):
     (tmp_path / "log.txt").write_bytes(LOG.encode())
     found = scan_patches(patch_lines(read_patch_log(spark, str(tmp_path / "log.txt"))), AuditConfig())
