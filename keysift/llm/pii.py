@@ -7,9 +7,12 @@ modulo its radix, so any number of rounds is a permutation of the values of that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from hashlib import sha256
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROUNDS = 10
+HMAC_BLOCK, HMAC_PADS = 64, (0x36, 0x5C)  # fixed values of HMAC with SHA-256
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)  # the days up to 2099-11-12
 LATE_DAYS = (2344, 1231)  # a format of their own: the days after those, up to 9999-12-31
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -122,15 +125,16 @@ def _parsed(value: Column) -> Column:
     return F.struct(value.alias("value"), kind.alias("kind"), tweak.alias("tweak"), symbols.alias("symbols"), radices.alias("radices"))
 
 
-def _permuted(symbols: Column, radices: Column, tweak: Column, key: Column) -> Column:
+def _permuted(symbols: Column, radices: Column, tweak: Column, pads: Column) -> Column:
     """The symbols after ``ROUNDS`` rounds, alternately of the first half by the second and back."""
     half = F.floor((F.size(symbols) + 1) / 2).cast("int")
     rest = F.size(symbols) - half
 
     def stream(round_: Column, other: Column, i: Column, radix: Column) -> Column:
-        told = F.concat_ws("|", key, tweak, F.size(symbols).cast("string"), round_.cast("string"), i.cast("string"),
+        told = F.concat_ws("|", tweak, F.size(symbols).cast("string"), round_.cast("string"), i.cast("string"),
                            F.array_join(F.transform(other, lambda s: s.cast("string")), ","))
-        return F.conv(F.substring(F.sha2(told, 256), 1, 13), 16, 10).cast("long") % radix
+        inner = F.unhex(F.sha2(F.concat(pads["inner"], F.encode(told, "utf-8")), 256))
+        return F.conv(F.substring(F.sha2(F.concat(pads["outer"], inner), 256), 1, 13), 16, 10).cast("long") % radix
 
     def mixed(own: Column, other: Column, sizes: Column, round_: Column) -> Column:
         return F.transform(own, lambda v, i: (v + stream(round_, other, i, F.get(sizes, i))) % F.get(sizes, i))
@@ -190,9 +194,22 @@ def _written(value: Column, kind: Column, symbols: Column, radices: Column) -> C
     )
 
 
-def pseudonyms(text: Column, key: str) -> Column:
-    """``array<struct<value, kind, pseudonym>>``: the validated values in ``text`` in order; others have no pseudonym."""
-    secret = F.lit(key)
+def key_pads(spark: SparkSession, key: str) -> Column:
+    """``struct<inner, outer>``: the key as the two blocks that HMAC-SHA-256 begins its digests with.
+
+    They are a table of one row that a subquery reads, and no literals, so no plan, page or event log shows them.
+    """
+    secret = key.encode()
+    block = (sha256(secret).digest() if len(secret) > HMAC_BLOCK else secret).ljust(HMAC_BLOCK, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block).hex() for pad in HMAC_PADS)
+    return spark.sql(f"SELECT struct(inner, outer) FROM VALUES (X'{inner}', X'{outer}') AS pads(inner, outer)").scalar()
+
+
+def pseudonyms(text: Column, pads: Column) -> Column:
+    """``array<struct<value, kind, pseudonym>>``: the validated values in ``text`` in order; others have no pseudonym.
+
+    ``pads`` is a column of ``key_pads``.
+    """
     # Most texts hold neither a digit nor a mail address; one cheap look spares them the formats.
     found = F.when(text.rlike("[0-9@]") & text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     parsed = F.transform(found, _parsed)
@@ -200,7 +217,7 @@ def pseudonyms(text: Column, key: str) -> Column:
         parsed,
         lambda p: F.struct(
             p["value"].alias("value"), p["kind"].alias("kind"), p["radices"].alias("radices"),
-            F.when(p["symbols"].isNotNull(), _permuted(p["symbols"], p["radices"], p["tweak"], secret)).alias("symbols"),
+            F.when(p["symbols"].isNotNull(), _permuted(p["symbols"], p["radices"], p["tweak"], pads)).alias("symbols"),
         ),
     )
     return F.transform(
@@ -222,10 +239,16 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     of one format have different ones.  Values that fail their validation, and everything else, stay as they are.
 
     A null text stays null and has no values; empty texts, repeated rows and empty tables are what they are.  A
-    column ``found`` of the input is replaced; all others, whatever their names, are kept.
+    column ``found`` of the input is replaced; all others, whatever their names, are kept.  Texts of any length are
+    worked whole.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("found", pseudonyms(text, key))
+    # Lambdas take no subquery, so the key is a column of its own while it is needed.
+    pads = "pads"
+    while pads in (c.lower() for c in docs.columns):
+        pads += "_"
+    rows = docs.withColumn(pads, key_pads(docs.sparkSession, key))
+    rows = rows.withColumn("found", pseudonyms(text, F.col(pads))).drop(pads)
     between = F.split(text, ANY, -1)
     new = F.transform("found", lambda f: F.coalesce(f["pseudonym"], f["value"]))
     rebuilt = F.array_join(F.zip_with(between, new, lambda b, n: F.concat(b, F.coalesce(n, F.lit("")))), "")

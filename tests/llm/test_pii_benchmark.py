@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 import random
 import re
 from datetime import date, timedelta
@@ -20,8 +21,8 @@ def feistel(symbols, radices, tweak, key):
     a, b, ra, rb = symbols[:half], symbols[half:], radices[:half], radices[half:]
 
     def stream(number, other, i, radix):
-        told = "|".join([key, tweak, str(len(symbols)), str(number), str(i), ",".join(map(str, other))])
-        return int(hashlib.sha256(told.encode()).hexdigest()[:13], 16) % radix
+        told = "|".join([tweak, str(len(symbols)), str(number), str(i), ",".join(map(str, other))])
+        return int(hmac.digest(key.encode(), told.encode(), "sha256").hex()[:13], 16) % radix
 
     for number in range(ROUNDS):
         if number % 2 == 0:
@@ -127,6 +128,22 @@ def test_no_phone_of_documents_stays(spark, scale):
     assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(set(pairs))
 
 
+def test_key_is_not_told(spark, capsys):
+    """Neither the key nor what HMAC makes of it stands in a plan; a key longer than a block counts whole."""
+    docs = spark.createDataFrame([(1, "call +1 (988) 555-2485", "x")], "doc_id long, text string, Pads string")
+    for key in ("corpus-2024", "k" * 100):
+        rows = pseudonymise(docs, key)
+        rows.explain(True), rows.explain("formatted")
+        plan = capsys.readouterr().out + rows._jdf.queryExecution().toString()
+        block = (hashlib.sha256(key.encode()).digest() if len(key) > 64 else key.encode()).ljust(64, b"\0")
+        for secret in (key.encode(), *(bytes(b ^ pad for b in block) for pad in (0x36, 0x5C))):
+            assert all(told not in plan.lower() for told in (repr(secret)[2:-1].lower(), secret.hex()[:16], str(list(secret))[1:20]))
+        moved = plain_phone("9885552485", key)
+        row = rows.first()
+        assert rows.columns == ["doc_id", "text", "Pads", "found"] and row["Pads"] == "x"
+        assert row["text"] == f"call +1 ({moved[:3]}) {moved[3:6]}-{moved[6:]}"
+
+
 def test_permutation(spark):
     """All values of a small format are taken once each."""
     texts = [f"{a}@x.org" for a in ["%02d" % i for i in range(100)]]
