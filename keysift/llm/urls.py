@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from keysift.llm.graph import connected_components
 from keysift.llm.shared import join_groups, settled
 
-MOST_RULES = 500
+EXPRESSION_RULES = 500  # more than these are joined as a table, with the same results
 
 
 @dataclass(frozen=True)
@@ -97,20 +97,71 @@ def page_links(url: Column, html: Column) -> Column:
     return F.array_compact(F.transform(F.coalesce(targets, F.array().cast("array<string>")), lambda t: _absolute(t, url)))
 
 
-def rule_index(host: Column, path: Column, rules: list[UrlRule]) -> Column:
-    """Place among ``rules`` of the one that decides: the longest that fits; of equally long ones an allowing one."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    order = sorted(range(len(rules)), key=lambda i: (-len(str(rules[i])), rules[i].verdict != "allow", str(rules[i])))
+def _in_order(rules: list[UrlRule]) -> list[UrlRule]:
+    """The rules from the one that decides first: longer ones, of equally long ones those that allow."""
+    return sorted(rules, key=lambda r: (-len(str(r)), r.verdict != "allow", str(r)))
+
+
+def rule_for(host: Column, path: Column, rules: list[UrlRule]) -> Column:
+    """``struct<rule, verdict>`` of the first of ``rules`` that fits, or null."""
 
     def fits(rule: UrlRule) -> Column:
         return ((host == rule.host) | host.endswith(f".{rule.host}")) & path.startswith(rule.path)
 
-    return F.coalesce(*(F.when(fits(rules[i]), F.lit(i)) for i in order), F.lit(None).cast("int"))
+    told = (F.when(fits(r), F.struct(F.lit(str(r)).alias("rule"), F.lit(r.verdict).alias("verdict"))) for r in rules)
+    return F.coalesce(*told, F.lit(None).cast("struct<rule: string, verdict: string>"))
+
+
+def _grouped(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """The distinct keys with their counts as ``n``, and the number of rows."""
+    return settled(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "keys"), rows.count()
 
 
-def _named(index: Column, values: list[str]) -> Column:
-    return F.get(F.array(*map(F.lit, values)).cast("array<string>"), index)
+def _matched(rows: DataFrame, told: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what ``told``, one row for each of the keys, says, whatever share of them has one key."""
+    counts, total = _grouped(rows, keys)
+    return settled(join_groups(rows, settled(counts.join(told, keys), "told"), keys, "n", total).drop("n"), "matched")
+
+
+def rules_by_join(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
+    """``(host, path, by)`` of the distinct urls that one of ``rules`` fits: rule and verdict of the first that does.
+
+    Hosts meet the hosts of rules by their endings, then paths meet the paths of those rules by their beginnings,
+    of such lengths only as the rules of that host have.
+    """
+    named = [(r.host, r.path, i, str(r), r.verdict) for i, r in enumerate(rules)]
+    table = urls.sparkSession.createDataFrame(named, "ending string, beginning string, place int, rule string, verdict string")
+    first = F.min(F.struct("place", "rule", "verdict")).alias("first")
+    table = settled(table.groupBy("ending", "beginning").agg(first), "rules")
+    lengths = table.groupBy("ending").agg(F.collect_set(F.length("beginning")).alias("lengths"))
+    deepest = max(r.host.count(".") for r in rules) + 1
+    asked = settled(urls.select("host", "path").distinct(), "asked")
+    labels = F.split("host", r"\.")
+    # A host has few endings, at most as many as the host of a rule has labels.
+    endings = F.transform(
+        F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda k: F.array_join(F.slice(labels, -k, k), ".")
+    )
+    hosts = asked.select("host").distinct().select("host", F.explode(endings).alias("ending"))
+    known = _matched(hosts, lengths, ["ending"]).groupBy("host").agg(F.collect_list(F.struct("ending", "lengths")).alias("known"))
+    begun = (
+        _matched(asked, known, ["host"]).select("host", "path", F.explode("known").alias("one"))
+        .select("host", "path", F.col("one.ending").alias("ending"), F.explode("one.lengths").alias("length"))
+        .filter(F.length("path") >= F.col("length"))
+        .select("host", "path", "ending", F.substring("path", F.lit(1), F.col("length")).alias("beginning"))
+    )
+    found = _matched(settled(begun, "begun"), table, ["ending", "beginning"])
+    best = found.groupBy("host", "path").agg(F.min("first").alias("first"))
+    return settled(best.select("host", "path", F.struct("first.rule", "first.verdict").alias("by")), "ruled")
+
+
+def _ruled(rows: DataFrame, rules: list[UrlRule]) -> DataFrame:
+    """``rows`` with ``by``, rule and verdict of the first of ``rules`` that fits their ``host`` and ``path``, or null."""
+    if len(rules) <= EXPRESSION_RULES:
+        return rows.withColumn("by", rule_for(F.col("host"), F.col("path"), rules))
+    rows = settled(rows, "unruled")
+    counts, total = _grouped(rows, ["host", "path"])
+    told = settled(counts.join(rules_by_join(counts, rules), ["host", "path"]), "told")
+    return join_groups(rows, told, ["host", "path"], "n", total, "left").drop("n")
 
 
 def filter_urls(
@@ -131,19 +182,18 @@ def filter_urls(
     ``component`` is the smallest url of the component, null for a page without aliases.
 
     A null url, or one without ``://``, has an empty host and path and no aliases; null html has no links.
-    Repeated rows are judged each; an empty table gives an empty result; extra columns are not read.
+    Repeated rows are judged each; an empty table gives an empty result; extra columns are not read.  Urls and html of
+    any length are read whole, and there may be any number of rules.
     """
-    verdicts, names = [r.verdict for r in rules], [str(r) for r in rules]
+    rules = _in_order(rules)
     url = F.col(url_col)
     judged = pages.select(
-        F.col(id_col).alias("key"), url_host(url).alias("host"), url_path(url).alias("path"),
+        F.col(id_col).alias("key"), F.coalesce(url_host(url), F.lit("")).alias("host"), F.coalesce(url_path(url), F.lit("")).alias("path"),
         plain_url(F.coalesce(url, F.lit(""))).alias("node"), canonical_url(F.coalesce(url, F.lit(""))).alias("canonical"),
         F.transform(page_links(url, F.col(html_col)),
                     lambda to: F.struct(plain_url(to).alias("node"), canonical_url(to).alias("canonical"))).alias("links"),
     )
-    judged = settled(
-        judged.withColumn("index", rule_index(F.coalesce("host", F.lit("")), F.coalesce("path", F.lit("")), rules)), "urls"
-    )
+    judged = settled(_ruled(judged, rules), "urls")
     # Rules are read off urls as they are given, so those stay nodes beside their canonical forms.
     links = judged.select("canonical", F.explode("links").alias("to"))
     edges = judged.filter("node != canonical").select(F.col("node").alias("a"), F.col("canonical").alias("b"))
@@ -158,7 +208,8 @@ def filter_urls(
     members = settled(connected_components(edges.filter("a != '' AND b != ''")), "components")
     # A node is an url without its scheme, so its own host and path tell which rule fits it.
     at = F.concat(F.lit("x://"), F.col("node"))
-    ruled = members.withColumn("said", _named(rule_index(url_host(at), url_path(at), rules), verdicts))
+    placed = members.select("component", url_host(at).alias("host"), url_path(at).alias("path"))
+    ruled = _ruled(placed, rules).select("component", F.col("by.verdict").alias("said"))
     opinions = ruled.groupBy("component").agg(
         F.count(F.lit(1)).alias("size"),
         F.when(F.max(F.col("said") == "allow"), "allow").when(F.max(F.col("said") == "block"), "block").alias("shared"),
@@ -168,8 +219,6 @@ def filter_urls(
     told = settled(asked.join(told, "node"), "decisions")
     found = join_groups(judged, told, ["node"], "n", judged.count(), "left")
     return found.select(
-        F.col("key").alias(id_col), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"),
-        _named(F.col("index"), names).alias("rule"),
-        F.coalesce(_named(F.col("index"), verdicts), F.col("shared"), F.lit(default)).alias("verdict"),
-        "component",
+        F.col("key").alias(id_col), "host", "path", F.col("by.rule").alias("rule"),
+        F.coalesce(F.col("by.verdict"), F.col("shared"), F.lit(default)).alias("verdict"), "component",
     )

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from keysift.llm import shared
+from keysift.llm import shared, urls
 from keysift.llm.graph import connected_components
 from keysift.llm.urls import UrlRule, filter_urls, page_links
 
@@ -117,3 +117,35 @@ def test_page_links(spark):
     assert [found[i] for i in range(len(cases))] == [[want] if want else [] for _, want in cases]
     assert found[100] == [f"http://a.org/x/{i}" for i in (1, 2, 3)] + ["http://a.org/4"]
     assert (found[101], found[102], found[103]) == (["http://a.org/b"], [], [])
+
+
+def test_many_rules(spark):
+    """Rules as a table decide as one after the other do, whatever shares of urls and rules one host has."""
+    draw = random.Random(9)
+    names = ["com", "a.com", "b.a.com", "net", "x.net", "", "c.b.a.com", "org."]
+    paths = ["/", "/x", "/x/", "/x/y/z", "", "/é/"]
+    rules = [urls.UrlRule(draw.choice(["allow", "block"]), draw.choice(names), draw.choice(paths)) for _ in range(60)]
+    rules += [urls.UrlRule("block", "com", f"/many/{i}/") for i in range(700)] + [urls.UrlRule("block", "bad.io")]
+    hosts = [*names, "d.c.b.a.com", "acom", "www.com", "com.net", "q.org", "q.org.", "..", "A.com"]
+    pages = [
+        (i, f"http://{draw.choice(hosts)}{draw.choice([*paths, '/many/5/q', '/many/699/', '/x/y', '/é/1'])}{draw.choice(['', '?q', '#f'])}", None, 0)
+        for i in range(500)
+    ]
+    pages += [(500 + i, "http://www.com/x/", '<link rel=canonical href="//net/x/y/z">', 0) for i in range(300)]
+    pages += [(1000, None, None, 0), (1001, "none", None, 0), (1002, "http://plain.io/", '<link rel=canonical href="//w.bad.io/1">', 0)]
+    table = spark.createDataFrame(pages, PAGES)
+
+    def judge(row):
+        rest = (row["url"] or "").partition("://")[2].split("?")[0].split("#")[0]
+        host, _, path = rest.partition("/")
+        host, path = host.lower(), "/" + path if "/" in rest else ""
+        fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = min(fit, key=lambda r: (-len(str(r)), r.verdict != "allow", str(r)), default=None)
+        return best and (str(best), best.verdict)
+
+    found = {r["page_id"]: r for r in filter_urls(table, rules).collect()}
+    assert len(found) == len(pages)
+    for row in table.collect():
+        want, got = judge(row), found[row["page_id"]]
+        assert (got["rule"], want and got["verdict"]) == (want or (None, None)), row
+    assert (found[1002]["rule"], found[1002]["verdict"]) == (None, "block")
