@@ -197,7 +197,7 @@ def _written(value: Column, kind: Column, symbols: Column, radices: Column) -> C
 def key_pads(spark: SparkSession, key: str) -> Column:
     """``struct<inner, outer>``: the key as the two blocks that HMAC-SHA-256 begins its digests with.
 
-    They are a table of one row that a subquery reads, and no literals, so no plan, page or event log shows them.
+    They are a table of one row that a subquery reads, and no literals, so plans do not show them.
     """
     secret = key.encode()
     block = (sha256(secret).digest() if len(secret) > HMAC_BLOCK else secret).ljust(HMAC_BLOCK, b"\0")
