@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from keysift.llm.graph import connected_components
 from keysift.llm.hashing import mixed, told_apart
@@ -18,6 +19,7 @@ COORDINATES = BAND_ROWS * BANDS
 PART_BYTES = 4 << 20
 BLOCK_ROWS = 1_000
 BLOCK_SHINGLES = 1_000_000
+HUBS = 4
 _SEEDS = np.random.default_rng(44).integers(1, 2**64, 2 * COORDINATES + 64, np.uint64) | np.uint64(1)
 _EMPTY = np.uint64(2**64 - 1)
 _PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -121,11 +123,22 @@ def _sketch(batches, width: int):
             )
 
 
+def _known(table: pa.Table) -> np.ndarray:
+    """The first row each row is connected with already, by its ``label``."""
+    codes = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+    return _first(codes)
+
+
+def _first(codes: np.ndarray) -> np.ndarray:
+    _, first, of = np.unique(codes, return_index=True, return_inverse=True)
+    return first[of]
+
+
 class _Stars:
     """Which rows of a task are connected; a row's label is the smallest row it is connected with."""
 
-    def __init__(self, count: int):
-        self.label = np.arange(count)
+    def __init__(self, known: np.ndarray):
+        self.known, self.label = known, known.copy()
 
     def join(self, rows: np.ndarray) -> None:
         labels = np.unique(self.label[rows])
@@ -133,7 +146,9 @@ class _Stars:
             self.label[np.isin(self.label, labels[1:])] = labels[0]
 
     def edges(self, names: pa.Array) -> pa.Table:
-        ends = np.flatnonzero(self.label != np.arange(len(self.label)))
+        """What is new: one edge for each row that stood for others before and no longer does."""
+        every = np.arange(len(self.label))
+        ends = np.flatnonzero((self.known == every) & (self.label != every))
         return pa.table({"a": names.take(pa.array(ends)), "b": names.take(pa.array(self.label[ends]))}).cast(_PAIRS)
 
 
@@ -161,13 +176,13 @@ def _candidates(table: pa.Table, least: int) -> pa.Table:
     One member after another is held against those it is not connected with, until the bucket is one star or all
     have had their turn; in a group of near copies the first few connect the rest.
     """
-    names = table["name"].combine_chunks()
+    names, known = table["name"].combine_chunks(), _known(table)
     codes = names.dictionary_encode().indices.to_numpy()
     sketch = _grid(b"".join(table["sketch"].to_pylist()), names)
     edges = [np.zeros((2, 0), np.int64)]
     for rows in _groups(table, ["bucket", "x", "y"]):
         rows = rows[np.unique(codes[rows], return_index=True)[1]]
-        label = np.arange(len(rows))
+        label = _first(known[rows])
         for at in range(len(rows) - 1):
             rest = at + 1 + np.flatnonzero(label[at + 1 :] != label[at])
             near = rest[_alike(sketch, rows[at], rows[rest]) >= least] if len(rest) else rest
@@ -186,7 +201,7 @@ def _verified(table: pa.Table, least: int, percent: int) -> pa.Table:
     sketch = _grid(b"".join(table["sketch"].to_pylist()), names)
     offsets, values = shingles.offsets.to_numpy(), shingles.values.to_numpy()
     sizes = np.diff(offsets)
-    stars = _Stars(len(names))
+    stars = _Stars(_known(table))
 
     def linked(a: int, b: int) -> bool:
         both = np.concatenate([values[offsets[a] : offsets[a + 1]], values[offsets[b] : offsets[b + 1]]])
@@ -199,6 +214,7 @@ def _verified(table: pa.Table, least: int, percent: int) -> pa.Table:
         for at, one in enumerate(rows[:-1].tolist()):
             rest = rows[at + 1 :]
             rest = rest[100 * np.minimum(sizes[one], sizes[rest]) >= percent * np.maximum(sizes[one], sizes[rest])]
+            rest = rest[stars.label[rest] != stars.label[one]]
             equal = _alike(sketch, one, rest)
             likely = equal >= least
             pairs.append(np.stack([equal[likely], np.full(likely.sum(), one), rest[likely]]).astype(np.int32))
@@ -213,19 +229,80 @@ def _verified(table: pa.Table, least: int, percent: int) -> pa.Table:
     return stars.edges(names)
 
 
-def _in_blocks(rows: DataFrame, groups: DataFrame, group: str, total: int, weight: str) -> DataFrame:
-    """``rows`` once for each pair of blocks they are in, as ``x <= y``, and ``task`` to deal them out by.
+def _blocks(rows: str, weight: str) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(weight) / BLOCK_SHINGLES)).cast("int")
+
+
+def _near_hubs(rows: DataFrame, hubs: DataFrame, group: str, seed: int) -> DataFrame:
+    """``rows`` in the block each is dealt to this time, and the hubs of their group in all its blocks."""
+    own = F.pmod(F.xxhash64("name", F.lit(seed)), F.col("blocks")).cast("int")
+    there = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    rows = rows.join(hubs.withColumn("hub", F.lit(True)), [group, "name"], "left")
+    return rows.withColumn("x", F.explode(there)).withColumn("y", F.lit(0)).drop("hub")
+
+
+def _rest_with_all(rows: DataFrame) -> DataFrame:
+    """``rows`` so that each one of the rest meets every row of its group, in tasks of two blocks."""
+    own, mine = (F.pmod(F.xxhash64("name", F.lit(n)), F.col(blocks)).cast("int") for n, blocks in enumerate(("blocks", "rest_blocks")))
+    each = [F.sequence(F.lit(0), F.col(blocks) - 1) for blocks in ("rest_blocks", "blocks")]
+    met = F.transform(each[0], lambda y: F.struct(own.alias("x"), y.alias("y")))
+    of_rest = F.transform(each[1], lambda x: F.struct(x.alias("x"), mine.alias("y")))
+    met = F.when(F.col("in_rest"), F.array_union(met, of_rest)).otherwise(met)
+    return rows.select("*", F.inline(met))
+
+
+def _links(rows_of: Callable[[DataFrame], DataFrame], sizes: DataFrame, group: str, weight: Column, tasks: int, work) -> DataFrame:
+    """Edges ``(a, b)`` that connect, in each group of ``sizes(group, size, weight)``, what pairs of its rows connect.
 
-    A group of up to ``BLOCK_ROWS`` rows and ``BLOCK_SHINGLES`` of ``weight`` is one block.  A larger one is split,
-    and each pair of its blocks is work of its own, so a task holds two blocks at most.
+    ``rows_of`` gives the rows of some groups, and ``work`` the edges of a table of rows, each pair of which is held
+    against another if their ``label`` differs.  A group of up to ``BLOCK_ROWS`` rows and ``BLOCK_SHINGLES`` of
+    ``weight`` is one block.  In a larger one every row is first held against ``HUBS`` rows of its group and those of
+    its block, in one round after another, each with new hubs out of the rest, that is what the largest star does
+    not hold yet, as long as this halves the rest.  At last each row of the rest is held against all rows.  Pairs
+    inside a star need no look, so nothing is lost, and near copies of one text are dealt two or three times.
     """
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col(weight) / BLOCK_SHINGLES)).cast("int")
-    rows = join_groups(rows, groups.withColumn("blocks", blocks).select(group, "size", "blocks"), [group], "size", total, merge=True)
-    own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
-                        lambda i: F.struct(F.least(own, i).alias("x"), F.greatest(own, i).alias("y")))
-    rows = rows.select("*", F.inline(pairs)).drop("size")
-    return rows.withColumn("task", F.when(F.col("blocks") == 1, F.xxhash64(group)).otherwise(F.xxhash64(group, "x", "y")))
+    sizes = settled(sizes.withColumn("blocks", _blocks("size", "weight")).select(group, "size", "blocks"), "blocks")
+    pair = "a BINARY, b BINARY"
+    few = rows_of(sizes.filter("blocks = 1")).withColumns({"label": F.col("name"), "x": F.lit(0), "y": F.lit(0)})
+    few = few.withColumn("task", F.pmod(F.xxhash64(group), F.lit(tasks)))
+    edges = settled(few.groupBy("task").applyInArrow(work, pair), "edges")
+    large = sizes.filter("blocks > 1")
+    if large.isEmpty():
+        return edges
+    found, before, seed = edges.limit(0), None, 0
+    while True:
+        labels = connected_components(found).select(F.col("node").alias("name"), F.col("component").alias("label"))
+        labels = settled(labels, "labels")
+
+        def labelled(some: DataFrame) -> DataFrame:
+            return rows_of(some).join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+
+        stars = labelled(large).groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
+        of_group = settled(stars, "stars").groupBy(group).agg(
+            F.max(F.struct("n", "label", "w")).alias("top"), F.sum("n").alias("size"), F.sum("w").alias("w")
+        ).select(
+            group, "size", F.col("top.label").alias("top"), _blocks("size", "w").alias("blocks"),
+            (F.col("size") - F.col("top.n")).alias("rest"), (F.col("w") - F.col("top.w")).alias("rest_w"),
+        ).filter("rest > 0")
+        open_ = settled(of_group.withColumn("rest_blocks", _blocks("rest", "rest_w")), "open")
+        rest, most = open_.agg(F.coalesce(F.sum("rest"), F.lit(0)), F.coalesce(F.max("rest_blocks"), F.lit(0))).first()
+        if rest == 0:
+            break
+        rows = labelled(open_).withColumn("in_rest", F.col("label") != F.col("top"))
+        last = before is not None and (most <= 1 or 2 * rest > before)
+        if last:
+            dealt = _rest_with_all(rows)
+        else:
+            drawn = [F.min(F.struct(F.xxhash64("name", F.lit(seed * HUBS + n)), "name"))["name"] for n in range(HUBS)]
+            hubs = rows.filter("in_rest").groupBy(group).agg(F.array_distinct(F.array(*drawn)).alias("hubs"))
+            dealt = _near_hubs(rows, settled(hubs.select(group, F.explode("hubs").alias("name")), "hubs"), group, seed)
+        dealt = dealt.drop("size", "blocks", "top", "rest", "rest_w", "rest_blocks", "in_rest")
+        new = dealt.groupBy(F.xxhash64(group, "x", "y").alias("task")).applyInArrow(work, pair)
+        found = settled(found.unionByName(new), "edges")
+        if last:
+            break
+        before, seed = rest, seed + 1
+    return edges.unionByName(found)
 
 
 def _tasks(weight: int) -> int:
@@ -245,9 +322,10 @@ def near_duplicates(
 
     Equal sets are one class from the start, so copies are no pairs.  Classes that share a band of their sketches
     are candidates if the whole sketch allows the similarity; connected candidates are compared on full sets, in
-    blocks of bounded size, except where they are connected already.  A link is missed if no band is shared, which
+    blocks of bounded size, except where they are connected already (see ``_links``).  A link is missed if no band is shared, which
     happens to 3 in 10^7 pairs of 80 per cent, or if the sketch is 7.5 standard deviations off.
 
+    A very long text is one row and one sketch; its set is compared whole.
     A text without words has no shingles and is a component of its own, named by its id.  Null ids are never the
     smallest unless all are null; repeated rows are in one component, of which one row is first; an empty table
     gives an empty result; extra columns are not read.
@@ -272,11 +350,13 @@ def near_duplicates(
     banded = classes.select("name", F.explode("bands").alias("bucket"))
     buckets = settled(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     member_rows = buckets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    members = _in_blocks(banded, buckets.withColumn("weight", F.lit(0)), "bucket", member_rows, "weight")
-    members = members.join(classes.select("name", "sketch"), "name")
-    pair = "a BINARY, b BINARY"
-    dealt = members.withColumn("task", F.when(F.col("blocks") > 1, F.col("task")).otherwise(F.pmod("task", F.lit(_tasks(100 * member_rows)))))
-    found = dealt.groupBy("task").applyInArrow(lambda t: _candidates(t, least), pair)
+    sketch_of = classes.select("name", "sketch")
+
+    def members(some: DataFrame) -> DataFrame:
+        return join_groups(banded, some, ["bucket"], "size", member_rows, merge=True).join(sketch_of, "name")
+
+    sized = buckets.withColumn("weight", F.lit(0))
+    found = _links(members, sized, "bucket", F.lit(0), _tasks(100 * member_rows), lambda t: _candidates(t, least))
     groups = settled(connected_components(settled(found.distinct(), "candidates")).withColumnRenamed("node", "name"), "groups")
 
     # The full sets of candidates, from the text of one row of each class.
@@ -294,9 +374,11 @@ def near_duplicates(
     )
     sized = settled(sets.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "sizes")
     counted = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
-    blocked = _in_blocks(sets, sized, "component", counted[0], "weight")
-    dealt = blocked.withColumn("task", F.when(F.col("blocks") > 1, F.col("task")).otherwise(F.pmod("task", F.lit(_tasks(2 * counted[1])))))
-    links = dealt.groupBy("task").applyInArrow(lambda t: _verified(t, least, percent), pair)
+
+    def of_component(some: DataFrame) -> DataFrame:
+        return join_groups(sets, some, ["component"], "size", counted[0], merge=True)
+
+    links = _links(of_component, sized, "component", F.col("n"), _tasks(2 * counted[1]), lambda t: _verified(t, least, percent))
     linked = settled(connected_components(settled(links.distinct(), "links")).withColumnRenamed("node", "name"), "linked")
 
     # The smallest id of each component, for each of its classes.

@@ -101,3 +101,37 @@ def test_words_made_to_share_a_polynomial_hash(spark):
     docs = spark.createDataFrame([(1, f"{one} one two three four"), (2, f"{two} one two three four")], "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(docs).collect()}
     assert found == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("kinds", [1, 30])
+def test_large_groups_are_dealt_a_few_times(spark, monkeypatch, kinds):
+    """Near copies of one text, or of texts that share bands only: as brute force, without a row for each two blocks."""
+    draw, rows = random.Random(kinds), []
+    for i in range(240):
+        words = [f"w{n}" for n in range(70)] + [f"k{i % kinds}_{n}" for n in range(0 if kinds == 1 else 12)]
+        words[draw.randrange(30, len(words))] = f"e{i}"
+        rows.append((i, " ".join(words)))
+    dealt, large = [0], [0]
+
+    def counted(deal):
+        def run(*given):
+            made = deal(*given)
+            dealt[0] += made.count()
+            return made
+        return run
+
+    def watched(rows_of, sizes, *rest):
+        large[0] += sizes.filter(f"size > {near.BLOCK_ROWS}").agg({"size": "sum"}).first()[0] or 0
+        return links(rows_of, sizes, *rest)
+
+    links = near._links
+    monkeypatch.setattr(near, "BLOCK_ROWS", 24)
+    monkeypatch.setattr(near, "_links", watched)
+    for deal in ("_near_hubs", "_rest_with_all"):
+        monkeypatch.setattr(near, deal, counted(getattr(near, deal)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near.near_duplicates(docs, percent=80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 80)
+    assert large[0] > 0
+    if kinds == 1:
+        assert dealt[0] < 3 * large[0]
