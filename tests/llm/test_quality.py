@@ -67,3 +67,61 @@ def test_edges(spark):
 def test_sample_is_bounded(spark):
     docs = spark.range(300).selectExpr("id AS doc_id", "concat('some plain words of text number ', id, ' and a few more') AS text")
     assert quality.classify_quality(docs, most_training_rows=20).filter("accepted").count() == 300
+
+
+def plain_em(texts, labellers, rounds=500):
+    """Expectation-maximisation text by text, without counts of patterns and without arrays."""
+    kinds = range(labellers + 1)
+    belief = []
+    for votes in texts:
+        junk = [v == quality._JUNK for v in votes]
+        good = 0.1 if any(junk) else 0.9
+        others = [1.0 if j else 1e-3 for j in junk]
+        belief.append([good, *((1 - good) * o / sum(others) for o in others)])
+    for _ in range(rounds):
+        shares = [sum(b[k] for b in belief) + (2 * labellers if k == 0 else 1) for k in kinds]
+        voting = [[[1.0, 1.0] for _ in kinds] for _ in range(labellers)]
+        for j in range(labellers):
+            voting[j][0][quality._JUNK] += 0.1 * len(texts) * 0.01
+            voting[j][0][quality._GOOD] += 0.1 * len(texts) * 0.99
+            voting[j][j + 1][quality._JUNK] += 1 + 0.001 * len(texts)
+            for votes, b in zip(texts, belief):
+                for k in kinds:
+                    if votes[j] != quality._SILENT:
+                        voting[j][k][votes[j]] += b[k]
+        last, belief = belief, []
+        for votes in texts:
+            odds = [shares[k] / sum(shares) for k in kinds]
+            for j, vote in enumerate(votes):
+                if vote != quality._SILENT:
+                    odds = [o * voting[j][k][vote] / sum(voting[j][k]) for k, o in enumerate(odds)]
+            belief.append([o / sum(odds) for o in odds])
+        if max(abs(x - y) for a, b in zip(last, belief) for x, y in zip(a, b)) < 1e-9:
+            break
+    return [b[0] for b in belief]
+
+
+def test_label_model_equals_plain_em():
+    draw = np.random.default_rng(8)
+    table = draw.choice([quality._JUNK, quality._GOOD, quality._SILENT], (120, 3), p=[0.15, 0.65, 0.2])
+    packed = quality._packed(table)
+    patterns, counts = np.unique(packed, return_counts=True)
+    found = quality.fit_labels(patterns, counts.astype(float), 3).posterior(packed)
+    assert np.abs(found - plain_em(table.tolist(), 3)).max() < 1e-6
+
+
+def test_scores_equal_a_plain_sum():
+    """The score of a text is the logistic of the mean weight of its words and shapes, and of its repeats."""
+    draw = np.random.default_rng(5)
+    weights = draw.normal(size=quality.BUCKETS + 2)
+    texts = ["plain words and plain words words", "ONE two 3,000 #tag", "", None, "word " * 500]
+    model = quality.fit_labels(np.array([0]), np.array([1.0]), len(quality.LABELLERS))
+    batch = pa.RecordBatch.from_pydict({"row": pa.array(range(len(texts))), "text": pa.array(texts)})
+    scores = pa.Table.from_batches(quality._score([batch], model, weights, ("row",)))["score"].to_pylist()
+    for text, score in zip(texts, scores):
+        found = quality.features(pa.array([text], pa.string()))
+        words = (text or "").split()
+        total = sum(weights[b] for code in found.codes for b in found.buckets[code]) / max(len(words), 1)
+        repeats = sum(a == b for a, b in zip(words, words[1:])) / max(len(words), 1)
+        plain = 1 / (1 + np.exp(-(total + repeats * weights[quality.BUCKETS] + weights[-1]))) if words else 0.0
+        assert len(found.codes) == len(words) and abs(score - plain) < 1e-9
