@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from keysift.llm.shared import settled, slices
 from keysift.llm.words import word_encoder
 
+PART_BYTES = 2 << 20  # of texts encoded at once
+
 
 @dataclass(frozen=True)
 class Capacity:
@@ -83,7 +85,7 @@ def _pieces(batches, path: str, longest: int, end_id: int, id_type: pa.DataType,
     """Token pieces of each text; ``rank`` numbers the pieces of one length within the task."""
     encoder, part, seen = word_encoder(path), TaskContext.get().partitionId(), np.zeros(longest + 1, np.int64)
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", PART_BYTES):
             flat, sizes = encoder.encode(rows.column("text"))
             begins = np.cumsum(sizes) - sizes
             texts, numbers, starts, lengths, crcs, ids = [], [], [], [], [], []

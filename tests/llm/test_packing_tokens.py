@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keysift.llm import words
+from keysift.llm import packing, words
 from keysift.llm.packing import Capacity, pack, plan, sequences
 from keysift.llm.queries import revision, tokenizer_path
 from keysift.llm.token_trees import TokenTree, apply_edits, cut_leaves, encoding, gather_edits, token_trees
@@ -29,6 +30,27 @@ def tokenizer():
     return Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
 
 
+def test_texts_are_encoded_in_small_parts(monkeypatch):
+    """No more than ``PART_BYTES`` of texts at once, and the same pieces as of one part."""
+    texts = [f"word {n} " * 2000 for n in range(400)]
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(400)), "text": texts})
+    path, seen = tokenizer_path("word_bpe_49k.json"), []
+
+    class Told(words.WordEncoder):
+        def encode(self, part):
+            seen.append(sum(map(len, part.to_pylist())))
+            return super().encode(part)
+
+    encoder = Told(path)
+    monkeypatch.setattr(packing, "word_encoder", lambda _: encoder)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    made = [pa.Table.from_batches(packing._pieces([batch], path, 2048, 0, pa.int64(), False))]
+    assert sum(seen) > 5 << 20 and max(seen) <= 2 << 20
+    monkeypatch.setattr(packing, "PART_BYTES", 1 << 30)
+    made.append(pa.Table.from_batches(packing._pieces([batch], path, 2048, 0, pa.int64(), False)))
+    assert made[0].to_pylist() == made[1].to_pylist()
+
+
 def test_ids_are_the_tokenizers(tokenizer, monkeypatch):
     draw = random.Random(3)
     pool = [c for t in TEXTS if t for c in t.split()] + ["́", "̸<", "’s", "'", "ß", "Ǆ"]
