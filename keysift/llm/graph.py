@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from keysift.llm.shared import join_groups, settled
 
+TASK_EDGES = 20_000
+
+
+def _dealt(rows: DataFrame, edges: int) -> DataFrame:
+    """``rows`` in as many tasks as so many edges are worth, however many the session shuffles to."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(4 * cores, -(-edges // TASK_EDGES)))
+
 
 def _smallest(edges: DataFrame, total: int) -> DataFrame:
     """Edges ``(a, b)`` with ``low``, the smallest of ``a`` and the nodes it has an edge to."""
     lows = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("low"))
-    return join_groups(edges, settled(lows.withColumn("low", F.least("a", "low")), "lows"), ["a"], "n", total)
+    lows = settled(_dealt(lows.withColumn("low", F.least("a", "low")), total), "lows")
+    return _dealt(join_groups(edges, lows, ["a"], "n", total), total)
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -23,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node hands its larger neighbours to its smallest neighbour,
     then its smaller neighbours.  Each round writes its edges to the shared folder, never more of them than there
-    were, and a node with very many edges is no more work for a task than any other.  Loops name a node without
+    were, in tasks of ``TASK_EDGES`` or more, and a node with very many edges is no more work for a task than any other.  Loops name a node without
     linking it; null ends are left out; repeated edges count once; no edges give no components.
     """
     edges = edges.select("a", "b").dropna()
@@ -34,10 +43,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _smallest(both, 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = settled(large.filter("a != b").distinct(), "edges")
+        large = settled(_dealt(large.filter("a != b").distinct(), state[0]), "edges")
         small = _smallest(large, large.count())
         pairs = F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))
-        links = settled(small.select(F.inline(pairs)).filter("a != b").distinct(), "edges")
+        links = settled(_dealt(small.select(F.inline(pairs)).filter("a != b").distinct(), state[0]), "edges")
         before, state = state, _state(links)
         if state == before:
             break

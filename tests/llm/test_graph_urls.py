@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from keysift.llm import shared, urls
+from keysift.llm import graph, shared, urls
 from keysift.llm.graph import connected_components
 from keysift.llm.urls import UrlRule, filter_urls, page_links
 
@@ -40,6 +40,29 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in found} == brute(edges)
 
 
+def test_rounds_are_dealt_to_few_tasks(spark, monkeypatch):
+    """However many partitions the session shuffles to, a round over few edges is no more tasks than cores are worth."""
+    options = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in options}
+    parts = []
+
+    def counted(df, label):
+        parts.append((label, df.rdd.getNumPartitions()))
+        return shared.settled(df, label)
+
+    monkeypatch.setattr(graph, "settled", counted)
+    try:
+        for key, value in options.items():
+            spark.conf.set(key, value)
+        edges = [(i, i + 1) for i in range(40)]
+        found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert {r["node"]: r["component"] for r in found} == brute(edges)
+    assert len(parts) > 2 and max(n for _, n in parts[1:]) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
