@@ -44,8 +44,20 @@ from keysift.plans.settle import settle
 from keysift.rules.catalog import BUILTIN_RULES, ENTROPY_ID, FILE_AUDIT_ID, KEYWORD_RULE_ID, RISKS, Rule
 from keysift.rules.resolve import active_rules, custom_rule, enabled, rules_table
 from keysift.sinks import reports
-from keysift.sources.files import in_open_dirs, is_included, is_kept, is_target, list_files, path_suffix, rel_path
+from keysift.sources.files import (
+    file_name,
+    in_open_dirs,
+    is_included,
+    is_kept,
+    is_target,
+    list_files,
+    listed_root,
+    path_suffix,
+    rel_path,
+    tree_listing,
+)
 from keysift.sources.history import STASH_LOG, read_commits, read_log
+from keysift.sources.long_files import RANGE_BYTES, read_ranges
 from keysift.sources.patches import file_segments, patch_lines, stash_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,7 +156,14 @@ def _slim(findings: DataFrame) -> DataFrame:
 @query
 def src_files(spark, sf_dir):
     config = replace(CONFIG, included_extensions=CONFIG.included_extensions | {".parquet"})
-    return list_files(spark, sf_dir, config).select("path", "name", "length", is_binary(F.col("content")).alias("binary"))
+    listing = tree_listing(spark, sf_dir, config)
+    files = list_files(spark, sf_dir, config, longest=RANGE_BYTES, listing=listing)
+    files = files.select("path", "name", "length", is_binary(F.col("content")).alias("binary"))
+    if listing is None:
+        return files
+    long = listing.filter(F.col("reason").isNull() & (F.col("length") >= RANGE_BYTES))
+    long = read_ranges(long, listed_root(spark, sf_dir))
+    return files.unionByName(long.select("path", file_name(F.col("path")).alias("name"), "length", "binary"))
 
 
 @query

@@ -35,6 +35,57 @@ def _heads(root: str):
     return read
 
 
+def _read_through(root: str, size: int):
+    """Each range read whole, in chunks: its first bytes, how many it has, and why it could not be read if so."""
+
+    def through(system, path: str, start: int) -> tuple[bytes, int]:
+        head, n = b"", 0
+        with system.open_input_file(path) as stream:
+            stream.seek(start)
+            while n < size and (chunk := stream.read(min(CHUNK_BYTES, size - n))):
+                head, n = head or chunk[:SAMPLE_BYTES], n + len(chunk)
+        return head, n
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = open_root(root)
+        for batch in batches:
+            made = [
+                attempt(lambda: through(system, f"{base}/{path}", number * size))
+                for path, number in zip(batch["path"], batch["range"])
+            ]
+            yield batch.assign(
+                head=[None if found is None else found[0] for found, _ in made],
+                n=[0 if found is None else found[1] for found, _ in made],
+                reason=pd.Series([why for _, why in made], dtype=object),
+            )
+
+    return read
+
+
+def _ranges(files: DataFrame, size: int) -> DataFrame:
+    last = F.floor((F.col("length") - 1) / size).cast("bigint")
+    return files.filter(F.col("length") > 0).select(
+        "path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("range")
+    )
+
+
+def read_ranges(files: DataFrame, root: str, size: int = RANGE_BYTES) -> DataFrame:
+    """``(path, length, n, binary, reason)`` of ``files(path, length)`` below the root, read whole in ranges of ``size`` bytes.
+
+    ``n`` counts the bytes read.  A file of which a range cannot be read has null ``binary`` and the reason.  No
+    worker holds more than a chunk of a range, however long the file.
+    """
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    read = _spread(_ranges(files, size), total).mapInPandas(
+        _read_through(root, size), "path STRING, length BIGINT, range BIGINT, head BINARY, n BIGINT, reason STRING"
+    )
+    whole = read.groupBy("path", "length").agg(
+        F.sum("n").alias("n"), F.max(F.when(F.col("range") == 0, F.col("head"))).alias("head"), F.max("reason").alias("reason")
+    )
+    binary = F.when(F.col("reason").isNull(), is_binary(F.col("head")))
+    return whole.select("path", "length", "n", binary.alias("binary"), "reason")
+
+
 def long_files(files: DataFrame, root: str, written: list[str] | None = None) -> DataFrame:
     """``(path, length, binary, reason)`` of ``files(path, length)``; one that cannot be read counts as binary."""
     heads = _spread(files.select("path", "length")).mapInPandas(
@@ -119,12 +170,8 @@ def range_lines(files: DataFrame, root: str, size: int = RANGE_BYTES, written: l
     Lines belong to the range they start in.  They are counted for each range first, and a line's number is its
     place in its range plus the counts of the ranges before.  A file that cannot be read ends the job.
     """
-    last = F.floor((F.col("length") - 1) / size).cast("bigint")
-    ranges = files.filter(F.col("length") > 0).select(
-        "path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("range")
-    )
     total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    counts = _spread(ranges, total).mapInPandas(_count_starts(root, size), "path STRING, length BIGINT, range BIGINT, n BIGINT")
+    counts = _spread(_ranges(files, size), total).mapInPandas(_count_starts(root, size), "path STRING, length BIGINT, range BIGINT, n BIGINT")
     counts = settle(counts, "ranges", written)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = settle(counts.withColumn("before", before).filter("n > 0"), "ranges", written)

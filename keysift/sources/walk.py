@@ -16,6 +16,7 @@ from functools import reduce
 from typing import Callable, Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -111,21 +112,29 @@ def _spread(paths: DataFrame, size: int = 0) -> DataFrame:
 
 
 def _reader(root: str):
-    def content(system, path: str) -> bytes:
+    def content(system, path: str, length: int) -> pa.Buffer:
         with system.open_input_stream(path) as stream:
-            return stream.read()
+            parts = [stream.read_buffer(length + 1)]
+            while parts[-1].size:
+                parts.append(stream.read_buffer(CHUNK_BYTES))
+        return parts[0] if len(parts) <= 2 else pa.py_buffer(b"".join(parts))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = open_root(root)
         rows, size = [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                data, reason = attempt(lambda: content(system, f"{base}/{row['path']}"))
-                rows.append({**row, "content": data, "reason": reason})
-                size += len(data or b"")
-                if size >= CHUNK_BYTES:
+                data, reason = attempt(lambda: content(system, f"{base}/{row['path']}", row["length"]))
+                if data is not None and data.size >= CHUNK_BYTES and rows:
                     yield _contents(rows)
                     rows, size = [], 0
+                rows.append({**row, "content": data, "reason": reason})
+                size += 0 if data is None else data.size
+                data = None
+                if size >= CHUNK_BYTES:
+                    made, rows, size = _contents(rows), [], 0
+                    yield made
+                    del made  # before the next file is read
         if rows:
             yield _contents(rows)
 
@@ -133,8 +142,18 @@ def _reader(root: str):
 
 
 def _contents(rows: list[dict]) -> pa.RecordBatch:
+    """Rows as a batch; the content of a single row is not copied."""
     kinds = {"path": pa.string(), "length": pa.int64(), "content": pa.binary(), "reason": pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array([row[c] for row in rows], kind) for c, kind in kinds.items()], list(kinds))
+    columns = {c: [row[c] for row in rows] for c in kinds}
+    if len(rows) == 1 and rows[0]["content"] is not None:
+        data = rows[0]["content"]
+        ends = pa.py_buffer(np.array([0, data.size], np.int32))
+        columns["content"] = pa.Array.from_buffers(pa.binary(), 1, [None, ends, data])
+    else:
+        columns["content"] = [data if data is None else data.to_pybytes() for data in columns["content"]]
+    return pa.RecordBatch.from_arrays(
+        [x if isinstance(x, pa.Array) else pa.array(x, kinds[c]) for c, x in columns.items()], list(kinds)
+    )
 
 
 def read_whole(files: DataFrame, root: str) -> DataFrame:

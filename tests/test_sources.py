@@ -5,6 +5,7 @@ import random
 from pathlib import PurePosixPath
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,9 +13,10 @@ from keysift.config import AuditConfig
 from keysift.operators.scan import scan_counts, scan_files, scan_patches, scan_stashes
 from keysift.rules.catalog import BUILTIN_RULES
 from keysift.operators.lines import split_lines
-from keysift.sources.files import listed_files, path_suffix, read_files, rel_path, tree_listing
-from keysift.sources.long_files import range_lines
-from keysift.sources.walk import _lister
+from keysift.sources.files import list_files, listed_files, path_suffix, read_files, rel_path, tree_listing
+from keysift.plans import queries
+from keysift.sources.long_files import range_lines, read_ranges
+from keysift.sources.walk import _lister, _reader
 from keysift.sources import patches
 from keysift.sources.patches import commit_meta, file_segments, patch_lines, read_patch_log, read_stash_log, stash_lines
 
@@ -102,6 +104,43 @@ def test_lines_by_ranges(spark, tmp_path, size):
     assert [tuple(r) for r in found] == [(r["path"], r["at"] + 1, r["line"]) for r in wanted]
 
 
+def test_files_read_whole_in_ranges(spark, tmp_path):
+    """Every byte is read, a file that fails is told, and long files are never a row of content."""
+    files = {"a.py": b"x" * 5000, "b.bin": b"a" * 10 + b"\x00" + b"b" * 3000, "late.py": b"y" * 4096 + b"\x00" * 9, "c.py": b"z"}
+    _tree(tmp_path, files)
+    rows = [(path, len(data)) for path, data in files.items()] + [("gone.py", 10)]
+    found = read_ranges(spark.createDataFrame(rows, "path STRING, length BIGINT"), str(tmp_path), 4500).collect()
+    told = {r["path"]: (r["n"], r["binary"], r["reason"] is None) for r in found}
+    assert told == {
+        "a.py": (5000, False, True), "b.bin": (3011, True, True), "late.py": (4105, False, True), "c.py": (1, False, True),
+        "gone.py": (0, None, False),
+    }
+
+
+def test_src_files_alike_in_ranges(spark, tmp_path, monkeypatch):
+    _tree(tmp_path, TREE)
+    whole = sorted(queries.src_files(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(queries, "RANGE_BYTES", 50)
+    taken = []
+    monkeypatch.setattr(queries, "list_files", lambda *a, longest, **b: taken.append(longest) or list_files(*a, longest=longest, **b))
+    assert sorted(queries.src_files(spark, str(tmp_path)).collect()) == whole
+    assert taken == [50] and {r["path"] for r in whole} == TARGETS
+
+
+def test_long_content_is_not_copied(tmp_path):
+    """A file of a batch of its own takes its size once, not twice, and small ones before it are no part of that batch."""
+    _tree(tmp_path, {"a.py": b"a" * 1000, "b.py": b"b" * (40 << 20), "c.py": b"", "d.py": b"d"})
+    sizes = {"a.py": 1000, "b.py": 40 << 20, "c.py": 0, "d.py": 5, "gone.py": 3}  # d.py is shorter than it was listed
+    listed = pa.RecordBatch.from_pydict({"path": list(sizes), "length": list(sizes.values())})
+    pool = pa.default_memory_pool()
+    held, seen = pool.bytes_allocated(), []
+    for batch in _reader(str(tmp_path))(iter([listed])):
+        if batch.column("path").to_pylist() == ["b.py"]:
+            assert pool.bytes_allocated() - held < 60 << 20
+        seen += zip(batch.column("path").to_pylist(), [x and (x[:1], len(x)) for x in batch.column("content").to_pylist()])
+    assert seen == [("a.py", (b"a", 1000)), ("b.py", (b"b", 40 << 20)), ("c.py", b""), ("d.py", (b"d", 1)), ("gone.py", None)]
+
+
 def test_one_file_and_no_file(spark, tmp_path):
     _tree(tmp_path, {"node_modules/odd.bin": f"id {GOOGLE}"})
     one = read_files(spark, str(tmp_path / "node_modules/odd.bin"))
