@@ -493,7 +493,8 @@ def anti_disabled_rules(spark, sf_dir):
 @query
 def join_context_(spark, sf_dir):
     lines = explode_lines(_corpus(spark, sf_dir))
-    hits = _raw_matches(spark, sf_dir).select("path", "line_number").distinct()
+    # The hits are read three times, so the rules run once and their hits are written.
+    hits = settle(_raw_matches(spark, sf_dir).select("path", "line_number").distinct(), "hits")
     return join_context(hits, lines, 5).select(
         "path", "line_number", F.concat_ws("\n", "lines_before").alias("lines_before"),
         F.concat_ws("\n", "lines_after").alias("lines_after"),

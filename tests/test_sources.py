@@ -141,6 +141,16 @@ def test_long_content_is_not_copied(tmp_path):
     assert seen == [("a.py", (b"a", 1000)), ("b.py", (b"b", 40 << 20)), ("c.py", b""), ("d.py", (b"d", 1)), ("gone.py", None)]
 
 
+def test_join_context_runs_the_rules_once(spark, tmp_path):
+    """Its hits are read from where they were written."""
+    rows = [(n, f"text {n}\nmore", "en", "src0", 9) for n in range(30)]
+    documents = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.join_context_(spark, str(tmp_path))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() > 0
+
+
 def test_one_file_and_no_file(spark, tmp_path):
     _tree(tmp_path, {"node_modules/odd.bin": f"id {GOOGLE}"})
     one = read_files(spark, str(tmp_path / "node_modules/odd.bin"))
