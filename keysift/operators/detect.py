@@ -2,7 +2,8 @@
 
 One chain of projections and generators, without a shuffle:
 
-    line -> slots that may hit (substring tests) -> one row per slot -> expressions of that slot -> one row per match
+    line -> is it looked at -> slots that may hit (substring tests) -> one row per slot -> expressions of that slot
+    -> one row per match
 
 Rule expressions are literals, so each is compiled once per task, and only the branch of the row's slot is run.
 """
@@ -22,7 +23,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from keysift.config import AuditConfig
 from keysift.functions.regex import python_length, to_java
 from keysift.functions.text import ENTROPY_SLACK, distinct_chars, shannon_entropy
-from keysift.rules.anchors import GATES, RUN_CHARS, RUN_LENGTH, anchor
+from keysift.rules.anchors import FIRST_CHARS, FIRST_TEXT, GATES, RUN_CHARS, RUN_LENGTH, anchor
 from keysift.rules.catalog import FILE_NAME_RULES, Rule
 
 # Slots after the rules, which take 0, 1, 2, ...
@@ -84,10 +85,21 @@ def _any(column: str, texts: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, {_sql(text)})" for text in texts) + ")"
 
 
+# Written out class by class, as Java steps through these faster than through a counted class.
+_RUN = f"(concat(' ', line) RLIKE {_sql(f'[^{RUN_CHARS}]' + f'[{RUN_CHARS}]' * RUN_LENGTH)}) OR ({_ODD})"
+
+
 def _gates() -> dict[str, str]:
-    run = f"[^{RUN_CHARS}][{RUN_CHARS}]{{{RUN_LENGTH}}}"
-    gates = {name: _any("line", texts) for name, texts in GATES.items()}
-    return {**gates, "run": f"(concat(' ', line) RLIKE {_sql(run)}) OR ({_ODD})"}
+    return {**{name: _any("line", texts) for name, texts in GATES.items()}, "run": _RUN}
+
+
+def _looked_at(rules: Sequence[Rule], others: Sequence[str]) -> str:
+    """SQL test that every line passes which one of the rules or of the ``others``, SQL tests, may hit."""
+    # Java looks for a long text by Boyer and Moore's method, so the last one is an expression too.
+    tests = [f"line RLIKE {_sql(f'[{FIRST_CHARS}]')}", f"line RLIKE {_sql(FIRST_TEXT)}", f"({_RUN})"]
+    # A rule without an anchor is tested by its pattern.
+    tests += [f"line RLIKE {_sql(to_java(rule.pattern))}" for rule in rules if not anchor(rule).first]
+    return " OR ".join((*tests, *others))
 
 
 def _entropy_candidates_sql(line: str, min_length: int) -> str:
@@ -195,8 +207,11 @@ def detect(
     tests = {n: may_hit(rule) for n, rule in java.items()}
     tests |= {n: f"length(line) < {bounds[n]} AND {tests[n]}" for n in python if n in java}
     found = {n: f"regexp_extract_all(line, {_sql(to_java(rule.pattern))}, 0)" for n, rule in java.items()}
+    others = [f"({test})" for test, _ in markers.values()]
     if entropy:
         least = max(config.min_entropy_length, needed)
+        if least < RUN_LENGTH:
+            others.append(f"line RLIKE {_sql(_token_run(least))}")
         token = f"line RLIKE {_sql(_token_run(least))}"
         if least >= RUN_LENGTH:
             token = f"`_has run` AND {token}"
@@ -207,7 +222,10 @@ def detect(
     if not tests:  # nothing to look for
         tests, found = {NO_SLOT - 1: "false"}, {NO_SLOT - 1: "array('')"}
 
-    plain, lines = lines, _with_gates(lines)
+    plain = lines
+    if anchors:
+        lines = lines.filter(F.expr(_looked_at(list(java.values()), others)))
+    lines = _with_gates(lines)
     # The generators take expressions, not columns: for a plain column Spark would infer a size() filter and
     # evaluate the whole column once more for it.
     slots = ", ".join(f"CASE WHEN {test} THEN {n} ELSE {NO_SLOT} END" for n, test in tests.items())

@@ -127,7 +127,9 @@ def added_lines(segments: DataFrame) -> DataFrame:
     others = [c for c in segments.columns if c != "segment"]
     rows = segments.select(*others, F.posexplode(F.split("segment", "\n")).alias("at", "_line"))
     rows = rows.filter(F.col("_line").startswith("+") & ~F.col("_line").startswith("+++"))
-    return rows.withColumn("line", F.substring("_line", 2, 1 << 30)).drop("_line")
+    # The plus sign is one byte, and bytes are cut without counting characters.
+    cut = F.substring(F.col("_line").cast("binary"), 2, 1 << 30).cast("string")
+    return rows.withColumn("line", cut).drop("_line")
 
 
 def patch_lines(records: DataFrame) -> DataFrame:
