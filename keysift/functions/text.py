@@ -109,6 +109,11 @@ def format_duration(seconds: Column) -> Column:
 
 
 def html_escape(text: Column) -> Column:
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        text = F.replace(text, F.lit(char), F.lit(entity))
-    return text
+    """The text with entities; most hold nothing to replace, so that is tested first, in one pass instead of five."""
+    def escaped(text: Column) -> Column:
+        done = text
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            done = F.replace(done, F.lit(char), F.lit(entity))
+        return F.when(text.rlike("[&<>\"']"), done).otherwise(text)
+
+    return _once(text, escaped)

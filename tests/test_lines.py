@@ -81,6 +81,8 @@ def test_small_functions(spark):
     assert _column(spark, [0.0, 0.0123, 0.9994, 1.0, 59.994, 60.0, 3725.25], "DOUBLE", format_duration) == [
         "0.0 ms", "12.3 ms", "999.4 ms", "1.00 s", "59.99 s", "1m 0.0s", "62m 5.2s"]
     assert _column(spark, ["<a href=\"x\">'&amp;"], "STRING", html_escape) == ["&lt;a href=&quot;x&quot;&gt;&#x27;&amp;amp;"]
+    assert _column(spark, ["", "plain", None, "a'b"], "STRING", html_escape) == ["", "plain", None, "a&#x27;b"]
+    assert "RLIKE" in str(html_escape(F.lit("x"))).upper()  # tested once before anything is replaced
     assert _column(spark, ["Critical", "High", "Medium", "Low", "Info", "?"], "STRING", severity_score) == [5, 4, 3, 2, 1, 0]
 
 
