@@ -60,6 +60,12 @@ def line_context(lines: Column, number: Column, size: int) -> Column:
     )
 
 
+def lines_alone(findings: DataFrame) -> DataFrame:
+    """The findings with their own line as context and none before or after it."""
+    line, number = F.col("context.line_content"), F.col("context.line_number")
+    return findings.withColumn("context", _context(_no_lines(), line, number, _no_lines()))
+
+
 def _order(origin: int, file: Column, block: Column, row: Column, part: Column, line: Column) -> Column:
     """Scan order, the tie order of deduplication and of the severity sort."""
     return F.struct(

@@ -13,7 +13,7 @@ import pytest
 from keysift.config import AuditConfig
 from keysift.functions.regex import compiles, to_java
 from keysift.operators.detect import _looked_at
-from keysift.operators.scan import scan_files
+from keysift.operators.scan import lines_alone, scan_files
 from keysift.plans.corpus import KINDS, PLANTED
 from keysift.rules.anchors import anchor
 from keysift.rules.catalog import BUILTIN_RULES, Rule
@@ -95,6 +95,16 @@ def test_short_tokens_are_looked_at(spark):
     assert _scan(spark, lines, low, rules=[]) == _scan(spark, lines, low, rules=[], anchors=False)
 
 
+def test_lines_alone(spark):
+    files = spark.createDataFrame([("d/a.py", "a.py", "one\ntoken = 'abcd-1234-efgh'\nthree\n")], "path STRING, name STRING, text STRING")
+    found = scan_files(files, BUILTIN_RULES)
+    (whole,), (alone,) = found.collect(), lines_alone(found).collect()
+    assert whole["context"].lines_before == ["one"] and whole["context"].lines_after == ["three"]
+    assert alone["context"].asDict() == whole["context"].asDict() | {"lines_before": [], "lines_after": []}
+    assert [alone[c] for c in found.columns if c != "context"] == [whole[c] for c in found.columns if c != "context"]
+    assert lines_alone(found).dtypes == found.dtypes
+
+
 def test_keyword_anchors_lose_nothing(spark, planted):
     lines = [("a.py", line.replace("token", word)) for line in planted for word in ("token", "Kİste", "ſtraße", "KEYWORD.x")]
     lines += [("a.py", f"{word} = 'abcd-1234'") for word in ("kiste", "KİSTE", "straSSe", "ſtraße", "my_Keyword.X", "KEYWORD.x", "keywordyx")]
