@@ -583,7 +583,7 @@ def _report(render, *, around: bool = True) -> Query:
 
 
 QUERIES["sink_markdown"] = _report(reports.markdown_rows, around=False)
-QUERIES["sink_text"] = _report(reports.text_rows)
+QUERIES["sink_text"] = _report(reports.text_rows, around=False)
 QUERIES["sink_html_cards"] = _report(reports.html_rows)
 
 
